@@ -5,21 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_rules
+from . import line_rules, ngram_join, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("repeated").cast("long").alias("n_spans"),
+        suffix_dedup.span_words("repeated").alias("repeated_words"),
+        suffix_dedup.span_words("removed").alias("removed_words"),
+    )
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op2_suffix_array": op2_suffix_array,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op10_line_frequency": op10_line_frequency,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_array": suffix_dedup.ORACLE,
+    "op4_ngram_jaccard": ngram_join.ORACLE,
     "op10_line_frequency": line_rules.ORACLE,
 }
