@@ -7,9 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_rules, ngram_join, suffix_dedup
+from . import langid, line_rules, ngram_join, quality_pu, sp_codec, suffix_dedup, token_count
 from .common import table
 
+#: Names of the public tokenizer files.
+BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -23,17 +35,37 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+
+
+def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_codec.encode(table(spark, sf_dir, "documents"), vocabulary(PIECES))
+
+
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op2_suffix_array": op2_suffix_array,
+    "op3_string_kernel": op3_string_kernel,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_pu_quality": op5_pu_quality,
+    "op6_whole_token_counts": op6_whole_token_counts,
+    "op8_sentencepiece_codec": op8_sentencepiece_codec,
     "op10_line_frequency": op10_line_frequency,
 }
 
