@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_rules, ngram_join, quality_pu, sp_codec, suffix_dedup, token_count
+from . import ann, langid, line_rules, mixing, ngram_join, quality_pu, sp_codec, suffix_dedup, token_count, train_order
 from .common import table
 
 #: Names of the public tokenizer files.
@@ -25,6 +25,11 @@ def vocabulary(name: str) -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
     return found.select(
@@ -51,21 +56,49 @@ def op6_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences in training order; each record is given by its place and checksum."""
+    tokens = train_order.token_table(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+    rows = train_order.ordered_sequences(tokens, key=20240229, pad=50256)
+    offset = (F.col("slot") % train_order.PER_SHARD) * (2 * train_order.STRIDE)
+    return rows.select("slot", "shard", offset.alias("byte_offset"), "doc_id", "seq", "n_tokens", F.crc32("record").alias("record_crc32"))
+
+
 def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode(table(spark, sf_dir, "documents"), vocabulary(PIECES))
 
 
+#: The mixture: domains stand for groups of sources; unlisted names get the default.
+DOMAINS = ["web", "books", "news", "code"]
+MIXTURE = mixing.Weights([{"web": 0.4, "books": 0.25, "news": 0.25, "code": 0.1}, {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, {}], default=0.05)
+
+
+def mixture_levels() -> list:
+    """Domain (by the number in the source's name), language and source."""
+    number = F.coalesce(F.regexp_extract("source", r"([0-9]{1,9})$", 1).try_cast("int"), F.lit(0))
+    return [F.element_at(F.array(*map(F.lit, DOMAINS)), F.pmod(number, F.lit(len(DOMAINS))) + 1), F.col("lang"), F.col("source")]
+
+
+def op9_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus of 80 % of the tokens at hand, small leaves up to twice."""
+    found = mixing.mixture(table(spark, sf_dir, "documents"), mixture_levels(), MIXTURE, share=0.8, epochs=2, seed=9)
+    return found.select("doc_id", "epoch", "n_tokens", F.col("level_0").alias("domain"), F.col("level_1").alias("lang"), F.col("level_2").alias("source"))
+
+
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_adaptive_scan": op1_adaptive_scan,
     "op2_suffix_array": op2_suffix_array,
     "op3_string_kernel": op3_string_kernel,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_pu_quality": op5_pu_quality,
     "op6_whole_token_counts": op6_whole_token_counts,
+    "op7_training_order": op7_training_order,
     "op8_sentencepiece_codec": op8_sentencepiece_codec,
+    "op9_hierarchical_mix": op9_hierarchical_mix,
     "op10_line_frequency": op10_line_frequency,
 }
 
