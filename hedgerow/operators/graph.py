@@ -52,3 +52,15 @@ def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame], ro
             raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+
+
+def checkpointed(df: DataFrame, name: str) -> DataFrame:
+    """Write and read again in the session's checkpoint folder (one of this machine's only where none is set)."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    path = f"{root.rstrip('/')}/hedgerow/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,0 +1 @@
+"""Readers and writers (SRC1-SRC14, SNK1-SNK10)."""
