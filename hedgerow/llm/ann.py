@@ -13,8 +13,8 @@ Equal vectors are one entry: only the k + 1 smallest ids of each can ever be in
 result, and a filter on the rank before the shuffle keeps it at that. Equal
 queries are searched once. Lists above ``LIST_ROWS`` entries are split by a hash.
 
-Defined cases: vectors that are null, zero, of another length than the first
-centroid, or hold null or non-finite components take no part, as query or as
+Defined cases: vectors that are null, zero, of another length than most, or
+hold null or non-finite components take no part, as query or as
 candidate; ties go to the smaller id; of rows with the same id and vector one
 takes part, rows that share an id but not the vector are candidates each, never
 of a query with their id; a table with fewer candidates than k gives all of them
@@ -72,7 +72,7 @@ def fit(entries: DataFrame, n: int, seed: int = 3, sample: int = SAMPLE) -> Inde
     """Centroids from at most ``sample`` entries, and the rotation."""
     part = min(1.0, 1.2 * sample / max(n, 1))
     rows = entries.where((F.shiftrightunsigned(spread("h", seed), 11) / float(1 << 53)) < part).select("h", "v").orderBy(spread("h", seed), "v").limit(sample).collect()
-    x = np.array([r["v"] for r in rows if len(r["v"]) == len(rows[0]["v"])], np.float64)
+    x = np.array([r["v"] for r in rows], np.float64)
     lists = int(min(MAX_LISTS, max(1, n // PER_LIST), max(1, len(x) // 20)))
     rng = np.random.default_rng(seed)
     centre = x[rng.choice(len(x), lists, replace=False)]
@@ -144,21 +144,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     """query_id, rank (from 1), vec_id, score: each query's ``k`` nearest rows of ``vectors`` but itself."""
     spark = vectors.sparkSession
     entries = keep(distinct_vectors(vectors, id_col, vector_col, k), "ann-entries")
-    n = entries.count()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not n:
-        return empty
-    index = fit(entries, n)
+    sizes = entries.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width, n = sizes["width"], sizes["count"]
+    right = entries.where(F.size("v") == width)
+    index = fit(right, n)
     # centroids and rotation: at most MAX_LISTS vectors, whatever the table
     shared = spark.sparkContext.broadcast(index)
     wide = probes or index.probes
-    width = len(index.rotation)
 
     def lists(count: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             centre = shared.value.centroids
             for batch in batches:
-                batch = batch[[len(v) == centre.shape[1] for v in batch["v"]]]
                 if len(batch):
                     far = _distances(np.stack(batch["v"].to_list()), centre)
                     batch["lists"] = np.argsort(far, axis=1, kind="stable")[:, :count].astype(np.int32).tolist()
@@ -166,10 +165,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
 
         return run
 
-    right = entries.where(F.size("v") == width)
     base = keep(right.select("h", "v", "ids").mapInPandas(lists(1), "h long, v array<double>, ids array<long>, lists array<int>").select("h", "v", "ids", F.col("lists")[0].alias("list")), "ann-lists")
     parts = base.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("parts"))  # MAX_LISTS rows at most
-    q = queries.where(F.col(id_col).isNotNull() & valid(vector_col)).select(F.col(id_col).cast("long").alias("query_id"), F.transform(vector_col, lambda x: x.cast("double") + F.lit(0.0)).alias("v")).distinct()
+    q = queries.where(F.col(id_col).isNotNull() & valid(vector_col) & (F.size(vector_col) == width)).select(F.col(id_col).cast("long").alias("query_id"), F.transform(vector_col, lambda x: x.cast("double") + F.lit(0.0)).alias("v")).distinct()
     q = keep(q.select("query_id", "v", F.xxhash64("v").alias("q")), "ann-queries")
     asked = q.groupBy("q", "v").agg(F.count(F.lit(1)).alias("n")).select("q", "v")
     asked = asked.mapInPandas(lists(wide), "q long, v array<double>, lists array<int>").select("q", "v", F.explode("lists").alias("list"))

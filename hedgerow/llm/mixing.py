@@ -13,7 +13,7 @@ holds a leaf, however large, and what the driver sees is one row per leaf.
 
 Defined cases: null levels are leaves of their own; weight 0 takes nothing, and a
 name without a weight has ``default``; a null text has no tokens and is taken
-with any prefix that reaches it; rows of one leaf with the same id and text are
+with any prefix that reaches it; a leaf without any token gives nothing; rows of one leaf with the same id and text are
 taken together or not at all; a budget above the whole supply takes everything
 as often as allowed; an empty table gives an empty one.
 """
@@ -23,7 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, keep
@@ -119,8 +119,6 @@ def _plan(rows: DataFrame, n_levels: int, weights: Weights, budget: int | None,
     hashed = _with_plan(rows, plan, names).where("rest > 0").select("leaf", "rest", "n_tokens", h.alias("h")).select("*", F.shiftright("h", 64 - bits).alias("bucket"))
     sums = hashed.groupBy("leaf", "bucket").agg(F.sum("n_tokens").alias("t"))
     # at most 65,536 buckets of a leaf are summed up in order
-    from pyspark.sql import Window
-
     run = sums.select("*", F.sum("t").over(Window.partitionBy("leaf").orderBy("bucket")).alias("upto"))
     edge = run.join(F.broadcast(plan.select("leaf", "rest")), "leaf").where(F.col("upto") > F.col("rest"))
     edge = edge.groupBy("leaf").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("t")).alias("base")), "bucket").alias("x")).select("leaf", "x.*")

@@ -173,6 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     trusted = plain.join(F.broadcast(picked), "id").select("y", "text").limit(2 * sum(most.values()))
     loose = plain.where(unit("id") < part(total, max_unlabelled)).join(known.select("id").distinct(), "id", "left_anti").select(F.lit(-1).alias("y"), "text").limit(2 * max_unlabelled)
     got = trusted.union(loose).mapInArrow(_featured, "y int, x binary").collect()
+    if not got:
+        return None
     y = np.array([r["y"] for r in got])
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(len(got), -1).astype(np.float64)
     order = np.lexsort([*x.T[:8], y])  # rows come in any order
