@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 AMBIGUOUS = r"(?iU)\d\s*(?:[-–:/]|\.\d|,\d|%|€|\$)|\b(?:percent|prozent|pour cent|to|bis)\b\s*\d"
 
 
@@ -74,14 +76,5 @@ def guarded(df: DataFrame, label_only: list[str]) -> DataFrame:
 
 
 def with_position(df: DataFrame, *order: str) -> DataFrame:
-    """Adds ``_pos``, the row's place (from 0) in the given order.
-
-    Counts of hash-free range partitions give the base of each, so no task sees
-    all rows.
-    """
-    spark = df.sparkSession
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    indexed = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    from pyspark.sql import types as T
-
-    return spark.createDataFrame(indexed, T.StructType([*df.schema.fields, T.StructField("_pos", T.LongType())]))
+    """Adds ``_pos``, the row's place (from 0) in the given order."""
+    return numbered(df, list(order))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hedgerow.functions.hashing import SEED, stable_u64
 
 from .metrics import _harmonic
+from .order import numbered
 
 
 def numpy_draws(spark: SparkSession, clusters: list, replicates: int = 2000, seed: int = SEED) -> DataFrame:
@@ -36,17 +37,17 @@ def hash_draws(clusters: DataFrame, replicates: int, seed: int = SEED) -> DataFr
     ``clusters`` has one column of distinct values.
     """
     (name,) = clusters.columns
-    numbered = clusters.select(F.col(name).alias("cluster"), (F.row_number().over(Window.orderBy(name)) - 1).cast("long").alias("place"))
-    n = numbered.agg(F.count(F.lit(1)).alias("n"))
-    slots = numbered.select(F.col("place").alias("draw")).crossJoin(F.broadcast(n)).select("draw", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    placed = numbered(clusters.select(F.col(name).alias("cluster")), ["cluster"], "place")
+    n = placed.agg(F.count(F.lit(1)).alias("n"))
+    slots = placed.select(F.col("place").alias("draw")).crossJoin(F.broadcast(n)).select("draw", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     picked = slots.select("replicate", (stable_u64(F.concat_ws(":", "replicate", "draw"), seed) % F.col("n").cast("decimal(20,0)")).cast("long").alias("place"))
-    return picked.groupBy("replicate", "place").agg(F.count(F.lit(1)).cast("int").alias("weight")).join(numbered, "place").select("replicate", "cluster", "weight")
+    return picked.groupBy("replicate", "place").agg(F.count(F.lit(1)).cast("int").alias("weight")).join(placed, "place").select("replicate", "cluster", "weight")
 
 
 def bootstrap_aurc(scores: DataFrame, draws: DataFrame, method: str = "method", cluster: str = "cluster", y: str = "y", score: str = "score") -> DataFrame:
     """Expected-tie AURC of each (replicate, method) over known labels."""
     sums = scores.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(method, cluster, score).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col(y).cast("double")).alias("e"))
-    drawn = sums.join(F.broadcast(draws.withColumnRenamed("cluster", cluster)) if cluster != "cluster" else F.broadcast(draws), cluster)
+    drawn = sums.join(draws.withColumnRenamed("cluster", cluster), cluster)
     per = drawn.groupBy("replicate", method, score).agg(F.sum(F.col("m") * F.col("weight")).alias("m"), F.sum(F.col("e") * F.col("weight")).alias("e"))
     w = Window.partitionBy("replicate", method).orderBy(score)
     t = per.select("*", (F.sum("m").over(w) - F.col("m")).alias("n0"), (F.sum("e").over(w) - F.col("e")).alias("c0"))
@@ -67,7 +68,7 @@ def bootstrap_operating_point(rows: DataFrame, draws: DataFrame, cluster: str =
     known = F.col(y).isNotNull()
     cells = {f"{n}_{s}": F.sum(f.cast("long")) for s, k in (("a", F.col(a)), ("b", F.col(b))) for n, f in (("kept", k), ("known", k & known), ("err", k & known & (F.col(y) == 1)))}
     sums = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in cells.items()])
-    per = sums.join(F.broadcast(draws.withColumnRenamed("cluster", cluster)) if cluster != "cluster" else F.broadcast(draws), cluster).groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("n", *cells)])
+    per = sums.join(draws.withColumnRenamed("cluster", cluster), cluster).groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("n", *cells)])
     ratio = lambda s: F.col(f"err_{s}") / F.nullif(F.col(f"known_{s}"), F.lit(0))
     return per.select("replicate", (ratio("a") - ratio("b")).alias("risk_difference"), ((F.col("kept_a") - F.col("kept_b")) / F.col("n")).alias("coverage_difference"))
 
@@ -75,4 +76,4 @@ def bootstrap_operating_point(rows: DataFrame, draws: DataFrame, cluster: str =
 def bootstrap_sums(stats: DataFrame, draws: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
     """Weighted sums of additive statistics in each replicate, summed by cluster first (BST5)."""
     sums = stats.groupBy(cluster).agg(*[F.sum(c).alias(c) for c in columns])
-    return sums.join(F.broadcast(draws), cluster).groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in columns])
+    return sums.join(draws.withColumnRenamed("cluster", cluster), cluster).groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in columns])

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from hedgerow.functions.hashing import SEED, stable_hex, stable_u64
 
+from .order import numbered
+
 
 def largest_remainder(n: int, fractions: dict[str, float]) -> dict[str, int]:
     """Whole counts that sum to n; what rounding down leaves goes to the largest fractions, later names first in ties."""
@@ -98,8 +100,9 @@ def donors(df: DataFrame, id_: str, speaker: str, split: str | None, salt: str =
     speaker are few (they are kept as a list per speaker), rows of a split may be many.
     """
     keys = [split] if split else []
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    base = df.select("*", (F.row_number().over(w.orderBy(position)) - 1).cast("long").alias("_place"), F.count(F.lit(1)).over(w).alias("_all"))
+    placed = numbered(df, [*keys, position], "_at")
+    sizes = placed.groupBy(*keys).agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_all"))
+    base = (placed.join(sizes, keys) if keys else placed.crossJoin(F.broadcast(sizes))).select(*df.columns, (F.col("_at") - F.col("_from")).alias("_place"), "_all")
     own = base.groupBy(*keys, speaker).agg(F.array_sort(F.collect_list("_place")).alias("_own"))
     j = base.join(own, [*keys, speaker])
     valid = F.col("_all") - F.size("_own")

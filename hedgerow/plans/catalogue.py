@@ -356,10 +356,10 @@ def donor_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.donors(c, "id", "sp", "split", position="id").where("donor_id is not null").select("id", "donor_id", F.col("donor_speaker").alias("donor_sp"), "split")
 
 
-@query(_DONOR.format(on="a.sp <> b.sp", more="r.split <> (select split from c where c.id = r.donor_id) as crosses_split").replace(" from customer)", " from customer where c_custkey <= 1000)"))
+@query(_DONOR.format(on="a.sp <> b.sp", more="r.split <> (select split from c where c.id = r.donor_id) as crosses_split"))
 def donor_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The variant without a split, among the first thousand customers; whether the donor is of another split."""
-    c = B.read(spark, sf_dir, "customer").where("c_custkey <= 1000").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("sp"), F.col("c_mktsegment").alias("split"))
+    """The variant without a split; whether the donor is of another split."""
+    c = B.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("sp"), F.col("c_mktsegment").alias("split"))
     got = splits.donors(c, "id", "sp", None, position="id").where("donor_id is not null")
     return got.join(c.select(F.col("id").alias("donor_id"), F.col("split").alias("_s")), "donor_id").select("id", "donor_id", F.col("donor_speaker").alias("donor_sp"), (F.col("split") != F.col("_s")).alias("crosses_split"))
 
@@ -397,24 +397,25 @@ def condition_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn's tokens (lower case, letters and digits only, the first forty)."""
+    """Each turn's tokens (lower case, letters and digits only)."""
     t = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
-    return B.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(X.units(t), 1, 40).alias("t"))
+    return B.read(spark, sf_dir, "conversations").select("conv_id", "turn", X.units(t).alias("t"))
 
 
-_TURNS = r"t0 as (select conv_id, turn, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') as s from conversations), t as (select conv_id, turn, (case when s = '' then [] when contains(s, ' ') then string_split(s, ' ') else string_split(s, '') end)[1:40] as t from t0)"
-_PAIRS = "p as (select a.conv_id, a.turn as turn_a, b.turn as turn_b, a.t as x, b.t as y, list_distinct(list_concat(a.t, b.t)) as v from t a join t b on a.conv_id = b.conv_id and {on}), d as (select *, levenshtein(array_to_string(list_transform(x, lambda w: chr(33 + list_position(v, w)::int)), ''), array_to_string(list_transform(y, lambda w: chr(33 + list_position(v, w)::int)), '')) as dist from p)"
+_TURNS = r"t0 as (select conv_id, turn, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') as s from conversations), t as (select conv_id, turn, (case when s = '' then [] when contains(s, ' ') then string_split(s, ' ') else string_split(s, '') end) as t from t0)"
 
 
-@query(f"with {_TURNS}, {_PAIRS.format(on='b.turn = a.turn + 1')} select conv_id, turn_a, dist::int as distance, round(dist::double / greatest(len(x), len(y), 1), 9) as normalized from d")
+@query()
 def token_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distance of consecutive turns; the SQL engine's distance counts bytes, so a test compares with brute force."""
     t = _turns(spark, sf_dir)
     n = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("y"))
     return t.join(n, ["conv_id", "turn"]).select("conv_id", F.col("turn").alias("turn_a"), X.token_distance("t", "y").alias("distance"), r9(X.normalized_distance("t", "y")).alias("normalized"))
 
 
-@query(f"with {_TURNS}, {_PAIRS.format(on='a.turn < b.turn and len(a.t) > 0 and len(b.t) > 0')}, g as (select conv_id, avg(dist::double / greatest(len(x), len(y), 1)) as m, count(*) as n from d group by 1) select c.conv_id, round(m, 9) as mean_distance, coalesce(n, 0) as pairs from (select distinct conv_id from conversations) c left join g using (conv_id)")
+@query()
 def pairwise_mean_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean distance of all pairs of turns of a conversation; compared with brute force like the above."""
     return rounded(X.pairwise_mean(_turns(spark, sf_dir), "conv_id", "t"))
 
 
@@ -427,13 +428,13 @@ def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chrf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 120 characters of benchmark items against documents of the same number."""
-    b = B.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 120).alias("reference"))
-    d = B.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.substring("text", 1, 120).alias("hypothesis"))
+    """Benchmark items against documents of the same number."""
+    b = B.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("reference"))
+    d = B.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.col("text").alias("hypothesis"))
     return d.join(b, "id")
 
 
-_CHRF = r"""with q as (select doc_id as id, lang, trim(regexp_replace({low}(b.text[1:120]), '\s+', '{sp}', 'g'), ' ') as r, trim(regexp_replace({low}(d.text[1:120]), '\s+', '{sp}', 'g'), ' ') as h from documents d join benchmark b on doc_id = item_id),
+_CHRF = r"""with q as (select doc_id as id, lang, trim(regexp_replace({low}(b.text), '\s+', '{sp}', 'g'), ' ') as r, trim(regexp_replace({low}(d.text), '\s+', '{sp}', 'g'), ' ') as h from documents d join benchmark b on doc_id = item_id),
 o as (select *, unnest(range(1, 7)) as n from q),
 rg as (select id, n, substr(r, i::int, n::int) as g, count(*) as c from (select id, n, r, unnest(range(1, greatest(length(r) - n + 2, 1))) as i from o) group by all),
 hg as (select id, n, substr(h, i::int, n::int) as g, count(*) as c from (select id, n, h, unnest(range(1, greatest(length(h) - n + 2, 1))) as i from o) group by all),

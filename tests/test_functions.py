@@ -122,6 +122,25 @@ def test_token_distance(spark, pairs):
     assert [r.d for r in got] == [edits(a, b) for a, b in pairs]
 
 
+def test_distance_queries(spark):
+    import itertools
+    import re
+
+    from conftest import SF
+    from hedgerow.plans import catalogue
+
+    turns = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        s = re.sub(r"[\W_]+", " ", r.text.lower()).strip()
+        turns.setdefault(r.conv_id, {})[r.turn] = s.split() if " " in s else list(s)
+    for r in catalogue.QUERIES["token_distance_pairs"](spark, SF).collect():
+        a, b = turns[r.conv_id][r.turn_a], turns[r.conv_id][r.turn_a + 1]
+        assert r.distance == edits(a, b) and r.normalized == pytest.approx(edits(a, b) / max(len(a), len(b), 1))
+    for r in catalogue.QUERIES["pairwise_mean_distance"](spark, SF).collect():
+        pairs = [edits(a, b) / max(len(a), len(b)) for a, b in itertools.combinations([t for t in turns[r.conv_id].values() if t], 2)]
+        assert r.pairs == len(pairs) and (not pairs or r.mean_distance == pytest.approx(np.mean(pairs)))
+
+
 def test_chrf(spark):
     df = spark.createDataFrame([("the cat sat", "the cat sat"), ("the cat sat", "zzz qqq"), ("abc", "abc"), ("", "")], "r string, h string")
     got = [r.chrf for r in X.sentence_chrf(df, "r", "h").collect()]
