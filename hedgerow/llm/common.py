@@ -20,9 +20,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that are worked on at a time inside a Python worker.
 CHUNK_BYTES = 1 << 20
+#: Rows of a batch on its way to a Python worker.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers some hundred at a time: a batch of long texts is copied several times on its way."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) <= 0 or int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/hedgerow/{name}-{uuid.uuid4().hex}"
 
@@ -55,6 +65,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     read back have a fixed order and a fixed split into partitions.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, held_out, spread, utf8
+from .common import chunks, held_out, small_batches, spread, utf8
 
 CELL_BITS = 15
 ORDERS = 4
@@ -118,6 +118,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score (share of the best language in the positive votes)."""
     # cells x languages: bounded by the hash and the label set, whatever the corpus
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, utf8
+from .common import chunks, small_batches, utf8
 
 MARK = "▁"
-CACHE = 1_000_000
+CACHE = 250_000
 #: Words of each worker that are compared with the sentencepiece library.
 VERIFY = 20_000
 
@@ -160,6 +160,7 @@ def read_model(path: str) -> bytes:
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, ids, n_tokens, restored (whether decoding gives the text again)."""
     # the model is sent once to each executor; its size is the file's, whatever the corpus
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +180,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The texts of id lists: doc_id, text; null ids give a null text, ids outside the model are an error."""
+    small_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

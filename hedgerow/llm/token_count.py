@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, utf8
+from .common import chunks, small_batches, utf8
 
 LIMIT = 512
 #: Distinct strings that a worker remembers before it starts anew.
-CACHE = 1_000_000
+CACHE = 250_000
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRE = regex.compile(PATTERN)
@@ -160,6 +160,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     # the vocabulary is sent once to each executor; its size is the file's, whatever the corpus
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((spec, whole_tokens(spec)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
