@@ -12,6 +12,7 @@ from .common import table
 
 #: Names of the public tokenizer files.
 BYTE_BPE = "byte_bpe_50k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 
 
@@ -58,7 +59,7 @@ def op6_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequences in training order; each record is given by its place and checksum."""
-    tokens = train_order.token_table(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+    tokens = train_order.token_table(table(spark, sf_dir, "documents"), vocabulary(BYTE_RANKS))
     rows = train_order.ordered_sequences(tokens, key=20240229, pad=50256)
     offset = (F.col("slot") % train_order.PER_SHARD) * (2 * train_order.STRIDE)
     return rows.select("slot", "shard", offset.alias("byte_offset"), "doc_id", "seq", "n_tokens", F.crc32("record").alias("record_crc32"))

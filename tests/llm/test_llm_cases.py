@@ -99,7 +99,7 @@ def test_tokens(docs, none):
 
 
 def test_training_order(docs, none):
-    f = lambda d: train_order.ordered_sequences(train_order.token_table(d, queries.vocabulary(queries.BYTE_BPE), stride=16), 5, stride=16, per_shard=8)
+    f = lambda d: train_order.ordered_sequences(train_order.token_table(d, queries.vocabulary(queries.BYTE_RANKS), stride=16), 5, stride=16, per_shard=8)
     got = run(f, docs, none)
     assert sorted(r.slot for r in got) == list(range(len(got))) and all(len(r.record) == 32 for r in got)
 

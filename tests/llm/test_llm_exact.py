@@ -130,7 +130,7 @@ def test_shards(spark, tmp_path):
 
     docs = spark.createDataFrame([(i, f"text number {i} " * (i % 9)) for i in range(60)], "doc_id long, text string").repartition(5)
     path = queries.vocabulary(queries.BYTE_BPE)
-    tokens = train_order.token_table(docs, path, stride=8)
+    tokens = train_order.token_table(docs, queries.vocabulary(queries.BYTE_RANKS), stride=8)
     seq = train_order.ordered_sequences(tokens, key=3, stride=8, per_shard=16, pad=50256)
     manifest = train_order.write_shards(seq, str(tmp_path / "out"), stride=8, per_shard=16).collect()
     n = seq.count()
