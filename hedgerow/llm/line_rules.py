@@ -29,25 +29,23 @@ MAX_REMOVED_PERCENT = 50
 SALTS = 16
 
 
-def _repeat_words(hashes: Column) -> Column:
-    """Words inside windows that occur twice or more, from the window hashes of a text.
+def _sorted_windows(hashes: Column) -> Column:
+    """(hash, position) of all windows in order, so that equal windows stand side by side."""
+    return F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-    Sorting (hash, position) puts equal windows side by side; each repeated window
-    then covers the words up to the next repeated one, ``WINDOW`` at most.
-    """
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-    def positions(s: Column) -> Column:
-        n = F.size(s)
-        same = lambda i, j: F.get(s, i)["h"] == F.get(s, j)["h"]
-        hit = F.filter(s, lambda x, i: ((i > 0) & F.coalesce(same(i, i - 1), F.lit(False))) | ((i < n - 1) & F.coalesce(same(i, i + 1), F.lit(False))))
-        return F.array_sort(F.transform(hit, lambda x: x["i"]))
+def _repeated(s: Column) -> Column:
+    """Positions, in order, of the windows that have an equal neighbour."""
+    n = F.size(s)
+    same = lambda i, j: F.get(s, i)["h"] == F.get(s, j)["h"]
+    hit = F.filter(s, lambda x, i: ((i > 0) & F.coalesce(same(i, i - 1), F.lit(False))) | ((i < n - 1) & F.coalesce(same(i, i + 1), F.lit(False))))
+    return F.array_sort(F.transform(hit, lambda x: x["i"]))
 
-    def covered(p: Column) -> Column:
-        gaps = F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
-        return F.aggregate(gaps, F.lit(0), lambda t, x: t + x)
 
-    return pairs, positions, covered
+def _covered(p: Column) -> Column:
+    """Words under the windows at some positions: each covers the words up to the next, ``WINDOW`` at most."""
+    gaps = F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    return F.aggregate(gaps, F.lit(0), lambda t, x: t + x)
 
 
 def document_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -80,11 +78,10 @@ def document_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.transform("norm", lambda x: F.xxhash64(F.col("host"), x)).alias("line_key"),
         F.transform("norm", lambda x: F.length(x)).alias("line_len"),
     )
-    pairs, positions, covered = _repeat_words(F.col("win"))
     repeats = F.size("win") > F.size(F.array_distinct("win"))
-    t = t.select("*", F.when(repeats, pairs).alias("s")).drop("win")
-    t = t.select("*", F.when(F.col("s").isNotNull(), positions(F.col("s"))).alias("p")).drop("s")
-    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered(F.col("p")), F.lit(0)).cast("long").alias("n_repeat_words"), "line_key", "line_len")
+    t = t.select("*", F.when(repeats, _sorted_windows(F.col("win"))).alias("s")).drop("win")
+    t = t.select("*", F.when(F.col("s").isNotNull(), _repeated(F.col("s"))).alias("p")).drop("s")
+    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(_covered(F.col("p")), F.lit(0)).cast("long").alias("n_repeat_words"), "line_key", "line_len")
 
 
 def frequent_lines(digest: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
