@@ -5,7 +5,7 @@ import pytest
 from conftest import SF, canonical
 
 import __spark_entry__ as entry
-from hedgerow.plans import catalogue
+from hedgerow.plans import catalogue, reports  # noqa: F401  (reports adds its queries to the catalogue)
 
 WITH_SQL = sorted(catalogue.ORACLES)
 WITHOUT = sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES))
