@@ -256,5 +256,5 @@ def apply_platt(scores: DataFrame, parameters: DataFrame, by: list[str], raw: st
 
 
 def preselect(metrics: DataFrame, by: list[str], method: str, value: str, exclude: list[str]) -> DataFrame:
-    """The method with the smallest value among those allowed, earlier names first in ties (MDL11, TOP5)."""
-    return metrics.where(~F.col(method).isin(exclude)).groupBy(*by).agg(F.min(F.struct(value, method)).alias("x")).select(*by, F.col(f"x.{method}").alias(method), F.col(f"x.{value}").alias(value))
+    """The method with the smallest value among those allowed, earlier names first in ties; a NULL value never wins (MDL11, TOP5)."""
+    return metrics.where(F.col(value).isNotNull() & ~F.col(method).isin(exclude)).groupBy(*by).agg(F.min(F.struct(value, method)).alias("x")).select(*by, F.col(f"x.{method}").alias(method), F.col(f"x.{value}").alias(value))

@@ -25,11 +25,6 @@ def matched(df: DataFrame, keys: list[str], method: str, first: str, second: str
     return both.where("first is not null and second is not null").withColumn("difference", F.col("first") - F.col("second"))
 
 
-def best(df: DataFrame, by: list[str], method: str, value: str) -> DataFrame:
-    """The method with the least value; ties to the smaller name (TOP5)."""
-    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min(F.struct(F.col(value).alias("value"), F.col(method).alias("method"))).alias("x")).select(*by, "x.method", "x.value")
-
-
 def fold_summary(per_fold: DataFrame, pooled: DataFrame, value: str) -> DataFrame:
     """Pooled value beside the mean and the population deviation of the folds' values (MET22)."""
     folds = per_fold.agg(F.count(value).alias("folds"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))

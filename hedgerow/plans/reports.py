@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from hedgerow.functions import hashing, signal
 from hedgerow.functions import text as X
-from hedgerow.operators import cohorts, contracts, decide, metrics, resample, sensitivity, splits, summaries
+from hedgerow.operators import cohorts, contracts, decide, heads, metrics, resample, selection, sensitivity, summaries
+from hedgerow.streaming import incremental
 
 from . import bindings as B
 from .catalogue import _AURC, _BOOT, _SPLIT, _TURNS, _TWO, _turns, _two_selections, query, r9, rounded
@@ -30,7 +31,7 @@ def matched_seed_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with s as (select o_orderpriority, o_orderstatus, avg(o_totalprice) as v from orders group by all) select o_orderpriority, o_orderstatus as method, round(v, 6) as value from s qualify row_number() over (partition by o_orderpriority order by v, o_orderstatus) = 1")
 def best_per_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = B.read(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.avg("o_totalprice").alias("v"))
-    return summaries.best(s, ["o_orderpriority"], "o_orderstatus", "v").select("o_orderpriority", "method", F.round("value", 6).alias("value"))
+    return heads.preselect(s, ["o_orderpriority"], "o_orderstatus", "v", []).select("o_orderpriority", F.col("o_orderstatus").alias("method"), F.round("v", 6).alias("value"))
 
 
 @query(f"with {B.SQL['o']}, s as (select *, (cluster % 5)::varchar as slice from o union all select *, 'ALL' from o), {_AURC.format(by='slice', t='s')}, f as (select slice, avg(v) as aurc from b group by slice) select round(max(aurc) filter (slice = 'ALL'), 9) as pooled, count(*) filter (slice <> 'ALL') as folds, round(avg(aurc) filter (slice <> 'ALL'), 9) as mean, round(stddev_pop(aurc) filter (slice <> 'ALL'), 9) as sd from f")
@@ -223,3 +224,32 @@ def props_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of a JSON column; an absent key is NULL (JSN1, JSN2)."""
     p = F.from_json("props", "k bigint, missing string")
     return B.read(spark, sf_dir, "events").select("event_type", p.alias("p")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("total"), F.count("p.missing").alias("others"))
+
+
+_MARKERS = "|".join(sorted(X.NEGATIVE, key=len, reverse=True)).replace("'", "''")
+
+
+@query(rf"with m as (select conv_id, turn, lower(text) as t from conversations union all select item_id, -1, lower(text) || ' and NOBODY came, I won''t.' from benchmark) select conv_id, turn, regexp_matches(lower(coalesce(t, '')), '(^|[^\p{{L}}\p{{N}}_])({_MARKERS})($|[^\p{{L}}\p{{N}}_])') as negative from m")
+def negation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negative markers of turns, and of benchmark texts with a negative sentence added."""
+    c = B.read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    b = B.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), F.concat("text", F.lit(" and NOBODY came, I won't.")).alias("text"))
+    return c.union(b).select("conv_id", "turn", X.is_negative(X.normalize("text", punctuation=True, form=False)).alias("negative"))
+
+
+@query("with m as (select vec_id, list_transform(embedding, lambda v: v::double) as x from embeddings), p as (select a.vec_id, a.x as x, b.x as y, list_avg(a.x) as mx, list_avg(b.x) as my from m a join m b on b.vec_id = a.vec_id + 1), c as (select vec_id, list_transform(x, lambda v: v - mx) as x, list_transform(y, lambda v: v - my) as y from p) select vec_id, round(list_inner_product(x, y) / sqrt(list_inner_product(x, x) * list_inner_product(y, y)), 6) as r from c")
+def consecutive_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = B.read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    return v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id").select("vec_id", F.round(signal.pearson("x", "y"), 6).alias("r"))
+
+
+@query(f"with {B.SQL['e']}, r as (select *, row_number() over (partition by cond order by score, id) <= least(count(*) over (partition by cond), greatest(1, round_even(0.9::double * count(*) over (partition by cond), 0))) as keep from e) select cond, count(*) as n, count(*) filter (keep) as k, coalesce(sum(y) filter (keep), 0)::bigint as e, count(*) filter (keep and y is null) as u from r group by cond")
+def legacy_top_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older selection, ties by row position (TOP2)."""
+    return metrics.selective(selection.keep_first(B.events(spark, sf_dir), ["cond"], "score", "id", 0.9), ["cond"]).select("cond", "n", "k", "e", "u")
+
+
+@query("with s as (select doc_id, (doc_id % 6)::int as shard, doc_id % 6 = 0 or (doc_id % 6 < 4 and doc_id % 7 <> 0) as done from documents), g as (select shard, count(*) as expected, count(*) filter (done) as completed from s group by shard) select *, case when completed = 0 then 'waiting' when completed < expected then 'running' else 'complete' end as status from g")
+def shard_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = B.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("_pos"))
+    return incremental.status(d, d.where("id % 6 = 0 or (id % 6 < 4 and id % 7 <> 0)"), 6)

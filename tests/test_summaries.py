@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hedgerow.operators import summaries
+from hedgerow.operators import heads, summaries
 
 
 def rows(df):
@@ -20,9 +20,9 @@ def test_matched_needs_both_sides(spark):
     assert rows(summaries.matched(df, ["s"], "m", "f", "c", "v")) == [(1, 3.0, 5.0, -2.0)]
 
 
-def test_best_breaks_ties_by_name(spark):
-    df = spark.createDataFrame([("x", "b", 1.0), ("x", "a", 1.0), ("x", "c", None)], "k string, m string, v double")
-    assert rows(summaries.best(df, ["k"], "m", "v")) == [("x", "a", 1.0)]
+def test_preselect_breaks_ties_by_name_and_ignores_null(spark):
+    df = spark.createDataFrame([("x", "b", 1.0), ("x", "a", 1.0), ("x", "c", None), ("x", "d", 0.5)], "k string, m string, v double")
+    assert rows(heads.preselect(df, ["k"], "m", "v", ["d"])) == [("x", "a", 1.0)]
 
 
 def test_percentages_refuse_what_is_no_selection(spark):
