@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -238,13 +238,21 @@ def _cut(text: str, spans) -> str:
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
     """The documents without their repeated passages, but for the first occurrence of each.
 
-    A text of which nothing is left goes; other texts keep all their columns. Rows
-    that repeat as a whole are cut alike, as the one of them that loses least.
+    A text of which nothing is left goes; other texts keep all their columns. Of rows
+    with the same id and text one is cut as the first of them; nothing is left of the
+    others, whose every window occurs in the first.
     """
-    found = repeated_passages(docs, id_col, text_col, length).where(F.size("removed") > 0)
-    least = found.groupBy("doc_id", "text_hash").agg(F.min_by("removed", span_words("removed")).alias("_removed")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_removed")
+    found = repeated_passages(docs, id_col, text_col, length)
+    # the first of some copies loses least
+    least = found.groupBy("doc_id", "text_hash").agg(F.min_by("removed", span_words("removed")).alias("_removed"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1 or size(_removed) > 0")
+    least = keep(least.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_removed", "_copies"), "suffix-cuts")
     names = docs.columns
-    joined = docs.select("*", F.xxhash64(text_col).alias("_text_hash")).join(least, (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").select(*names, "_removed")
+    joined = docs.select("*", F.xxhash64(text_col).alias("_text_hash")).join(least, (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    if not least.where("_copies > 1").isEmpty():
+        copied = F.coalesce(F.col("_copies") > 1, F.lit(False))
+        number = F.row_number().over(Window.partitionBy("_text_hash", id_col).orderBy(*[f.name for f in docs.schema if isinstance(f.dataType, T.AtomicType) and f.name != text_col] or [F.lit(1)]))
+        joined = joined.where(~copied).unionByName(joined.where(copied).select("*", number.alias("_number")).where("_number = 1").drop("_number"))
+    joined = joined.select(*names, "_removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
