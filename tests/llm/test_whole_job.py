@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than its whole job."""
 
-from hedgerow.llm import suffix_dedup
+import pytest
+
+from hedgerow.llm import queries, sp_codec, suffix_dedup
 
 WORDS = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcd"]
 
@@ -11,3 +13,17 @@ def test_one_of_some_whole_rows_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     got = [(r.doc_id, r.text.strip(), r.source) for r in suffix_dedup.drop_repeated_passages(docs, length_col=None).collect()]
     assert sorted(got, key=str) == sorted([(1, a, "x"), (None, b, "x"), (3, f"{c} tail of three", "x"), (4, "head", "x"), (5, d, "x"), (6, "too short", "x"), (6, "too short", "x")], key=str)
+
+
+def test_late_words_are_verified():
+    c = sp_codec.Codec(sp_codec.read_model(queries.vocabulary(queries.PIECES)))
+    other = c.other
+
+    class Differs:
+        def encode(self, texts, **options):
+            return [[0] if t == "late" else ids for t, ids in zip(texts, other.encode(texts, **options), strict=True)]
+
+    c.other = Differs()
+    c.encode([" ".join(f"w{i}" for i in range(20_001))])
+    with pytest.raises(ValueError, match="late"):
+        c.encode(["late"])
