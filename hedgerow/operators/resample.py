@@ -17,12 +17,18 @@ from hedgerow.functions.hashing import SEED, stable_u64
 from .metrics import _harmonic
 from .order import numbered
 
+#: Clusters whose draws are made on the driver.
+MAX_CLUSTERS = 100_000
+
 
 def numpy_draws(spark: SparkSession, clusters: list, replicates: int = 2000, seed: int = SEED) -> DataFrame:
     """Draws of the sorted clusters by numpy's generator, in its order: replicate, cluster, weight.
 
-    The cluster list comes from the caller; it bounds this table.
+    The cluster list comes from the caller; it bounds this table. More than
+    ``MAX_CLUSTERS`` are refused, ``hash_draws`` works for any number.
     """
+    if len(clusters) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters for draws on the driver; use hash_draws")
     rng, keys, rows = np.random.default_rng(seed), sorted(clusters), []
     for b in range(replicates):
         picked, times = np.unique(rng.choice(len(keys), len(keys), replace=True), return_counts=True)

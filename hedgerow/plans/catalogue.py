@@ -247,7 +247,7 @@ def cluster_bootstrap_delta_aurc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_bootstrap_numpy_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with draws of numpy's generator over the sorted clusters, 2,000 replicates."""
     d = B.documents(spark, sf_dir)
-    clusters = [r[0] for r in d.select("cluster").distinct().orderBy("cluster").limit(100_001).collect()]
+    clusters = [r[0] for r in d.select("cluster").distinct().orderBy("cluster").limit(resample.MAX_CLUSTERS + 1).collect()]
     per = resample.bootstrap_aurc(_methods(d), resample.numpy_draws(spark, clusters, 2000))
     return rounded(resample.paired_interval(per, "method", "length", "id"))
 

@@ -20,3 +20,9 @@ def test_queries_run_the_whole_search(spark, monkeypatch, module, name, query, o
     with pytest.raises(Called) as e:
         catalogue.QUERIES[query](spark, SF)
     assert e.value.args == (None,)
+
+
+def test_too_many_clusters_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(resample, "MAX_CLUSTERS", 2, raising=False)
+    with pytest.raises(ValueError, match="hash_draws"):
+        catalogue.QUERIES["cluster_bootstrap_numpy_draws"](spark, SF)
