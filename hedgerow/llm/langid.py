@@ -7,8 +7,10 @@ and a one-versus-rest kernel ridge regression on the landmark features. As the
 kernel is a product of presence vectors, landmarks and regression fold into one
 matrix [cells x languages], and texts are scored by batched matrix products.
 
-Bounds (parameters): ``max_train`` labelled rows, spread evenly over languages,
-and ``max_landmarks`` of them. Every text is scored as a whole.
+Bounds (parameters): ``max_train`` labelled rows, spread evenly over languages but
+at least two of each where there are, and ``max_landmarks`` of them, at least one
+of each. More than ``MAX_LANGUAGES`` labels are refused, as the matrix would not fit
+the driver; no label is left out. Every text is scored as a whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
 null label is no label; without any label all texts are ``und``; ids may be null
@@ -35,6 +37,8 @@ ORDERS = 4
 MAX_TRAIN = 3000
 MAX_LANDMARKS = 256
 RIDGE = 1e-3
+#: Labels whose matrix fits the driver.
+MAX_LANGUAGES = 1500
 #: Rows of a presence matrix: bounds a worker's memory.
 ROWS = 64
 
@@ -87,9 +91,11 @@ def _unit(bits: list[bytes]) -> np.ndarray:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_train: int = MAX_TRAIN, max_landmarks: int = MAX_LANDMARKS, seed: int = 11) -> Model:
-    """Fit on at most ``max_train`` of the rows, the same number for each language where there are enough."""
+    """Fit on at most ``max_train`` of the rows or two of each language, the same number for each where there are enough."""
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), spread(id_col, seed).alias("h"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_train // 2).collect()}
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in {label_col}; merge labels first")
     if not counts:
         return Model([], np.zeros((1 << CELL_BITS, 0), np.float32))
     each = max(2, max_train // len(counts))

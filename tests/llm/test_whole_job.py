@@ -2,7 +2,7 @@
 
 import pytest
 
-from hedgerow.llm import queries, sp_codec, suffix_dedup
+from hedgerow.llm import langid, queries, sp_codec, suffix_dedup
 
 WORDS = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcd"]
 
@@ -27,3 +27,11 @@ def test_late_words_are_verified():
     c.encode([" ".join(f"w{i}" for i in range(20_001))])
     with pytest.raises(ValueError, match="late"):
         c.encode(["late"])
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} of {x}", x) for i, x in enumerate(["aa", "bb", "cc"] * 3)], "doc_id long, text string, lang string")
+    assert langid.train(docs, max_train=4).languages == ["aa", "bb", "cc"]
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2, raising=False)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs)
