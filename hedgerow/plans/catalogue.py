@@ -466,17 +466,13 @@ def number_mentions_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def label_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of some outputs against their references."""
-    rows = [
-        ("a", "There are 30 cats and 20 dogs.", '"20"', '"30"', "number", "There are 20 cats and 30 dogs."),
-        ("b", "", '"3"', None, "number", "Three cats arrived."),
-        ("c", "Three cats and four cats.", '"3"', None, "number", "Three cats arrived."),
-        ("d", "3.5 liters", '"3.5"', None, "number", "3.5 liters"),
-        ("e", "1/2 liter", '"1/2"', None, "number", "1/2 liter"),
-        ("f", "He did not come.", '"no"', None, "negation", "He came."),
-    ]
-    df = spark.createDataFrame(rows, "id string, translation string, expected string, contrast string, kind string, reference string")
-    return df.select("id", labels.label_fact("translation", "expected", "contrast", "kind", "reference").alias("l")).select("id", "l.*")
+    """Labels of each turn as the output, with the next turn as its reference; the fact is the reference's first number, or a negation where it has none."""
+    c = B.read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
+    number = F.regexp_extract("reference", r"[0-9]+(?:\.[0-9]+)?", 0)
+    pairs = c.join(n, ["conv_id", "turn"]).withColumn("kind", F.when(number != "", "number").otherwise("negation"))
+    expected = F.concat(F.lit('"'), F.when(number != "", number).otherwise("no"), F.lit('"'))
+    return pairs.select("conv_id", "turn", labels.label_fact("text", expected, F.lit(None).cast("string"), "kind", "reference").alias("l")).select("conv_id", "turn", "l.*")
 
 
 # ----------------------------------------------------------------------- arrays
