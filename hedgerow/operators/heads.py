@@ -1,4 +1,4 @@
-"""Risk heads and calibration (MDL1-MDL16, MTH1, MTH2).
+"""Risk heads and calibration (MDL1-MDL6, MDL8, MDL11, MTH1, MTH2).
 
 Imputation and scaling parameters are SQL aggregates; logistic heads are
 pyspark.ml; extremely randomised trees are grown tree by tree on executors from a

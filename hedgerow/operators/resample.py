@@ -1,4 +1,4 @@
-"""Paired cluster bootstrap (BST1-BST5).
+"""Paired cluster bootstrap (BST1, BST2, BST5).
 
 Draws are a small table (replicate, cluster, weight): a cluster drawn twice counts
 twice, so replicates are weights and rows are never copied. Rows are first summed

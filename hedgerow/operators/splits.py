@@ -1,4 +1,4 @@
-"""Splits, samples and donors (SPL1-SPL10, JN8, JN9, WIN4, SRT1)."""
+"""Splits, samples and donors (SPL1, SPL2, SPL5-SPL8, SPL10, JN8, JN9, WIN4, SRT1)."""
 
 from __future__ import annotations
 
