@@ -71,6 +71,26 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key of the joins below is hot above this many rows, and above this share of all.
+HOT_ROWS = 1000
+HOT_KEYS = 10_000
+
+
+def join_by_size(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join of many rows with one row per key, whose column ``rows`` counts the key's rows in ``left``.
+
+    ``total`` is the sum of ``rows`` (or more). A key with more than 1,000 and more than
+    a ten-thousandth of all rows is hot. There can't be 10,000 such keys, whatever the
+    table, so they are broadcast and their rows stay where they lie; the rest is dealt
+    by key, of which none is large. ``right`` should be a written table.
+    """
+    hot = F.col(rows) > max(HOT_ROWS, total // HOT_KEYS)
+    few = right.where(hot)
+    if few.isEmpty():
+        return left.join(right, on)
+    return left.join(F.broadcast(few), on).unionByName(left.join(F.broadcast(few.select(*on)), on, "left_anti").join(right.where(~hot), on))
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the fold that nothing learns from: crc32 of the id as text, modulo 5, is 0.
 

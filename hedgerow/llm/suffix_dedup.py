@@ -3,9 +3,10 @@
 Suffixes are kept only where content selects them: each window of 50 words picks
 the smallest hash among its 8-word grams (a minimiser), so two equal passages pick
 equal positions. A kept suffix carries the stretch of all windows that picked it.
-Equal contexts are counted first, so copies collapse before they move; the
-distinct ones are range-partitioned and sorted by (gram, context), and neighbours
-in that order are compared. Neighbours with the same context repeat as a whole.
+What a document repeats within itself (a run of one word, a table) is one row with
+a list of places. Equal contexts are counted first, so copies collapse before they
+move; the distinct ones are range-partitioned and sorted by (gram, context), and
+neighbours in that order are compared. Neighbours with the same context repeat as a whole.
 Neighbours with the same gram but different contexts are the ends of a repeat, or
 near copies: there the match is extended left and right, window by window, from
 the words of one document for each context. The result is exact up to 64-bit
@@ -15,9 +16,14 @@ Spans are word positions, end excluded. ``repeated`` covers all repeated windows
 of a document, ``removed`` those that are not the first occurrence, in the order
 of id, text hash and position.
 
-Defined cases: null, empty and shorter texts have no spans; a passage may repeat
-inside one document; every row counts as a document, also if ids or whole rows
-repeat; a null id sorts first. Columns other than id and text are not read.
+A context that occurs once needs no join to find its place; the others meet their
+places by key, hot contexts and windows by broadcast (``join_by_size``).
+
+Defined cases: null, empty and shorter texts have no spans, an empty table gives an
+empty one; a text of any length is read whole; a passage may repeat inside one
+document; every row counts as a document, also if ids or whole rows repeat; a null
+id sorts first; of equal ids the smaller text hash comes first. Columns other than
+id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +36,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _powers, chunks, keep, mix, utf8, words
+from .common import _powers, chunks, join_by_size, keep, mix, utf8, words
 
 LENGTH = 50
 GRAM = 8
-SALTS = 8
 _C = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -87,16 +92,28 @@ def suffixes(w: np.ndarray, first: np.ndarray, length: int = LENGTH):
     return g[at], context, lo - first[owner], hi - first[owner], np.bincount(owner, minlength=len(first) - 1)
 
 
+def _places(gram: np.ndarray, context: np.ndarray, lo: np.ndarray, hi: np.ndarray, counts: np.ndarray):
+    """One row per text and context: the first place, and a list of the others (null where there are none)."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((lo, context, owner))
+    head = np.ones(len(order), bool)
+    head[1:] = (owner[order][1:] != owner[order][:-1]) | (context[order][1:] != context[order][:-1])
+    first = order[head]
+    n = np.diff(np.append(np.flatnonzero(head), len(order))) - 1
+    more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(lo[order[~head]].astype(np.int32)), mask=pa.array(n == 0))
+    return gram[first], context[first], lo[first], hi[first], more, np.bincount(owner[first], minlength=len(counts))
+
+
 def _scan(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = utf8(batch.column(2))
             for at, to in chunks(off):
                 w, first, _, _ = words(raw[off[at] : off[to]], off[at : to + 1])
-                gram, context, lo, hi, counts = suffixes(w, first, length)
+                gram, context, lo, hi, more, counts = _places(*suffixes(w, first, length))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (gram.view(np.int64), context.view(np.int64), lo.astype(np.int32), hi.astype(np.int32))]
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), *lists], ["id", "tk", "gram", "context", "lo", "hi"])
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), more)]
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), *lists], ["id", "tk", "gram", "context", "lo", "hi", "more"])
                 yield out.filter(pa.array(counts > 0))
 
     return run
@@ -168,13 +185,17 @@ def _spans(length: int):
                 every, later = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for x in parts:
                     if x["offs"] is None:
-                        p = np.arange(x["lo"], x["hi"] + 1)
+                        p = np.arange(x["hi"] - x["lo"] + 1)
                         own = np.full(len(p), x["first"])
                     else:
-                        p = np.array([o >> 1 for o in x["offs"]], np.int64) + x["lo"]
+                        p = np.array([o >> 1 for o in x["offs"]], np.int64)
                         own = np.array([o & 1 for o in x["offs"]], bool) & x["first"]
-                    every.append(p)
-                    later.append(p[~own])
+                    every.append(p + x["lo"])
+                    later.append(p[~own] + x["lo"])
+                    if x["more"]:
+                        again = (np.array(x["more"], np.int64)[:, None] + p).ravel()
+                        every.append(again)
+                        later.append(again)
                 repeated.append([{"start": a, "end": b} for a, b in _union(np.unique(np.concatenate(every)), length)])
                 removed.append([{"start": a, "end": b} for a, b in _union(np.unique(np.concatenate(later)), length)])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tk"), pa.array(repeated, kind), pa.array(removed, kind)], ["id", "tk", "repeated", "removed"])
@@ -187,13 +208,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
-    scanned = T.StructType([T.StructField("id", kind), T.StructField("tk", T.LongType()), T.StructField("gram", longs), T.StructField("context", longs), T.StructField("lo", ints), T.StructField("hi", ints)])
+    scanned = T.StructType([T.StructField("id", kind), T.StructField("tk", T.LongType()), T.StructField("gram", longs), T.StructField("context", longs), T.StructField("lo", ints), T.StructField("hi", ints), T.StructField("more", T.ArrayType(ints))])
     rows = keep(source.mapInArrow(_scan(length), scanned).select(F.monotonically_increasing_id().alias("rid"), "*"), "suffix-rows")
-    kept = rows.select("rid", "id", "tk", F.explode(F.arrays_zip("gram", "context", "lo", "hi")).alias("x")).select("rid", "id", "tk", "x.*")
+    kept = rows.select("rid", "id", "tk", F.explode(F.arrays_zip("gram", "context", "lo", "hi", "more")).alias("x")).select("rid", "id", "tk", "x.*")
 
     order = lambda lo: F.struct(F.col("id"), F.col("tk"), F.col("rid"), lo.alias("lo"))
-    contexts = kept.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "tk", "rid", "lo", "hi")).alias("first"))
-    ordered = contexts.select("gram", "context", "copies", "first.*").repartitionByRange("gram", "context").sortWithinPartitions("gram", "context")
+    copies = F.sum(F.when(F.col("more").isNull(), 1).otherwise(1 + F.size("more")))
+    contexts = kept.groupBy("gram", "context").agg(copies.alias("copies"), F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("id", "tk", "rid", "lo", "hi")).alias("first"))
+    ordered = contexts.select("gram", "context", "copies", "n_rows", "first.*").repartitionByRange("gram", "context").sortWithinPartitions("gram", "context")
     marked = T.StructType([*ordered.schema.fields, T.StructField("near", T.BooleanType()), T.StructField("edge", T.BooleanType())])
     array = keep(ordered.mapInArrow(_neighbours, marked).withColumn("part", F.spark_partition_id()), "suffix-array")
     # a gram that goes on in the next partition stands at the ends of both; two rows of each partition at most
@@ -205,16 +227,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = source.alias("s").join(asked.alias("a"), (F.col("s.tk") == F.col("a.tk")) & F.col("s.id").eqNullSafe(F.col("a.id"))).select("s.text", "asked")
     hashed = texts.mapInArrow(_windows(length), "gram long, context long, window array<long>").groupBy("gram", "context").agg(F.first("window").alias("window"))
     wide = keep(ends.join(hashed, ["gram", "context"]).select("gram", "context", "copies", "id", "tk", "rid", "lo", F.posexplode("window").alias("off", "window")), "suffix-windows")
-    shared = wide.groupBy("window").agg(F.sum("copies").alias("n"), F.min(order(F.col("lo") + F.col("off"))).alias("first")).where("n > 1").select("window", "first")
-    found = wide.join(shared, "window").select("gram", "context", (F.col("off") * 2 + (order(F.col("lo") + F.col("off")) == F.col("first")).cast("int")).alias("o"))
+    shared = wide.groupBy("window").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("n_rows"), F.min(order(F.col("lo") + F.col("off"))).alias("first")).where("n > 1")
+    shared = keep(shared.select("window", "n_rows", "first"), "suffix-shared")
+    found = join_by_size(wide, shared, ["window"], "n_rows", wide.count()).select("gram", "context", (F.col("off") * 2 + (order(F.col("lo") + F.col("off")) == F.col("first")).cast("int")).alias("o"))
     parts = found.groupBy("gram", "context").agg(F.collect_list("o").alias("offs"))
-    whole = array.where("not multi and copies > 1").select("gram", "context", "rid", "lo", F.lit(None).cast("array<int>").alias("offs"))
-    verdicts = whole.union(array.where("multi").select("gram", "context", "rid", "lo").join(parts, ["gram", "context"]).select("gram", "context", "rid", "lo", "offs"))
-
-    salted = verdicts.select("gram", "context", F.col("rid").alias("first_rid"), F.col("lo").alias("first_lo"), "offs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hit = kept.select("*", F.pmod(F.hash("rid"), F.lit(SALTS)).alias("salt")).join(salted, ["gram", "context", "salt"])
-    own = (F.col("rid") == F.col("first_rid")) & (F.col("lo") == F.col("first_lo"))
-    per_doc = hit.groupBy("rid", "id", "tk").agg(F.collect_list(F.struct("lo", "hi", "offs", own.alias("first"))).alias("parts"))
+    place = ["gram", "context", "copies", "n_rows", "id", "tk", "rid", "lo", "hi"]
+    whole = array.where("not multi and copies > 1").select(*place, F.lit(None).cast("array<int>").alias("offs"))
+    verdicts = keep(whole.union(array.where("multi").select(*place).join(parts, ["gram", "context"]).select(*place, "offs")), "suffix-verdicts")
+
+    once = verdicts.where("copies = 1").select("rid", "id", "tk", F.struct("lo", "hi", F.lit(None).cast("array<int>").alias("more"), "offs", F.lit(True).alias("first")).alias("part"))
+    often = verdicts.where("copies > 1").select("gram", "context", "n_rows", F.col("rid").alias("first_rid"), "offs")
+    total = often.agg(F.sum("n_rows")).first()[0] or 0
+    hit = join_by_size(kept, often, ["gram", "context"], "n_rows", total)
+    every = once.union(hit.select("rid", "id", "tk", F.struct("lo", "hi", "more", "offs", (F.col("rid") == F.col("first_rid")).alias("first")).alias("part")))
+    per_doc = every.groupBy("rid", "id", "tk").agg(F.collect_list("part").alias("parts"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     out = T.StructType([T.StructField("id", kind), T.StructField("tk", T.LongType()), T.StructField("repeated", span), T.StructField("removed", span)])
     return per_doc.select("id", "tk", "parts").mapInArrow(_spans(length), out).select(F.col("id").alias("doc_id"), F.col("tk").alias("text_hash"), "repeated", "removed")
@@ -244,30 +270,34 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     found = repeated_passages(docs, id_col, text_col, length)
     # the first of some copies loses least
-    least = found.groupBy("doc_id", "text_hash").agg(F.min_by("removed", span_words("removed")).alias("_removed"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1 or size(_removed) > 0")
-    least = keep(least.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_removed", "_copies"), "suffix-cuts")
+    least = found.groupBy("doc_id", "text_hash").agg(F.min_by("removed", span_words("removed")).alias("removed"), F.count(F.lit(1)).alias("copies")).where("copies > 1 or size(removed) > 0")
+    least = keep(least.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("tk"), "removed", "copies"), "suffix-cuts")
     names = docs.columns
-    joined = docs.select("*", F.xxhash64(text_col).alias("_text_hash")).join(least, (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    if not least.where("_copies > 1").isEmpty():
-        copied = F.coalesce(F.col("_copies") > 1, F.lit(False))
-        number = F.row_number().over(Window.partitionBy("_text_hash", id_col).orderBy(*[f.name for f in docs.schema if isinstance(f.dataType, T.AtomicType) and f.name != text_col] or [F.lit(1)]))
-        joined = joined.where(~copied).unionByName(joined.where(copied).select("*", number.alias("_number")).where("_number = 1").drop("_number"))
-    joined = joined.select(*names, "_removed")
+    # the document is one struct, so no column of its can clash with those of the plan
+    keyed = docs.select(F.struct(*[F.col(c).alias(c) for c in names]).alias("doc"), F.col(id_col).alias("doc_key"), F.xxhash64(text_col).alias("text_key"))
+    joined = keyed.join(least, (F.col("text_key") == F.col("tk")) & F.col("doc_key").eqNullSafe(F.col("id")), "left")
+    if not least.where("copies > 1").isEmpty():
+        copied = F.coalesce(F.col("copies") > 1, F.lit(False))
+        number = F.row_number().over(Window.partitionBy("text_key", "doc_key").orderBy(*[F.col("doc")[f.name] for f in docs.schema if isinstance(f.dataType, T.AtomicType) and f.name != text_col] or [F.lit(1)]))
+        joined = joined.where(~copied).unionByName(joined.where(copied).select("*", number.alias("number")).where("number = 1").drop("number"))
+
+    t, n = names.index(text_col), names.index(length_col) if length_col in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, n = batch.schema.get_field_index(text_col), batch.schema.get_field_index(length_col) if length_col else -1
-            spans = batch.column("_removed").to_pylist()
+            columns, spans = batch.column("doc").flatten(), batch.column("removed").to_pylist()
+            keep_row = None
             if any(spans):
-                texts = [x if not s else _cut(x, s) for x, s in zip(batch.column(t).to_pylist(), spans, strict=True)]
+                texts = [x if not s else _cut(x, s) for x, s in zip(columns[t].to_pylist(), spans, strict=True)]
                 keep_row = pa.array([not s or bool(x.strip()) for x, s in zip(texts, spans, strict=True)])
                 if n >= 0:
-                    sizes = [len(x) if s else c for x, s, c in zip(texts, spans, batch.column(n).to_pylist(), strict=True)]
-                    batch = batch.set_column(n, batch.schema.field(n), pa.array(sizes, batch.schema.field(n).type))
-                batch = batch.set_column(t, batch.schema.field(t), pa.array(texts, batch.schema.field(t).type)).filter(keep_row)
-            yield batch.select(names)
+                    sizes = [len(x) if s else c for x, s, c in zip(texts, spans, columns[n].to_pylist(), strict=True)]
+                    columns[n] = pa.array(sizes, columns[n].type)
+                columns[t] = pa.array(texts, columns[t].type)
+            out = pa.RecordBatch.from_arrays(columns, names)
+            yield out if keep_row is None else out.filter(keep_row)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.select("doc", "removed").mapInArrow(run, docs.schema)
 
 
 ORACLE = r"""
