@@ -1,19 +1,25 @@
 """Near-duplicate join: n-gram Jaccard similarity by MinHash banding, verified on full sets.
 
 Texts are compared as sets of five-word n-grams. Band and row counts follow from
-the similarity and the wanted recall; texts that share a band hash meet in one
-candidate component (found from one edge per text and bucket, never from pairs),
-and inside a component every pair is verified on the full n-gram sets by matrix
-products over blocks of bounded size. Rows carry link counts and one spanning
-edge, so nothing that leaves a block grows with the square of a group.
+the similarity and the wanted recall. Texts meet on band hashes: each is compared
+with the first text of its bucket by a sketch (one byte of each minimum that the
+bands were made of), and those that are unlike it with all texts of the bucket, in
+blocks of bounded size. A pair whose sketches could still belong to the wanted
+similarity (a miss has a chance of one in a million) is plausible; plausible pairs
+leave a bucket as spanning edges, never as all pairs. So texts that share only a
+template, which often meet in a bucket by chance, don't run together into one
+candidate group. Inside a connected group of plausible pairs every pair is verified
+on the full n-gram sets by matrix products over blocks of bounded size; rows carry
+link counts and one spanning edge.
 
 Exact copies are one text from the start: they are counted, not compared.
 
 Defined cases: a text without words (or null) links to nothing and is its own
-class; a text of one to four words has one n-gram, all its words; every row
-counts as a document, also if ids or whole rows repeat; a null id takes part, and
-a class takes the smallest id that is not null. Columns other than id and text
-are not read. Word case and punctuation count.
+class; a text of one to four words has one n-gram, all its words; a text of any
+length is read whole; an empty table gives an empty one; every row counts as a
+document, also if ids or whole rows repeat; a null id takes part, and a class takes
+the smallest id that is not null. Columns other than id and text are not read,
+whatever their names. Word case and punctuation count.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import types as T
 
 from hedgerow.operators.graph import components
 
-from .common import chunks, grams, keep, mix, utf8, words
+from .common import chunks, grams, join_by_size, keep, mix, utf8, words
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -38,6 +44,9 @@ MAX_HASHES = 128
 #: Texts and n-grams in a block of the verification.
 BLOCK_TEXTS = 512
 BLOCK_GRAMS = 1_000_000
+#: Texts of a bucket that meet at a time, and the chance that a pair at the threshold seems too unlike by its sketches.
+BUCKET_TEXTS = 4096
+MISS = 1e-6
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -74,21 +83,33 @@ def shingles(raw: np.ndarray, off: np.ndarray, size: int = SIZE) -> tuple[np.nda
     return out, bounds
 
 
-def signatures(g: np.ndarray, bounds: np.ndarray, bands: int, rows: int, seed: int = 7) -> np.ndarray:
-    """Band hashes [texts x bands] of texts that all have an n-gram."""
+def plausible(threshold: float, slots: int, miss: float = MISS) -> int:
+    """Equal slots that a pair at the threshold has but for a chance of ``miss``."""
+    chance = 0.0
+    for k in range(slots + 1):
+        chance += math.comb(slots, k) * threshold**k * (1 - threshold) ** (slots - k)
+        if chance > miss:
+            return k
+    return slots
+
+
+def signatures(g: np.ndarray, bounds: np.ndarray, bands: int, rows: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes [texts x bands] and sketches [texts x bands * rows] of texts that all have an n-gram."""
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 1 << 63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, (bands, rows), dtype=np.uint64)
-    out = np.empty((len(bounds) - 1, bands), np.uint64)
+    out, sketch = np.empty((len(bounds) - 1, bands), np.uint64), np.empty((len(bounds) - 1, bands * rows), np.uint8)
     x = np.empty_like(g)
     for i in range(bands):
         h = np.full(len(bounds) - 1, i + 1, np.uint64)
         for j in range(rows):
             np.multiply(g, a[i, j], out=x)
             np.bitwise_xor(x, b[i, j], out=x)
-            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(x, bounds[:-1]))
+            least = np.minimum.reduceat(x, bounds[:-1])
+            sketch[:, i * rows + j] = mix(least).astype(np.uint8)
+            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + least)
         out[:, i] = h
-    return out.view(np.int64)
+    return out.view(np.int64), sketch
 
 
 def _sign(bands: int, rows: int):
@@ -99,17 +120,96 @@ def _sign(bands: int, rows: int):
                 g, bounds = shingles(raw[off[at] : off[to]], off[at : to + 1])
                 n = np.diff(bounds)
                 some = np.flatnonzero(n)
+                flat, sketches = np.empty(0, np.int64), np.full(to - at, b"", object)
                 if len(some):
-                    flat = pa.array(signatures(g, np.append(bounds[:-1][some], bounds[-1]), bands, rows).ravel())
-                else:
-                    flat = pa.array([], pa.int64())
+                    flat, sketch = signatures(g, np.append(bounds[:-1][some], bounds[-1]), bands, rows)
+                    sketches[some] = [x.tobytes() for x in sketch]
                 sizes = np.where(n > 0, bands, 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(n.astype(np.int64)), lists], ["id", "key", "n", "bands"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(n.astype(np.int64)), lists, pa.array(sketches, pa.binary())], ["id", "key", "n", "bands", "sketch"])
 
     return run
 
 
+def _bytes(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(sketches), -1)
+
+
+def _like_root(need: int):
+    """Pairs (rid, root) whose sketches agree in enough slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                like = (_bytes(batch.column("sketch")) == _bytes(batch.column("root_sketch"))).sum(1) >= need
+                yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("root")], ["rid", "root"]).filter(pa.array(like))
+
+    return run
+
+
+def spanning(rid: np.ndarray, sketch: np.ndarray, left: np.ndarray, left_sketch: np.ndarray, need: int) -> Iterator[tuple[int, int]]:
+    """Edges that connect each of ``left`` with the texts it could be similar to, one for each connection that is new."""
+    label = np.arange(len(rid))
+    for r, s in zip(left, left_sketch, strict=True):
+        near = np.flatnonzero(((sketch == s).sum(1) >= need) & (rid != r))
+        if len(near):
+            groups, at = np.unique(label[near], return_index=True)
+            yield from ((int(r), int(rid[near[i]])) for i in at)
+            label[np.isin(label, groups)] = groups[0]
+
+
+def _meet(need: int):
+    """Texts of a bucket's block (side 0), then those that are unlike its first text (side 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+
+        def flush():
+            edges = []
+            if all(sides):
+                texts = [(np.array([r for r, _ in x], np.int64), np.frombuffer(b"".join(s for _, s in x), np.uint8).reshape(len(x), -1)) for x in sides]
+                edges = list(spanning(*texts[0], *texts[1], need))
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["rid", "root"])
+
+        for batch in batches:
+            for band, a, b, side, rid, sketch in zip(*(batch.column(c).to_pylist() for c in ("band", "a", "b", "side", "rid", "sketch")), strict=True):
+                if (band, a, b) != key:
+                    if key is not None:
+                        yield flush()
+                    key, sides = (band, a, b), ([], [])
+                sides[side].append((rid, sketch))
+        if key is not None:
+            yield flush()
+
+    return run
+
+
+def _plausible_edges(texts: DataFrame, threshold: float, slots: int) -> DataFrame:
+    """(rid, root): edges that connect all texts which share a band hash and could be similar by their sketches."""
+    need = plausible(threshold, slots)
+    banded = texts.select("rid", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("root")).where("m > 1")
+    members = keep(banded.join(buckets, "band"), "ngram-buckets")
+    sketches = texts.select("rid", "sketch")
+    pairs = keep(members.where("rid <> root").select("rid", "root").distinct().join(sketches, "rid"), "ngram-pairs")
+    roots = pairs.groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
+    roots = keep(roots.join(sketches.select(F.col("rid").alias("root"), F.col("sketch").alias("root_sketch")), "root"), "ngram-roots")
+    both = join_by_size(pairs, roots, ["root"], "rows", pairs.count()).select("rid", "root", "sketch", "root_sketch")
+    like = keep(both.mapInArrow(_like_root(need), "rid long, root long"), "ngram-like")
+
+    # a bucket of two is settled; in others a text unlike the first one may be like the rest
+    unlike = members.where("rid <> root and m > 2").join(like, ["rid", "root"], "left_anti").select("band", "m", "rid")
+    open_ = keep(unlike.groupBy("band").agg(F.max("m").alias("m"), F.count(F.lit(1)).alias("u")), "ngram-open")
+    if open_.isEmpty():
+        return like
+    size = open_.select("band", F.ceil(F.col("m") / BUCKET_TEXTS).cast("int").alias("as"), F.ceil(F.col("u") / BUCKET_TEXTS).cast("int").alias("bs"))
+    block = lambda n: F.pmod(F.hash("rid"), F.col(n))
+    whole = members.select("band", "rid").join(size, "band").select("band", block("as").alias("a"), F.explode(F.sequence(F.lit(0), F.col("bs") - 1)).alias("b"), F.lit(0).alias("side"), "rid")
+    rest = unlike.select("band", "rid").join(size, "band").select("band", F.explode(F.sequence(F.lit(0), F.col("as") - 1)).alias("a"), block("bs").alias("b"), F.lit(1).alias("side"), "rid")
+    dealt = whole.union(rest).join(sketches, "rid").repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "side", "rid")
+    return like.union(dealt.mapInArrow(_meet(need), "rid long, root long"))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace each text by its sorted set of n-gram hashes."""
     for batch in batches:
@@ -205,13 +305,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     bands, per_band = choose_bands(threshold, recall)
     kind = docs.schema[id_col].dataType
     source = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
-    signed = T.StructType([T.StructField("id", kind), T.StructField("key", T.StringType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    signed = T.StructType([T.StructField("id", kind), T.StructField("key", T.StringType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     rows = keep(source.mapInArrow(_sign(bands, per_band), signed), "ngram-rows")
-    texts = keep(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")).select(F.monotonically_increasing_id().alias("rid"), "*"), "ngram-texts")
+    texts = keep(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n", "bands", "sketch")).alias("x")).select(F.monotonically_increasing_id().alias("rid"), "key", "first_id", "copies", "x.*"), "ngram-texts")
 
-    banded = texts.select("rid", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("root")).where("m > 1").select("band", "root")
-    comps = keep(components(banded.join(buckets, "band").where("rid <> root").select("rid", "root"), keep), "ngram-components")
+    comps = keep(components(_plausible_edges(texts, threshold, bands * per_band), keep), "ngram-components")
     member = comps.select(F.col("node").alias("rid"), F.col("root").alias("comp")).join(texts.select("rid", "key", "first_id", "copies", "n"), "rid")
     blocks = member.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     member = member.join(blocks, "comp").select("rid", "comp", "key", "first_id", "copies", "blocks", F.pmod(F.hash("rid"), F.col("blocks")).alias("block"))
@@ -228,21 +326,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     named_roots = linked_texts.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min("key").alias("class_key"))
     linked_texts = linked_texts.join(named_roots, "root").select("key", "class_id", "class_key", "links")
     by_key = texts.select("key", "first_id", "copies").join(linked_texts, "key", "left").select("key", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("class_key", "key").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    named = rows.select("id", F.when(F.col("n") > 0, F.col("key")).alias("key"))
-    return named.join(by_key, "key", "left").select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), "class_key")
+    by_key = keep(by_key, "ngram-classes")
+    named = rows.where("n > 0").select("id", "key")
+    worded = join_by_size(named, by_key, ["key"], "n_copies", named.count())
+    worded = worded.select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), "class_id", "n_links", "n_copies", "class_key")
+    none = rows.where("n = 0").select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text_key"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("string").alias("class_key"))
+    return worded.union(none)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The first document (smallest id, then text) of each class, with all its columns; texts without words stay."""
+    """The first document (smallest id, then text) of each class, with all its columns; texts without words stay.
+
+    Of rows with the same id and text the first by the other columns stays.
+    """
     found = classes(docs, id_col, text_col, threshold, recall).where("text_key is not null")
-    first = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))).alias("x")).select(F.col("x.id").alias("_id"), F.col("x.key").alias("_key"))
-    key = F.md5(F.col(text_col))
-    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rest = docs.where(~wordless).select("*", key.alias("_text_key"))
-    joined = rest.join(first, (F.col("_text_key") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    number = F.row_number().over(Window.partitionBy("_text_key", id_col).orderBy(F.lit(1)))
-    kept = joined.select("*", number.alias("_number")).where("_number = 1").select(*docs.columns)
-    return kept.unionByName(docs.where(wordless))
+    first = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))).alias("x")).select(F.col("x.id").alias("id"), F.col("x.key").alias("key"))
+    # the document is one struct, so no column of its can clash with those of the plan
+    text = F.col(text_col)
+    keyed = docs.select(F.struct(*[F.col(c).alias(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("doc_key"), F.md5(text).alias("text_key"), F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    joined = keyed.where("worded").join(first, (F.col("text_key") == F.col("key")) & F.col("doc_key").eqNullSafe(F.col("id")), "left_semi")
+    order = [F.col("doc")[f.name] for f in docs.schema if isinstance(f.dataType, T.AtomicType) and f.name != text_col] or [F.lit(1)]
+    kept = joined.select("doc", F.row_number().over(Window.partitionBy("text_key", "doc_key").orderBy(*order)).alias("number")).where("number = 1").select("doc")
+    return kept.union(keyed.where("not worded").select("doc")).select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
