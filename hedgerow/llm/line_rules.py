@@ -3,13 +3,16 @@
 Only DataFrame functions run here. A document's text is read once: one native
 projection derives its word measures and the hash and length of each normalised
 line. Lines are then counted over distinct documents per host (aggregated before
-the shuffle), lines above the limit are joined back under a salt, and a document
-that would lose too many of its characters is rejected.
-
-Defined cases: a null text is an empty one and fails the base rules; a null host
-is a host of its own; every row is one document, also if ids or whole rows
-repeat; a line without a word is no line; columns other than the three named
-ones are neither read nor returned.
+the shuffle), lines above the limit are joined back (those with many rows by
+broadcast, see ``join_by_size``), and a document that would lose too many of its
+characters is rejected.
+
+Defined cases: a null text is an empty one and fails the base rules; a text of any
+length is read whole; an empty table gives an empty one; a null host is a host of
+its own; every row is one document, also if ids or whole rows repeat; a line without
+a word is no line; columns other than the three named ones are neither read nor
+returned by ``line_rules``, and kept as they are, whatever their names, by
+``keep_lines``.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, keep
+from .common import SPACE, join_by_size, keep
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -26,7 +29,6 @@ WINDOW = 8
 MAX_DOCS_PER_HOST = 20
 #: Rejected: documents that lose more than this percentage of their characters.
 MAX_REMOVED_PERCENT = 50
-SALTS = 16
 
 
 def _sorted_windows(hashes: Column) -> Column:
@@ -93,9 +95,10 @@ def frequent_lines(digest: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> Data
 def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS_PER_HOST, max_removed_percent: int = MAX_REMOVED_PERCENT) -> DataFrame:
     """One row per document: the measures, the characters removed and the verdict ``kept``."""
     rows = keep(document_digest(docs, id_col, text_col, host_col).select(F.monotonically_increasing_id().alias("row"), "*"), "line-digest")
-    often = frequent_lines(rows, max_docs).select("line_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    lines = rows.select("row", F.explode(F.arrays_zip("line_key", "line_len")).alias("x")).select("row", F.col("x.line_key").alias("line_key"), F.col("x.line_len").alias("line_len"), F.pmod(F.hash("row"), F.lit(SALTS)).alias("salt"))
-    removed = lines.join(often, ["line_key", "salt"]).groupBy("row").agg(F.sum("line_len").alias("removed_chars"), F.count(F.lit(1)).alias("removed_lines"))
+    often = keep(frequent_lines(rows, max_docs), "line-frequent")
+    lines = rows.select("row", F.explode(F.arrays_zip("line_key", "line_len")).alias("x")).select("row", F.col("x.line_key").alias("line_key"), F.col("x.line_len").alias("line_len"))
+    n_lines = rows.agg(F.sum(F.size("line_key"))).first()[0] or 0
+    removed = join_by_size(lines, often, ["line_key"], "n_docs", n_lines).groupBy("row").agg(F.sum("line_len").alias("removed_chars"), F.count(F.lit(1)).alias("removed_lines"))
     out = rows.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.aggregate("line_len", F.lit(0).cast("long"), lambda t, x: t + x).alias("line_chars")).join(removed, "row", "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     gone = F.coalesce(F.col("removed_chars"), F.lit(0))
@@ -117,16 +120,16 @@ def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents with their frequent lines taken out of the text; other columns stay."""
     key = lambda x: F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]+", "0"), SPACE, " ")))
     names = docs.columns
-    numbered = keep(docs.select(F.struct(*[F.col(c) for c in names]).alias("doc"), F.monotonically_increasing_id().alias("row")), "line-docs")
-    flat = numbered.select("row", *[F.col("doc")[c].alias(c) for c in names])
-    lines = flat.select("row", F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), key(x))).alias("line_key"))
-    often = lines.select(F.explode(F.array_distinct("line_key")).alias("line_key")).where("line_key is not null").groupBy("line_key").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
-    salted = often.select("line_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hit = lines.select("row", F.posexplode("line_key").alias("at", "line_key")).where("line_key is not null").select("*", F.pmod(F.hash("row"), F.lit(SALTS)).alias("salt")).join(salted, ["line_key", "salt"])
-    cut = hit.groupBy("row").agg(F.collect_set("at").alias("cut"))
-    text = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("cut"), i)), "\n")
-    out = flat.join(cut, "row", "left")
-    return out.select(*[(F.when(F.col("cut").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c)) for c in names])
+    # the document is one struct, so no column of its can clash with those of the plan
+    numbered = keep(docs.select(F.struct(*[F.col(c).alias(c) for c in names]).alias("doc"), F.monotonically_increasing_id().alias("row"), F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), key(x))).alias("line_key")), "line-docs")
+    lines = numbered.select("row", "line_key")
+    found = lines.select(F.explode(F.array_distinct("line_key")).alias("line_key")).where("line_key is not null").groupBy("line_key").agg(F.count(F.lit(1)).alias("n_docs"))
+    often = keep(found.where(F.col("n_docs") > max_docs), "line-frequent")
+    places = lines.select("row", F.posexplode("line_key").alias("at", "line_key")).where("line_key is not null")
+    cut = join_by_size(places, often, ["line_key"], "n_docs", places.count()).groupBy("row").agg(F.collect_set("at").alias("cut"))
+    out = numbered.select("row", "doc").join(cut, "row", "left")
+    text = F.array_join(F.filter(F.split(F.col("doc")[text_col], "\n"), lambda x, i: ~F.array_contains(F.col("cut"), i)), "\n")
+    return out.select(*[(F.when(F.col("cut").isNull(), F.col("doc")[c]).otherwise(text) if c == text_col else F.col("doc")[c]).alias(c) for c in names])
 
 
 ORACLE = r"""
