@@ -3,18 +3,28 @@
 Trusted positives (quality 1) and unlabelled web text train a small network by
 the non-negative unbiased risk: with class prior p, p * loss(positives as 1) +
 max(0, loss(unlabelled as 0) - p * loss(positives as 0)); where the second term
-goes negative, its gradient is reversed. The prior is estimated as the smoothed
-share of positives among the labelled rows of the training folds, and the same
-rows fix slope and offset of the scores. Features are byte frequencies and some
+goes negative, its gradient is reversed. The prior is estimated from positives and
+unlabelled text alone: a network that tells the two apart is fitted on one half of
+each, and on the other halves the share of unlabelled rows above a score, divided
+by that of the positives, is taken where its upper confidence bound is lowest.
+Labelled negatives never enter prior or fit. Only afterwards, as a step of its own
+(``calibrate``), do the labelled rows of the training folds fix slope and offset of
+the scores, so that a cut on the score means the same on every corpus.
+
+Features are byte frequencies, hashed words, hashed character trigrams and some
 measures of words of the whole text, never id, language, source or labels.
 
 Bounds (parameters): ``max_positive`` trusted and ``max_unlabelled`` unlabelled
 rows; every text is scored as a whole.
 
-Defined cases: a null text is an empty one and gets a score too; without trusted
-positives every score is 0.5; ids may be null or repeat, each row gives a row, a
-null id counts as held out, and of several labels of an id each one counts;
-columns other than those named are not read.
+Defined cases: a null text is an empty one and gets a score too; a text of any
+length is read whole; texts with equal features get equal scores; an empty table
+gives an empty one; without trusted positives every score is 0.5; with fewer than
+``LEAST`` positives or unlabelled rows the prior is 0.5; without unlabelled rows
+the labelled ones, their labels unread, are the web text; ids may be null or
+repeat, each row gives a row, a null id counts as held out, and of several labels
+of an id each one counts; columns other than those named are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,7 +45,12 @@ MAX_UNLABELLED = 10_000
 CUT = 0.3
 HIDDEN = 24
 EPOCHS = 40
-MEASURES = 8
+#: Cells of hashed words and of hashed trigrams; their weight beside the other features.
+CELLS = 256
+PLAIN = 264
+WEIGHT = 0.1
+#: Rows of either kind below which no prior is estimated.
+LEAST = 20
 
 
 @dataclass
@@ -57,8 +72,14 @@ def _distinct(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc[at], minlength=n).astype(np.float64)
 
 
+def _cells(of: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
+    """Square root of each cell's share of the text, in steps of 1/255."""
+    counts = np.bincount(of * CELLS + cell, minlength=n * CELLS).reshape(n, CELLS)
+    return np.rint(255 * np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)))
+
+
 def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """[texts x (256 byte frequencies + measures)] of the texts."""
+    """[texts x (256 byte frequencies, 8 measures, cells of words, cells of trigrams)] of the texts."""
     off = off - off[0]
     n, size = len(off) - 1, np.diff(off)
     doc = np.repeat(np.arange(n), size)
@@ -83,7 +104,11 @@ def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         np.log1p(np.bincount(of, (end - start) > 20, n) / per * 10),
         (size == 0).astype(np.float64),
     ], 1)
-    return np.concatenate([np.sqrt(counts / np.maximum(size, 1)[:, None]), more], 1).astype(np.float32)
+    r = raw.astype(np.uint32)
+    three = ((r[:-2] * np.uint32(0x9E3779B1)) ^ (r[1:-1] * np.uint32(0x85EBCA6B)) ^ (r[2:] * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F)
+    same = doc[:-2] == doc[2:]
+    lexical = [_cells(of, (w >> np.uint64(56)).astype(np.int64), n), _cells(doc[:-2][same], (three[same] >> np.uint32(24)).astype(np.int64), n)]
+    return np.concatenate([np.sqrt(counts / np.maximum(size, 1)[:, None]), more, *lexical], 1).astype(np.float32)
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +116,19 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, off = utf8(batch.column("text"))
         for at, to in chunks(off):
             x = features(raw[off[at] : off[to]], off[at : to + 1])
-            yield pa.RecordBatch.from_arrays([batch.column("y").slice(at, to - at), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
+            packed = [a.tobytes() + b.tobytes() for a, b in zip(x[:, :PLAIN], x[:, PLAIN:].astype(np.uint8), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("y").slice(at, to - at), batch.column("h").slice(at, to - at), pa.array(packed, pa.binary())], ["y", "h", "x"])
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    flat = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    return np.concatenate([np.ascontiguousarray(flat[:, : 4 * PLAIN]).view(np.float32), flat[:, 4 * PLAIN :]], 1, dtype=np.float32)
+
+
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    z = np.clip((x - mean) / scale, -8, 8)
+    z[:, PLAIN:] *= WEIGHT
+    return z
 
 
 def _forward(x: np.ndarray, layers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,11 +141,27 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _fit_network(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int, epochs: int = EPOCHS) -> list[np.ndarray]:
-    """Adam on the non-negative risk with the logistic loss."""
+def nn_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of some scores, and the gradients to follow for positives and unlabelled ones."""
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    value = prior * np.logaddexp(0, -zp).mean() + max(0.0, rest)
+    if rest >= 0:
+        return value, prior * (sp - 1) / len(zp) - prior * sp / len(zp), su / len(zu)
+    # the risk of the negatives can't be below 0: step back from what overfits it
+    return value, prior * sp / len(zp), -su / len(zu)
+
+
+def apart_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The plain logistic risk of telling positives from unlabelled rows."""
+    return (np.logaddexp(0, -zp).mean() + np.logaddexp(0, zu).mean()) / 2, (_sigmoid(zp) - 1) / len(zp) / 2, _sigmoid(zu) / len(zu) / 2
+
+
+def _fit_network(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int, epochs: int = EPOCHS, risk=nn_risk) -> list[np.ndarray]:
+    """Adam on a risk of positives and unlabelled rows."""
     rng = np.random.default_rng(seed)
     d = pos.shape[1]
-    layers = [rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, (HIDDEN, 1)), np.zeros(d + 1)]
+    layers = [x.astype(np.float32) for x in (rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, (HIDDEN, 1)), np.zeros(d + 1))]
     first, second, step = [np.zeros_like(x) for x in layers], [np.zeros_like(x) for x in layers], 0
     batches = max(1, len(unl) // 512)
     for epoch in range(epochs):
@@ -118,26 +171,38 @@ def _fit_network(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int, epoc
                 p = rng.integers(0, len(pos), 64)
             x = np.concatenate([pos[p], unl[u]])
             h, z = _forward(x, layers)
-            s = _sigmoid(z)
-            zp, zu = z[: len(p)], z[len(p) :]
-            rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            g = np.zeros(len(x))
-            if rest >= 0:
-                g[: len(p)] = prior * (s[: len(p)] - 1) / len(p) - prior * s[: len(p)] / len(p)
-                g[len(p) :] = s[len(p) :] / len(u)
-            else:  # the risk of the negatives can't be below 0: step back from what overfits it
-                g[: len(p)] = prior * s[: len(p)] / len(p)
-                g[len(p) :] = -s[len(p) :] / len(u)
+            g = np.concatenate(risk(z[: len(p)], z[len(p) :], prior)[1:]).astype(np.float32)
             back = np.outer(g, layers[2][:, 0]) * (1 - h**2)
             grads = [x.T @ back + 1e-4 * layers[0], back.sum(0), h.T @ g[:, None] + 1e-4 * layers[2], np.append(x.T @ g, g.sum()) + 1e-4 * layers[3]]
             step += 1
             for i, grad in enumerate(grads):
                 first[i] = 0.9 * first[i] + 0.1 * grad
                 second[i] = 0.999 * second[i] + 0.001 * grad**2
-                layers[i] -= rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+                layers[i] -= (rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return layers
 
 
+def share_of_positives(zp: np.ndarray, zu: np.ndarray, doubt: float = 0.1) -> float:
+    """The prior by scores of rows that the scorer was not fitted on: the lowest upper bound over all cuts."""
+    cut = np.sort(zp)[::-1]
+    of_p = np.arange(1, len(cut) + 1) / len(cut)
+    of_u = 1 - np.searchsorted(np.sort(zu), cut, "left") / len(zu)
+    slack = np.sqrt(np.log(4 / doubt) / 2 / len(zu)) + np.sqrt(np.log(4 / doubt) / 2 / len(zp))
+    best = ((of_u + 1.01 * slack) / of_p).argmin()
+    return float(of_u[best] / of_p[best])
+
+
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int) -> float:
+    """Share of positives among the unlabelled rows, from the two halves in turn."""
+    if min(len(pos), len(unl)) < LEAST:
+        return 0.5
+    found = []
+    for a in (0, 1):
+        layers = _fit_network(pos[a::2], unl[a::2], 0.5, seed, 15, apart_risk)
+        found.append(share_of_positives(_forward(pos[1 - a :: 2], layers)[1], _forward(unl[1 - a :: 2], layers)[1]))
+    return float(np.clip(np.mean(found), 0.02, 0.98))
+
+
 def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope (not negative) and offset by Newton steps on the logistic loss."""
     a, b = 1.0, 0.0
@@ -154,43 +219,41 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, seed: int = 5) -> Model | None:
-    """Fit on bounded samples of the rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, seed: int = 5, calibrate: bool = True) -> Model | None:
+    """Fit on bounded samples of the rows outside the held-out fold.
+
+    Without ``calibrate`` labelled negatives are not even read into the sample.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(~held_out("id") & F.col("y").isin(0, 1))
     seen = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not seen.get(1):
         return None
-    prior = (seen[1] + 1) / (seen[1] + seen.get(0, 0) + 2)
     part = lambda n, most: min(1.0, 1.2 * most / max(n, 1))
-    unit = lambda c: F.shiftrightunsigned(spread(c, seed), 11) / float(1 << 53)
-    most = {1: max_positive, 0: max_positive}
+    unit = lambda c: F.shiftrightunsigned(c, 11) / float(1 << 53)
     picked = None
-    for y, n in most.items():  # at most so many rows of each label, so the join below sends a bounded table
-        rows = known.where((F.col("y") == y) & (unit("id") < part(seen.get(y, 0), n))).orderBy(spread("id", seed), "id").limit(n)
+    for y in (1, 0) if calibrate else (1,):  # at most so many rows of each label, so the join below sends a bounded table
+        rows = known.where((F.col("y") == y) & (unit(spread("id", seed)) < part(seen.get(y, 0), max_positive))).orderBy(spread("id", seed), "id").limit(max_positive)
         picked = rows if picked is None else picked.union(rows)
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~held_out("id"))
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), id_col, text_col).alias("h")).where(~held_out("id"))
     total = plain.count()
-    trusted = plain.join(F.broadcast(picked), "id").select("y", "text").limit(2 * sum(most.values()))
-    loose = plain.where(unit("id") < part(total, max_unlabelled)).join(known.select("id").distinct(), "id", "left_anti").select(F.lit(-1).alias("y"), "text").limit(2 * max_unlabelled)
-    got = trusted.union(loose).mapInArrow(_featured, "y int, x binary").collect()
-    if not got:
-        return None
+    trusted = plain.join(F.broadcast(picked), "id").select("y", "h", "text").limit(4 * max_positive)
+    loose = plain.where(unit(F.col("h")) < part(total, max_unlabelled)).join(known.select("id").distinct(), "id", "left_anti").select(F.lit(-1).alias("y"), "h", "text").limit(2 * max_unlabelled)
+    got = trusted.union(loose).mapInArrow(_featured, "y int, h long, x binary").collect()
+    got.sort(key=lambda r: (r["y"], r["h"], bytes(r["x"])))  # rows come in any order
     y = np.array([r["y"] for r in got])
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(len(got), -1).astype(np.float64)
-    order = np.lexsort([*x.T[:8], y])  # rows come in any order
-    x, y = x[order], y[order]
     if not (y == 1).any():
         return None
-    if not (y == -1).any():  # all rows are labelled: the labelled ones are the web text
-        unl = x
-    else:
-        unl = x[y == -1]
-    mean, scale = unl.mean(0), np.maximum(unl.std(0), 1e-3)
-    z = np.clip((x - mean) / scale, -8, 8)
-    layers = _fit_network(z[y == 1], np.clip((unl - mean) / scale, -8, 8), prior, seed)
+    x = _unpacked([r["x"] for r in got])
+    del got
+    some = y == -1 if (y == -1).any() else y >= -1  # all rows are labelled: the labelled ones are the web text
+    mean, scale = x[some].mean(0), np.maximum(x[some].std(0), 1e-3)
+    z = _scaled(x, mean, scale)
+    del x
+    prior = estimate_prior(z[y == 1], z[some], seed)
+    layers = _fit_network(z[y == 1], z[some], prior, seed)
     slope, offset = 1.0, 0.0
     if (y == 0).any():
-        _, raw = _forward(z[y >= 0], layers)
+        raw = _forward(z[y >= 0], layers)[1].astype(np.float64)
         few, many = (y == 0).sum(), (y == 1).sum()
         slope, offset = _calibrate(raw, y[y >= 0])
         # the samples of both labels were bounded apart; the offset is moved to the prior
@@ -198,6 +261,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(mean, scale, layers, prior, slope, offset)
 
 
+def _scores(raw: np.ndarray, off: np.ndarray, m: Model) -> np.ndarray:
+    z = _forward(_scaled(features(raw, off), m.mean, m.scale), m.layers)[1].astype(np.float64)
+    return _sigmoid(m.slope * z + m.offset)
+
+
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, score."""
     small_batches(docs.sparkSession)
@@ -208,11 +276,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for batch in batches:
             raw, off = utf8(batch.column(1))
             for at, to in chunks(off):
-                if m is None:
-                    s = np.full(to - at, 0.5)
-                else:
-                    x = np.clip((features(raw[off[at] : off[to]], off[at : to + 1]) - m.mean) / m.scale, -8, 8)
-                    s = _sigmoid(m.slope * _forward(x, m.layers)[1] + m.offset)
+                s = np.full(to - at, 0.5) if m is None else _scores(raw[off[at] : off[to]], off[at : to + 1], m)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(s.astype(np.float64))], ["doc_id", "score"])
 
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
@@ -237,8 +301,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             raw, off = utf8(batch.column(text_col))
             good = np.ones(batch.num_rows, bool)
             for at, to in chunks(off) if m is not None else ():
-                x = np.clip((features(raw[off[at] : off[to]], off[at : to + 1]) - m.mean) / m.scale, -8, 8)
-                good[at:to] = _sigmoid(m.slope * _forward(x, m.layers)[1] + m.offset) >= cut
+                good[at:to] = _scores(raw[off[at] : off[to]], off[at : to + 1], m) >= cut
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
