@@ -58,7 +58,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/hedgerow/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives executors.
 
     The folder is the caller's to sweep, as with any checkpoint; rows that are
@@ -67,7 +67,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

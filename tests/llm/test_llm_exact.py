@@ -129,17 +129,16 @@ def test_shards(spark, tmp_path):
     from tokenizers import Tokenizer
 
     docs = spark.createDataFrame([(i, f"text number {i} " * (i % 9)) for i in range(60)], "doc_id long, text string").repartition(5)
-    path = queries.vocabulary(queries.BYTE_BPE)
-    tokens = train_order.token_table(docs, queries.vocabulary(queries.BYTE_RANKS), stride=8)
-    seq = train_order.ordered_sequences(tokens, key=3, stride=8, per_shard=16, pad=50256)
-    manifest = train_order.write_shards(seq, str(tmp_path / "out"), stride=8, per_shard=16).collect()
-    n = seq.count()
-    assert sum(r.n_sequences for r in manifest) == n and sorted(r.shard for r in manifest) == list(range(-(-n // 16)))
-    rows = {r.slot: r for r in seq.collect()}
-    read = list(train_order.read_slots(str(tmp_path / "out"), 0, n + 5, stride=8, per_shard=16))
+    path, folder = queries.vocabulary(queries.BYTE_BPE), str(tmp_path / "out")
+    ranks = queries.vocabulary(queries.BYTE_RANKS)
+    shards = train_order.write_training_order(docs, ranks, folder, key=3, stride=8, per_shard=16, pad=50256).collect()
+    rows = {r.slot: r for r in train_order.ordered_sequences(train_order.token_table(docs, ranks, stride=8), key=3, stride=8, per_shard=16, pad=50256).collect()}
+    n = len(rows)
+    assert sum(r.n_sequences for r in shards) == n and sorted(r.shard for r in shards) == list(range(-(-n // 16)))
+    read = list(train_order.read_slots(folder, 0, n + 5))
     assert len(read) == n
     assert all(bytes(rows[s].record) == x.tobytes() for s, x in enumerate(read))
-    again = list(train_order.read_slots(str(tmp_path / "out"), 21, 7, stride=8, per_shard=16))
+    again = list(train_order.read_slots(f"file://{folder}", 21, 7))
     assert all((a == b).all() for a, b in zip(again, read[21:28], strict=True))
     tk = Tokenizer.from_file(path)
     for i in range(60):
