@@ -8,12 +8,14 @@ marked words, each distinct word once per worker, which gives the same ids as th
 text as a whole. New words are encoded in batches by the library's threads, and
 each is checked against the sentencepiece library; a difference is an error.
 
-Defined cases: a null text is an empty one without ids; ids may be null or
-repeat; columns other than id and text are not read.
+Defined cases: a null text is an empty one without ids; a text of any length is
+encoded whole; an empty table gives an empty one; ids may be null or repeat, each row
+gives a row; columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -25,7 +27,9 @@ from pyspark.sql import types as T
 from .common import chunks, small_batches, utf8
 
 MARK = "▁"
+#: Words that a worker remembers before it starts anew, and the longest of them: both bound its memory.
 CACHE = 250_000
+CACHED_CHARS = 64
 
 #: Fixed values of the model format: kinds of pieces and of models.
 _UNKNOWN, _CONTROL, _BYTE = 2, 3, 6
@@ -101,24 +105,28 @@ class Codec:
         self.known: dict[str, bytes] = dict(self.lone)
         self.bytes_of = [bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else b"" if p.type == _CONTROL else m.trainer_spec.unk_surface.encode() if p.type == _UNKNOWN else p.piece.replace(MARK, " ").encode() for p in m.pieces]
 
-    def _learn(self, texts: list[str]) -> None:
+    def _learn(self, texts: list[str]) -> dict[str, bytes]:
         """Encode texts that are new; each is compared with the other library."""
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        for text, ours, theirs in zip(texts, encoded, self.other.encode(texts, num_threads=1), strict=True):
-            if ours != theirs:
-                raise ValueError(f"the backend encodes {text!r} as {ours}, sentencepiece as {theirs}")
-        for text, ids in zip(texts, encoded, strict=True):
-            self.known[text] = np.array(ids, np.int32).tobytes()
+        encoded, other = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], self.other.encode(texts, num_threads=1)
+        if encoded != other:
+            text, ours, theirs = next(x for x in zip(texts, encoded, other, strict=True) if x[1] != x[2])
+            raise ValueError(f"the backend encodes {text!r} as {ours}, sentencepiece as {theirs}")
+        raw = np.fromiter(itertools.chain.from_iterable(encoded), np.int32).tobytes()
+        ends = list(itertools.accumulate((4 * len(ids) for ids in encoded), initial=0))
+        return {text: raw[a:b] for text, a, b in zip(texts, ends, ends[1:], strict=False)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as consecutive native 32-bit integers."""
         if len(self.known) > CACHE:
             self.known = dict(self.lone)
         split = [self._words(t) for t in texts]
-        known = self.known
+        known, long = self.known, {}
         if missing := list({w for words in split for w in words} - known.keys()):
-            self._learn(missing)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            new = self._learn(missing)
+            long = {w: ids for w, ids in new.items() if len(w) > CACHED_CHARS}
+            known.update((w, ids) for w, ids in new.items() if w not in long)
+        ids = (lambda w: long[w] if w in long else known[w]) if long else known.__getitem__
+        return [b"".join(map(ids, words)) for words in split]
 
     def _words(self, text: str) -> list[str]:
         """Parts that are encoded one by one; each stands for itself behind one marker."""

@@ -10,8 +10,9 @@ pre-tokeniser always starts a new piece, so the parts are independent. Texts wit
 other white space go through the pre-token pattern, and texts with a special
 string or with characters outside the proven range go to the library as a whole.
 
-Defined cases: a null text is an empty one with 0 tokens; ids may be null or
-repeat, each row gives a row; columns other than id and text are not read.
+Defined cases: a null text is an empty one with 0 tokens; a text of any length is
+counted whole; an empty table gives an empty one; ids may be null or repeat, each row
+gives a row; columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from pyspark.sql import types as T
 from .common import chunks, small_batches, utf8
 
 LIMIT = 512
-#: Distinct strings that a worker remembers before it starts anew.
+#: Distinct strings that a worker remembers before it starts anew, and the longest of them: both bound its memory.
 CACHE = 250_000
+CACHED_CHARS = 64
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRE = regex.compile(PATTERN)
@@ -94,7 +96,9 @@ class Encoder:
         out = []
         for p in _PRE.findall(text):
             if (ids := self.pre.get(p)) is None:
-                ids = self.pre[p] = self._library(p)
+                ids = self._library(p)
+                if len(p) <= CACHED_CHARS:
+                    self.pre[p] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -116,13 +120,17 @@ class Encoder:
         if way == "pieces":
             return len(self._pieces(text)) // 4
         parts, counts = text.split(" "), self.counts
+        n = len(self._pieces(parts.pop(0))) // 4
         try:
-            return len(self._pieces(parts[0])) // 4 + sum(map(counts.__getitem__, parts[1:]))
+            return n + sum(map(counts.__getitem__, parts))
         except KeyError:
-            for p in parts[1:]:
-                if p not in counts:
-                    counts[p] = len(self._pieces(" " + p)) // 4
-            return len(self._pieces(parts[0])) // 4 + sum(map(counts.__getitem__, parts[1:]))
+            for p in parts:
+                if (m := counts.get(p)) is None:
+                    m = len(self._pieces(" " + p)) // 4
+                    if len(p) <= CACHED_CHARS:
+                        counts[p] = m
+                n += m
+            return n
 
     def encode(self, text: str) -> bytes:
         """The ids as consecutive native 32-bit integers."""
@@ -132,13 +140,14 @@ class Encoder:
         if way == "pieces":
             return self._pieces(text)
         parts, known = text.split(" "), self.parts
-        try:
-            return self._pieces(parts[0]) + b"".join(map(known.__getitem__, parts[1:]))
-        except KeyError:
-            for p in parts[1:]:
-                if p not in known:
-                    known[p] = self._pieces(" " + p)
-            return self._pieces(parts[0]) + b"".join(map(known.__getitem__, parts[1:]))
+        out = [self._pieces(parts.pop(0))]
+        for p in parts:
+            if (ids := known.get(p)) is None:
+                ids = self._pieces(" " + p)
+                if len(p) <= CACHED_CHARS:
+                    known[p] = ids
+            out.append(ids)
+        return b"".join(out)
 
 
 _ENCODERS: dict[int, Encoder] = {}

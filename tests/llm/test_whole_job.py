@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
+import numpy as np
 import pytest
 
-from hedgerow.llm import langid, queries, sp_codec, suffix_dedup
+from hedgerow.llm import langid, queries, sp_codec, suffix_dedup, token_count
 
 WORDS = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcd"]
 
@@ -35,3 +36,19 @@ def test_no_language_is_left_out(spark, monkeypatch):
     monkeypatch.setattr(langid, "MAX_LANGUAGES", 2, raising=False)
     with pytest.raises(ValueError, match="languages"):
         langid.train(docs)
+
+
+def test_long_words_are_not_remembered():
+    """A text without spaces is one word; workers keep short ones only, so their memory is bounded."""
+    long = ["x" * 5000 + str(i) for i in range(50)] + ["日本語" * 700]
+    c = sp_codec.Codec(sp_codec.read_model(queries.vocabulary(queries.PIECES)))
+    want = [c.other.encode(t) for t in long]
+    assert [np.frombuffer(x, np.int32).tolist() for x in c.encode([f"a {t} b" for t in long])] == [c.other.encode(f"a {t} b") for t in long]
+    assert [np.frombuffer(x, np.int32).tolist() for x in c.encode(long)] == want
+    assert max(map(len, c.known)) <= sp_codec.CACHED_CHARS
+    spec = open(queries.vocabulary(queries.BYTE_BPE), encoding="utf-8").read()
+    e = token_count.Encoder(spec, token_count.whole_tokens(spec))
+    for t in long:
+        n = len(e.tokenizer.encode(f"a {t} b", add_special_tokens=False).ids)
+        assert e.count(f"a {t} b") == n == len(e.encode(f"a {t} b")) // 4
+    assert max(map(len, [*e.counts, *e.parts])) <= token_count.CACHED_CHARS and len(e.pre) <= len(e.whole) + 200
