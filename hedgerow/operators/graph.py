@@ -55,12 +55,21 @@ def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame], ro
 
 
 def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """Write and read again in the session's checkpoint folder (one of this machine's only where none is set)."""
+    """Write to the folder of ``spark.checkpoint.dir`` and read again.
+
+    Only in local mode may the setting be missing: on a cluster each executor would
+    write to a disk of its own.
+    """
     import tempfile
     import uuid
 
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}"
     path = f"{root.rstrip('/')}/hedgerow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hedgerow.functions.hashing import stable_hex
 
+from .order import running
 from .selection import kept_count, ranked
 
 _EXACT = 64
@@ -32,8 +33,8 @@ def tie_groups(df: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
     """Known labels by distinct score: m rows and e errors, n0 and c0 of those before."""
     known = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
     per = known.groupBy(*by, score).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col(y).cast("double")).alias("e"))
-    w = Window.partitionBy(*by).orderBy(score)
-    return per.select("*", (F.sum("m").over(w) - F.col("m")).alias("n0"), (F.sum("e").over(w) - F.col("e")).alias("c0"))
+    upto = running(per, by, [score], {"n1": "m", "c1": "e"}, rows=known)
+    return upto.select(*per.columns, (F.col("n1") - F.col("m")).alias("n0"), (F.col("c1") - F.col("e")).alias("c0"))
 
 
 def aurc(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
@@ -46,8 +47,8 @@ def aurc(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -> Da
 
 def aurc_row_order(df: DataFrame, by: list[str], y: str, score: str, position: str) -> DataFrame:
     """The older definition: ties in row order (MET3)."""
-    w = Window.partitionBy(*by).orderBy(score, position)
-    run = df.where(F.col(y).isNotNull()).select(*by, (F.sum(F.col(y).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.row_number().over(w)).alias("r"))
+    known = df.where(F.col(y).isNotNull()).select(*by, score, position, F.col(y).cast("double").alias("_y"))
+    run = running(known, by, [score, position], {"_e": "_y", "_n": F.lit(1)}).select(*by, (F.col("_e") / F.col("_n")).alias("r"))
     return run.groupBy(*by).agg(F.avg("r").alias("aurc"))
 
 
@@ -63,8 +64,8 @@ def average_precision(df: DataFrame, by: list[str], y: str = "y", score: str = "
     """Step-wise area under precision and recall over distinct thresholds, highest first (MET7)."""
     known = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
     per = known.groupBy(*by, score).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col(y).cast("double")).alias("e"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score))
-    steps = per.select(*by, "e", (F.sum("e").over(w) / F.sum("m").over(w)).alias("precision"))
+    upto = running(per, by, [F.desc(score)], {"n1": "m", "c1": "e"}, rows=known)
+    steps = upto.select(*by, "e", (F.col("c1") / F.col("n1")).alias("precision"))
     return steps.groupBy(*by).agg((F.sum(F.col("e") * F.col("precision")) / F.nullif(F.sum("e"), F.lit(0.0))).alias("average_precision"))
 
 
@@ -119,11 +120,11 @@ def selective(df: DataFrame, by: list[str], y: str = "y", keep: str = "keep") ->
 def retained_grid(df: DataFrame, by: list[str], coverages: list[float], y: str = "y", score: str = "score", id_: str = "id") -> DataFrame:
     """Bounds at several coverages from one ranking: coverages look up running counts by rank (MET9, TOP3).
 
-    One sort of each slice; the grid is joined to the running counts at its own
+    One order of each slice; the grid is joined to the running counts at its own
     ranks only, so rows are never multiplied by the number of coverages.
     """
-    w = Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    run = ranked(df, by, score, id_).select(*by, "rank", "n", F.coalesce(F.sum(y).over(w), F.lit(0)).alias("e"), F.sum(F.col(y).isNull().cast("long")).over(w).alias("u"))
+    counts = {"rank": F.lit(1), "e": F.coalesce(F.col(y), F.lit(0)), "u": F.col(y).isNull().cast("long")}
+    run = running(df.select(*by, y, score, id_), by, [F.col(score), stable_hex(id_)], counts, ["rank"]).withColumnRenamed("total_rank", "n")
     points = run.select(*by, "rank", "n", "e", "u", F.explode(F.filter(F.array(*map(F.lit, coverages)), lambda c: kept_count(F.col("n"), c) == F.col("rank"))).alias("target"))
     return points.select(*by, "target", "n", F.col("rank").alias("k"), F.col("e").cast("long").alias("e"), F.col("u").cast("long").alias("u"), (F.col("e") / F.col("rank")).alias("risk_lower"), ((F.col("e") + F.col("u")) / F.col("rank")).alias("risk_upper"))
 
@@ -158,9 +159,9 @@ def quantile_linear(score: str | Column, q: float) -> Column:
 
 def quantile_higher(df: DataFrame, by: list[str], score: str, q: float) -> DataFrame:
     """The order statistic at or above the quantile's place (MET19), from counts per distinct score."""
-    per = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("m"))
-    w = Window.partitionBy(*by)
-    upto = per.select("*", F.sum("m").over(w.orderBy(score)).alias("upto"), F.sum("m").over(w).alias("n"))
+    some = df.where(F.col(score).isNotNull())
+    per = some.groupBy(*by, score).agg(F.count(F.lit(1)).alias("m"))
+    upto = running(per, by, [score], {"upto": "m"}, ["upto"], some).withColumnRenamed("total_upto", "n")
     return upto.where(F.col("upto") >= F.ceil((F.col("n") - 1) * F.lit(q)) + 1).groupBy(*by).agg(F.min(score).alias("threshold"))
 
 
@@ -181,8 +182,8 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
     def rank_of(c: str) -> DataFrame:
         per = both.groupBy(*by, c).agg(F.count(F.lit(1)).alias("m"))
-        upto = F.sum("m").over(Window.partitionBy(*by).orderBy(c))
-        return per.select(*by, c, (upto - (F.col("m") - 1) / 2).alias(f"rank_{c}"))
+        upto = running(per, by, [c], {"upto": "m"}, rows=both)
+        return upto.select(*by, c, (F.col("upto") - (F.col("m") - 1) / 2).alias(f"rank_{c}"))
 
     joined = both.join(rank_of(a), [*by, a]).join(rank_of(b), [*by, b])
     rho = F.corr(f"rank_{a}", f"rank_{b}")

@@ -1,14 +1,13 @@
-"""Global row numbers without a global window (SRC1's position, JN8, BST1).
+"""Global row numbers and running sums without a global window (SRC1's position, JN8, BST1, WIN1).
 
-Rows are range-partitioned and sorted, written once, and numbered inside each
-partition; one count per partition gives the numbers of the partitions before. No
-task sees more than its range, and the written order can't change between the
-count and the numbering.
+Rows are range-partitioned, written once, and numbered or summed up inside each
+range; one sum per range gives what lies before it. No task sees more than its
+range, and the written order can't change between the sums and the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import checkpointed
@@ -26,3 +25,32 @@ def numbered(df: DataFrame, order: list[str], name: str = "_pos") -> DataFrame:
         total += n
     table = df.sparkSession.createDataFrame(base, "_part int, _base long")
     return rows.join(F.broadcast(table), "_part").select(*df.columns, (F.col("_base") + F.col("_local")).alias(name))
+
+
+#: Slices of at most this many rows are summed up in one window: a task sorts that many in its memory.
+WINDOW_ROWS = 5_000_000
+
+
+def running(df: DataFrame, by: list[str], order: list[Column | str], sums: dict[str, Column | str], totals: list[str] | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Adds for each name the sum of a value over the rows of the slice up to this one, and ``total_<name>`` for some.
+
+    Slices above ``WINDOW_ROWS`` rows are cut into ranges of (slice, order). ``rows``
+    is a table with at least the slices' rows that is cheaper to count than ``df``.
+    """
+    value = {n: F.col(c) if isinstance(c, str) else c for n, c in sums.items()}
+    totals = totals or []
+    largest = (df if rows is None else rows).groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= WINDOW_ROWS:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in value.items()], *[F.sum(value[n]).over(Window.partitionBy(*by)).alias(f"total_{n}") for n in totals])
+    ranged = checkpointed(df.repartitionByRange(*by, *order).select("*", F.spark_partition_id().alias("_part")), "ranges")
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # one row for each range and slice in it
+    parts = ranged.groupBy("_part", *by).agg(*[F.sum(c).alias(f"_s_{n}") for n, c in value.items()])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select(F.col("_part").alias("_p"), *[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_f_{n}") for n in value], *[F.sum(f"_s_{n}").over(Window.partitionBy(*by)).alias(f"total_{n}") for n in totals])
+    on = F.col("_part") == F.col("_p")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    summed = ranged.select("*", *[F.sum(c).over(inside).alias(f"_r_{n}") for n, c in value.items()])
+    return summed.join(base, on).select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_f_{n}")).alias(n) for n in value], *[f"total_{n}" for n in totals])

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from hedgerow.functions.hashing import stable_hex
 
+from .order import running
+
 
 def kept_count(n: Column, coverage: float | Column) -> Column:
     """How many of n rows a coverage keeps: rounded half to even, one at least (MTH6)."""
@@ -16,8 +18,7 @@ def kept_count(n: Column, coverage: float | Column) -> Column:
 
 def ranked(df: DataFrame, by: list[str], score: str, id_: str) -> DataFrame:
     """Adds ``rank`` (from 1, lowest score first, ties by seeded hash of the id) and ``n`` of the group."""
-    order = Window.partitionBy(*by).orderBy(F.col(score), stable_hex(id_))
-    return df.select("*", F.row_number().over(order).cast("long").alias("rank"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("n"))
+    return running(df, by, [F.col(score), stable_hex(id_)], {"rank": F.lit(1)}, ["rank"]).withColumnRenamed("total_rank", "n")
 
 
 def keep_top(df: DataFrame, by: list[str], score: str, id_: str, coverage: float) -> DataFrame:
@@ -28,8 +29,7 @@ def keep_top(df: DataFrame, by: list[str], score: str, id_: str, coverage: float
     most of the table is not sorted in one task.
     """
     per = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_m"))
-    w = Window.partitionBy(*by).orderBy(score)
-    upto = per.select("*", F.sum("_m").over(w).alias("_upto"), F.sum("_m").over(Window.partitionBy(*by)).alias("_n"))
+    upto = running(per, by, [score], {"_upto": "_m"}, ["_upto"], df).withColumnRenamed("total__upto", "_n")
     cut = upto.where(F.col("_upto") >= kept_count(F.col("_n"), coverage)).groupBy(*by).agg(F.min(F.struct(F.col(score).alias("s"), (kept_count(F.col("_n"), coverage) - (F.col("_upto") - F.col("_m"))).alias("room"))).alias("_cut"))
     on = F.lit(True)
     cut = cut.select(*[F.col(b).alias(f"_{b}") for b in by], "_cut")
@@ -43,6 +43,5 @@ def keep_top(df: DataFrame, by: list[str], score: str, id_: str, coverage: float
 
 def keep_first(df: DataFrame, by: list[str], score: str, position: str, coverage: float) -> DataFrame:
     """The older rule: ties by row position."""
-    order = Window.partitionBy(*by).orderBy(F.col(score), F.col(position))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return df.select("*", (F.row_number().over(order) <= kept_count(n, coverage)).alias("keep"))
+    run = running(df, by, [F.col(score), F.col(position)], {"_rank": F.lit(1)}, ["_rank"])
+    return run.select(*df.columns, (F.col("_rank") <= kept_count(F.col("total__rank"), coverage)).alias("keep"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hedgerow.functions.hashing import SEED, stable_hex, stable_u64
 
-from .order import numbered
+from .order import numbered, running
 
 
 def largest_remainder(n: int, fractions: dict[str, float]) -> dict[str, int]:
@@ -23,17 +23,27 @@ def largest_remainder(n: int, fractions: dict[str, float]) -> dict[str, int]:
     return out
 
 
+#: Rows of a table of groups that may come to the driver.
+MAX_GROUPS = 100_000
+
+
+def _bounded(groups: DataFrame, what: str) -> None:
+    """Refuse a table of groups that the driver can't hold, before it is collected."""
+    if groups.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups for {what}")
+
+
 def grouped_split(df: DataFrame, group: str, strata: list[str], fractions: dict[str, float], seed: int = SEED, tries: int = 20_000) -> DataFrame:
     """(group, split): whole groups to splits, exact group counts, best of many seeded orders (SPL1).
 
-    Spark counts rows by group and stratum; only that table, bounded by
-    ``max_groups`` groups, comes to the driver, where sizes and strata of the
+    Spark counts rows by group and stratum; only that table, of at most
+    ``MAX_GROUPS`` rows (more are refused), comes to the driver, where sizes and strata of the
     splits are scored for all candidate orders with array arithmetic.
     """
-    counts = df.groupBy(group, *strata).agg(F.count(F.lit(1)).alias("n")).collect()
+    per = df.groupBy(group, *strata).agg(F.count(F.lit(1)).alias("n"))
+    _bounded(per, "an exact split; split by a hash of the group instead")
+    counts = per.collect()
     names = sorted({r[group] for r in counts})
-    if len(names) > 100_000:
-        raise ValueError("too many groups for an exact split; split by a hash of the group instead")
     cells = sorted({tuple(str(r[s]) for s in strata) for r in counts})
     table = np.zeros((len(names), len(cells)))
     at, of = {x: i for i, x in enumerate(names)}, {x: i for i, x in enumerate(cells)}
@@ -64,7 +74,9 @@ def split_report(df: DataFrame, split: str, columns: list[str]) -> DataFrame:
 
 def fold_of_group(df: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, fold): groups by size, largest first, each to the fold that is smallest so far (SPL5)."""
-    sizes = sorted(((r["n"], r[group]) for r in df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (-x[0], x[1]))
+    per = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    _bounded(per, "folds by size; take a hash of the group instead")
+    sizes = sorted(((r["n"], r[group]) for r in per.collect()), key=lambda x: (-x[0], x[1]))
     heap = [(0, k) for k in range(folds)]
     rows = []
     for n, name in sizes:
@@ -95,23 +107,29 @@ def stratified_sample(df: DataFrame, stratum: str, kind: str, id_: str, per_kind
 def donors(df: DataFrame, id_: str, speaker: str, split: str | None, salt: str = "donor", seed: int = SEED, position: str = "_pos") -> DataFrame:
     """Each row's donor: another speaker of the same split, number ``hash mod count`` of the valid ones in row order (JN8, JN9).
 
-    No theta join: in a split's row order the k-th row of another speaker is
-    found by how many of the own speaker's rows stand before it. Rows of one
-    speaker are few (they are kept as a list per speaker), rows of a split may be many.
+    No theta join: rows are numbered in the order of their split. The valid donors are
+    the rows of others, of which the k-th follows from how many of the speaker's own
+    rows have at most k others before them: a running count over the merge of both
+    numbers. No list of a speaker's rows is built, however many they are.
     """
     keys = [split] if split else []
     placed = numbered(df, [*keys, position], "_at")
     sizes = placed.groupBy(*keys).agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_all"))
     base = (placed.join(sizes, keys) if keys else placed.crossJoin(F.broadcast(sizes))).select(*df.columns, (F.col("_at") - F.col("_from")).alias("_place"), "_all")
-    own = base.groupBy(*keys, speaker).agg(F.array_sort(F.collect_list("_place")).alias("_own"))
-    j = base.join(own, [*keys, speaker])
-    valid = F.col("_all") - F.size("_own")
+    # how many of the speaker's rows stand before each of them, so which places of others lie between two of them
+    own = running(base.select(*keys, speaker, "_place"), [*keys, speaker], ["_place"], {"_mine": F.lit(1)}, ["_mine"])
+    own = own.select(*keys, speaker, "_place", (F.col("_mine") - 1).alias("_before"), F.col("total__mine").alias("_own"))
+    j = base.join(own.select(*keys, speaker, "_place", "_own"), [*keys, speaker, "_place"])
+    valid = F.col("_all") - F.col("_own")
     k = (stable_u64(F.concat_ws(":", F.col(id_).cast("string"), F.lit(salt)), seed) % F.nullif(valid, F.lit(0)).cast("decimal(20,0)")).cast("long")
-    # own places o_1 < o_2 ...: the k-th other row is k plus the number of own places with o_i - (i - 1) <= k
-    shift = lambda own_, k_: F.aggregate(F.transform(own_, lambda o, i: F.when(o - i <= k_, F.lit(1)).otherwise(F.lit(0))), F.lit(0), lambda t, x: t + x)
-    target = j.select(*[c for c in df.columns], k.alias("_k"), "_own").select(*df.columns, (F.col("_k") + shift(F.col("_own"), F.col("_k"))).alias("_target"))
+    # the k-th row of others is at place k + b, where b of the speaker's rows have at most k others before them: a merge
+    # of wanted numbers and of the speaker's rows by the number of others before, summed up in order
+    asked = j.select(*keys, speaker, k.alias("_key"), F.lit(1).alias("_kind"), F.lit(0).alias("_one"), F.col(id_).alias("_id"))
+    marks = own.select(*keys, speaker, (F.col("_place") - F.col("_before")).alias("_key"), F.lit(0).alias("_kind"), F.lit(1).alias("_one"), F.lit(None).cast(df.schema[id_].dataType).alias("_id"))
+    merged = running(marks.union(asked.where("_key is not null")), [*keys, speaker], ["_key", "_kind", "_id"], {"_b": "_one"})
+    target = merged.where("_kind = 1").select(F.col("_id").alias(id_), (F.col("_key") + F.col("_b")).alias("_target"))
     there = base.select(*[F.col(c).alias(c) for c in keys], F.col("_place").alias("_target"), F.col(id_).alias("donor_id"), F.col(speaker).alias("donor_speaker"))
-    return target.join(there, [*keys, "_target"], "left").drop("_target")
+    return df.join(target, id_, "left").join(there, [*keys, "_target"], "left").drop("_target")
 
 
 def donor_design(rows: list[tuple[str, str]], seed: int = SEED) -> dict[str, str]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 def seed_distribution(df: DataFrame, by: list[str], seed: str, value: str, seeds: int = 5) -> DataFrame:
     """Mean, sample deviation and range over training seeds; ``complete`` tells whether all seeds are there and finite (AGG6)."""
@@ -99,7 +101,6 @@ def latencies(df: DataFrame, by: list[str], bare: str, parts: list[str]) -> Data
 
 
 def running_mean(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """Running sum over rank (WIN1), in one sort of each group."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.select("*", (F.sum(value).over(run) / F.row_number().over(w)).alias("running_mean"))
+    """Running sum over rank (WIN1)."""
+    run = running(df, by, order, {"_sum": value, "_rank": F.lit(1)})
+    return run.select(*df.columns, (F.col("_sum") / F.col("_rank")).alias("running_mean"))

@@ -76,7 +76,10 @@ def audio(path: str | Path, samples: np.ndarray, rate: int) -> None:
         f.writeframes((np.clip(samples, -1, 1) * 32767).round().astype("<i2").tobytes())
 
 
-def macros(df: DataFrame, name: str, value: str, digits: int = 4) -> str:
-    """LaTeX commands of named values (RPT4)."""
+def macros(df: DataFrame, name: str, value: str, digits: int = 4, limit: int = 10_000) -> str:
+    """LaTeX commands of named values (RPT4), of at most ``limit`` rows."""
     letters = F.regexp_replace(F.initcap(F.regexp_replace(name, "[^A-Za-z]+", " ")), " ", "")
-    return "".join(rf"\newcommand{{\{r[0]}}}{{{_cell(r[1], digits)}}}" + "\n" for r in df.select(letters, value).orderBy(letters).limit(10_000).collect())
+    rows = df.select(letters, value).orderBy(letters).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError("too many rows for macros")
+    return "".join(rf"\newcommand{{\{r[0]}}}{{{_cell(r[1], digits)}}}" + "\n" for r in rows)

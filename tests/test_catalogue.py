@@ -1,5 +1,3 @@
-import importlib.util
-
 import pytest
 
 from conftest import SF, canonical
@@ -31,4 +29,4 @@ def test_entry(spark):
 
 def test_registered_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert ("pipeline" in entry.queries()) == (importlib.util.find_spec("corpus_pipeline") is not None)
+    assert ("pipeline" in entry.queries()) == (entry._present("corpus_pipeline") and entry._present("hedgerow.llm.queries"))
