@@ -1,9 +1,8 @@
-"""Splits, samples and donors (SPL1, SPL2, SPL5-SPL8, SPL10, JN8, JN9, WIN4, SRT1)."""
+"""Splits, samples and donors (SPL1, SPL2, SPL5-SPL10, JN8, JN9, WIN4, SRT1)."""
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -132,36 +131,54 @@ def donors(df: DataFrame, id_: str, speaker: str, split: str | None, salt: str =
     return df.join(target, id_, "left").join(there, [*keys, "_target"], "left").drop("_target")
 
 
-def donor_design(rows: list[tuple[str, str]], seed: int = SEED) -> dict[str, str]:
-    """Pairs of recordings of distinct speakers (one 3-cycle if their number is odd): id -> donor id (SPL10).
+def donor_design(df: DataFrame, id_: str, speaker: str, seed: int = SEED) -> DataFrame:
+    """(id, donor_id): pairs of recordings of distinct speakers, and one 3-cycle if their number is odd (SPL10).
 
-    The two speakers with most recordings left are paired each time. Works on the
-    driver on (id, speaker) of a cohort.
+    Recordings stand in the order of their speaker's size, largest first, so a
+    speaker is one stretch of at most half the rows; the recording half the table
+    further on is then always someone else's, and the two are each other's donor. Of
+    an odd number one recording of each of the three largest speakers goes first. No
+    step is sequential: numbers come from ranges, partners from a join on them.
     """
-    from hashlib import sha256
-
-    order = lambda x: int(sha256(f"{seed}:{x}".encode()).hexdigest()[:16], 16)
-    left: dict[str, list[str]] = defaultdict(list)
-    for id_, speaker in rows:
-        left[speaker].append(id_)
-    if len({i for i, _ in rows}) != len(rows):
-        raise ValueError("an id occurs twice")
-    if len(rows) < 2 or max(len(x) for x in left.values()) > len(rows) // 2:
+    per = df.groupBy(speaker).agg(F.count(F.lit(1)).alias("_size"))
+    of = df.select(F.col(id_).alias("id"), F.col(speaker).alias("speaker")).join(per.withColumnRenamed(speaker, "speaker"), "speaker")
+    facts = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_).alias("ids")).crossJoin(per.agg(F.max("_size").alias("largest"))).first()
+    n = facts["n"]
+    if facts["ids"] != n:
+        raise ValueError("an id occurs twice or is null")
+    if n < 2 or facts["largest"] > n // 2:
         raise ValueError("a speaker has more recordings than the others together")
-    for ids in left.values():
-        ids.sort(key=order)
-    queue = [(-len(ids), order(s), s) for s, ids in left.items()]
-    heapq.heapify(queue)
-    out: dict[str, str] = {}
-    n = len(rows)
-    while n:
-        group = [heapq.heappop(queue) for _ in range(3 if n == 3 else 2)]
-        if len({s for *_, s in group}) != len(group):
-            raise ValueError("the last recordings don't have distinct speakers")
-        ids = [left[s].pop() for *_, s in group]
-        out.update(zip(ids, ids[1:] + ids[:1], strict=True))
-        for size, tie, s in group:
-            if size + 1:
-                heapq.heappush(queue, (size + 1, tie, s))
-        n -= len(group)
+    hashed = of.select("id", "speaker", (-F.col("_size")).alias("by_size"), stable_hex("speaker", seed).alias("of_speaker"), stable_hex("id", seed).alias("of_id"))
+    order = ["by_size", "of_speaker", "speaker", "of_id"]
+    if n % 2:
+        top = [r["speaker"] for r in hashed.select("by_size", "of_speaker", "speaker").distinct().orderBy("by_size", "of_speaker", "speaker").limit(3).collect()]
+        three = [r["id"] for r in hashed.where(F.col("speaker").isin(top)).groupBy("by_size", "of_speaker", "speaker").agg(F.min_by("id", "of_id").alias("id")).orderBy("by_size", "of_speaker", "speaker").collect()]
+        cycle = df.sparkSession.createDataFrame(list(zip(three, three[1:] + three[:1], strict=True)), f"id {df.schema[id_].dataType.simpleString()}, donor_id {df.schema[id_].dataType.simpleString()}")
+        hashed = hashed.where(~F.col("id").isin(three))
+        left = hashed.groupBy("speaker").agg(F.count(F.lit(1)).alias("s"))
+        hashed = hashed.join(left, "speaker").withColumn("by_size", -F.col("s"))
+        n -= 3
+    placed = numbered(hashed.select("id", *order), order, "at").select("id", "at")
+    partner = placed.select(F.col("id").alias("donor_id"), ((F.col("at") + n // 2) % F.lit(max(n, 1))).alias("at"))
+    pairs = placed.join(partner, "at").select("id", "donor_id")
+    return pairs.union(cycle) if facts["n"] % 2 else pairs
+
+
+def neighbour_donors(rows: list[tuple[str, str]]) -> dict[str, str]:
+    """Neighbours in row order as each other's donor; one of the same speaker changes places with the next of another (SPL9).
+
+    A sequential rule over a cohort's (id, speaker) on the driver, bounded by ``MAX_GROUPS``.
+    """
+    if len(rows) % 2:
+        raise ValueError("an even number of recordings is needed")
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} rows for a sequential rule; use donor_design")
+    order, out = list(rows), {}
+    for i in range(0, len(order), 2):
+        here = order[i][1]
+        j = next((j for j in range(i + 1, len(order)) if order[j][1] != here), None)
+        if j is None:
+            raise ValueError("no recording of another speaker is left")
+        order[i + 1], order[j] = order[j], order[i + 1]
+        out |= {order[i][0]: order[i + 1][0], order[i + 1][0]: order[i][0]}
     return out

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hedgerow.functions import numbers
 from hedgerow.operators import cohorts, contracts, decide, features, graph, heads, metrics, resample, selection, sensitivity, splits
 
 
@@ -148,17 +149,40 @@ def test_largest_remainder():
 
 
 @pytest.mark.parametrize("speakers", ["aabbc", "aaabbcc", "abcdef", "abcdefghijk"])
-def test_donor_design(speakers):
+def test_donor_design(spark, speakers):
     rows = [(f"{s}{i}", s) for i, s in enumerate(speakers)]
-    got = splits.donor_design(rows)
+    design = lambda r: {x.id: x.donor_id for x in splits.donor_design(spark.createDataFrame(r, "id string, sp string"), "id", "sp").collect()}
+    got = design(rows)
     assert sorted(got) == sorted(got.values()) == sorted(i for i, _ in rows)
     assert all(a[0] != b[0] for a, b in got.items())
-    assert got == splits.donor_design(rows[::-1])
+    assert sum(got[got[a]] != a for a in got) == (3 if len(rows) % 2 else 0)
+    assert got == design(rows[::-1])
 
 
-def test_donor_design_infeasible():
+def test_donor_design_infeasible(spark):
     with pytest.raises(ValueError):
-        splits.donor_design([(f"{s}{i}", s) for i, s in enumerate("aaabc"[:5] + "a")])
+        splits.donor_design(spark.createDataFrame([(f"{s}{i}", s) for i, s in enumerate("aaabca")], "id string, sp string"), "id", "sp")
+
+
+def test_neighbour_donors():
+    rows = [(f"{s}{i}", s) for i, s in enumerate("aabbcacb")]
+    got = splits.neighbour_donors(rows)
+    assert got["a0"] == "b2" and all(got[got[a]] == a and a[0] != got[a][0] for a, _ in rows)
+    for bad in ("aab", "aaab"):
+        with pytest.raises(ValueError):
+            splits.neighbour_donors([(f"{s}{i}", s) for i, s in enumerate(bad)])
+
+
+def test_number_readers_skip_texts_without_numbers(spark):
+    texts = ["no such word", "", None, "Twenty-one cats", "dixième", "ein Haus", "zweihundert", "trente et un", "mille mille", "٣ x", "none"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(numbers.number_mentions("t").alias("en"), numbers.german_numbers("t").alias("de"), numbers.french_numbers("t").alias("fr")).collect()
+    for t, r in zip(texts, got, strict=True):
+        if t is None:
+            assert r.en is r.de is r.fr is None
+            continue
+        assert [tuple(m) for m in r.en] == numbers.english_mentions(t) and r.de == numbers.german_values(t)
+        assert (r.fr if r.fr is None else [tuple(m) for m in r.fr]) == numbers.french_mentions(t)
 
 
 def test_components(spark):
