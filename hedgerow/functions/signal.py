@@ -10,7 +10,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,3 +163,39 @@ def overlapped(x: np.ndarray, rate: int, donor: np.ndarray, donor_rate: int, spa
     if own > 0 and other > 0:
         out[first:after] += fill * (own / 10 ** (snr / 20) / other)
     return out
+
+
+#: The transforms of a signal by name (AUD7).
+KINDS = ("identity", "gaussian_noise", "gain", "truncate_at_slot", "local_overlap")
+
+
+def transformed(df: DataFrame, kind: str, id_: str = "id", x: str = "x", **spec) -> DataFrame:
+    """Rows with the column ``x`` transformed by kind (AUD7).
+
+    ``local_overlap`` needs the columns donor, donor_rate, span_start and span_end;
+    the truncation needs the span. What is already there is left out beforehand with
+    ``contracts.pending`` on the listing of the target folder.
+    """
+    if kind not in KINDS:
+        raise ValueError(f"unknown transform {kind}")
+    if kind == "identity":
+        return df
+    if kind == "gaussian_noise":
+        return df.withColumn(x, add_noise(id_, x, spec["snr_db"], spec.get("seed", 0)))
+    if kind == "gain":
+        return df.withColumn(x, gain(x, spec["db"]))
+    if kind == "truncate_at_slot":
+        return df.withColumn(x, truncate_at(x, spec["rate"], "span_start", "span_end", spec["retain"]))
+
+    @F.pandas_udf("array<double>")
+    def overlap(xs: pd.Series, donors: pd.Series, rates: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([overlapped(np.asarray(v, np.float64), spec["rate"], np.asarray(d, np.float64), int(r), (a, b), spec["snr_db"]).tolist() for v, d, r, a, b in zip(xs, donors, rates, starts, ends, strict=True)])
+
+    return df.withColumn(x, overlap(x, "donor", "donor_rate", "span_start", "span_end"))
+
+
+def features_by_content(df: DataFrame, digest: str, x: str, rate: int) -> DataFrame:
+    """Signal features of each distinct content once, joined back to all rows that have it (AUD8)."""
+    one = df.groupBy(digest).agg(F.first(x).alias("_x"))
+    measured = one.select(F.col(digest), duration("_x", rate).alias("audio_duration"), rms_db("_x").alias("audio_rms_db"), zero_fraction("_x").alias("audio_zero_fraction"), clip_fraction("_x").alias("audio_clip_fraction"))
+    return df.drop(x).join(measured, digest)

@@ -1,4 +1,4 @@
-"""Cohort funnels, filters and row expansion (FLT1-FLT17, GEN1-GEN4, GEN8, WIN5, SRC5)."""
+"""Cohort funnels, filters and row expansion (FLT1-FLT12, FLT15-FLT17, GEN1, GEN3, GEN4, GEN6-GEN9, WIN5, SRC5)."""
 
 from __future__ import annotations
 
@@ -78,3 +78,71 @@ def guarded(df: DataFrame, label_only: list[str]) -> DataFrame:
 def with_position(df: DataFrame, *order: str) -> DataFrame:
     """Adds ``_pos``, the row's place (from 0) in the given order."""
     return numbered(df, list(order))
+
+
+def of_kinds(df: DataFrame, column: str, kinds: list[str]) -> DataFrame:
+    """Rows of some kinds, case aside; a row without a kind has none (FLT1)."""
+    return df.where(F.lower(F.coalesce(F.col(column), F.lit(""))).isin([k.lower() for k in kinds]))
+
+
+def aligned_only(df: DataFrame, alignments: DataFrame, id_: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with an alignment, one row with the number of those without) (FLT2)."""
+    keys = alignments.select(id_).distinct()
+    return df.join(keys, id_, "left_semi"), df.join(keys, id_, "left_anti").agg(F.count(F.lit(1)).alias("excluded"))
+
+
+def partition_rows(df: DataFrame, split: str | None = None, kind: str | None = None) -> DataFrame:
+    """Rows of a split, of a kind of fact, or of both (FLT4)."""
+    out = df if split is None else df.where(F.col("split") == split)
+    return out if kind is None else out.where(F.col("fact_type") == kind)
+
+
+def missing_conditions(df: DataFrame, required: list[str], condition: str = "condition") -> DataFrame:
+    """Required conditions that no row has (FLT11)."""
+    wanted = df.sparkSession.createDataFrame([(c,) for c in required], f"{condition} string")
+    return wanted.join(df.select(condition).distinct(), condition, "left_anti")
+
+
+def annotation_flags(text: Column, patterns: dict[str, str]) -> Column:
+    """Names of the patterns that a text matches, in their order: why a person should look at it (FLT15)."""
+    return F.filter(F.array(*[F.when(text.rlike(p), n) for n, p in patterns.items()]), lambda x: x.isNotNull())
+
+
+def second_backend(df: DataFrame, kind: str = "number", rewrites: dict[str, str] | None = None) -> DataFrame:
+    """The controlled rows that a second backend is asked about, with its settings in place of the first one's (FLT16)."""
+    out = df.where(F.col("fact_type") == kind)
+    return out.withColumns({c: F.lit(v) for c, v in (rewrites or {}).items()})
+
+
+def probes_of(df: DataFrame, names: list[str], folder: str, id_: str = "id") -> DataFrame:
+    """Adds ``probes``: (name, audio) of each derived signal, at a path made of the row's safe id (GEN6)."""
+    from hedgerow.functions.hashing import safe_id
+
+    paths = [F.struct(F.lit(n).alias("name"), F.concat(F.lit(f"{folder}/{n}/"), safe_id(id_), F.lit(".wav")).alias("audio")) for n in names]
+    return df.withColumn("probes", F.array(*paths))
+
+
+def revised(manifest: DataFrame, rebuilt: DataFrame, digest: list[str], id_: str = "id", content: str = "audio_sha256") -> DataFrame:
+    """Manifest with rebuilt rows in place of old ones; ``requires_fresh_prediction`` where the content changed, and a digest of each row (GEN7)."""
+    from hedgerow.functions.hashing import fingerprint
+
+    from .contracts import overlay
+
+    was = manifest.select(F.col(id_), F.col(content).alias("_was"))
+    out = overlay(manifest, rebuilt, id_).join(was, id_, "left")
+    return out.select(*manifest.columns, (~F.col(content).eqNullSafe(F.col("_was"))).alias("requires_fresh_prediction"), fingerprint(*digest).alias("row_digest"))
+
+
+def annotation_sheet(df: DataFrame, shown: list[str], human: list[str], annotators: int, seed: int, id_: str = "id") -> DataFrame:
+    """Blinded rows in a seeded order of each annotator, human columns blank (GEN9).
+
+    The order is that of a hash, not of another language's generator.
+    """
+    from hedgerow.functions.hashing import stable_hex
+
+    who = df.select(F.col(id_), *shown, F.explode(F.sequence(F.lit(1), F.lit(annotators))).alias("annotator"))
+    keyed = who.withColumn("_key", stable_hex(F.concat_ws(":", "annotator", F.col(id_).cast("string")), seed))
+    placed = numbered(keyed, ["annotator", "_key"], "_at")
+    start = Window.partitionBy("annotator")
+    blind = placed.select("annotator", (F.col("_at") - F.min("_at").over(start) + 1).alias("row"), *shown, *[F.lit("").alias(h) for h in human], F.sha2(F.concat_ws(":", F.lit(seed), F.col(id_).cast("string")), 256).alias("item"))
+    return blind.withColumn("item", F.substring("item", 1, 12))

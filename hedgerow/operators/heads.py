@@ -1,4 +1,4 @@
-"""Risk heads and calibration (MDL1-MDL6, MDL8, MDL11, MTH1, MTH2).
+"""Risk heads and calibration (MDL1-MDL8, MDL11, MTH1, MTH2).
 
 Imputation and scaling parameters are SQL aggregates; logistic heads are
 pyspark.ml; extremely randomised trees are grown tree by tree on executors from a
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a training matrix that is sent to the executors.
 MAX_MATRIX_ROWS = 200_000
+#: Fixed value: the inverse strength of the older calibration.
+LEGACY_RIDGE = 1e-6
 
 
 # ---------------------------------------------------------------- preparation
@@ -95,6 +97,22 @@ def fit_logistic(train: DataFrame, y: str = "y", strength: float = 1.0, iteratio
     return Logistic([float(v) for v in model.coefficients], float(model.intercept))
 
 
+@dataclass
+class Fitted:
+    """A model of pyspark.ml; its score is the probability of label 1."""
+
+    model: object
+
+    def score(self, df: DataFrame, array: str = "features_array") -> Column:
+        raise TypeError("a pyspark.ml model scores a table; use scored")
+
+    def scored(self, df: DataFrame, name: str, array: str = "features_array") -> DataFrame:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        made = self.model.transform(df.withColumn("features", array_to_vector(array)))
+        return made.select(*df.columns, vector_to_array("probability")[1].alias(name))
+
+
 def fit_boosting(train: DataFrame, y: str = "y", rounds: int = 150, rate: float = 0.05, depth: int = 3, seed: int = 1):
     """Gradient-boosted trees of depth 3 (about seven leaves) by pyspark.ml (MDL5)."""
     from pyspark.ml.classification import GBTClassifier
@@ -214,15 +232,20 @@ def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def fit_platt(scores: DataFrame, by: list[str], y: str = "y", raw: str = "raw", steps: int = 40) -> DataFrame:
+def fit_platt(scores: DataFrame, by: list[str], y: str = "y", raw: str = "raw", steps: int = 40, legacy: bool = False) -> DataFrame:
     """(by, a, b) of sigmoid(a * logit(raw) + b) with a >= 0, a ridge of 1e-8 on the slope (MDL8).
 
+    The ``legacy`` form has a free slope with a weak ridge on the sum of losses, and
+    refuses scores whose labels are all the same (MDL7).
+
     Rows are summed per distinct score first; each Newton step is one grouped
     aggregate over those sums. Where the slope would be negative it is 0, and b is
     the log odds of the mean label.
     """
     spark = scores.sparkSession
     cells = scores.where(F.col(y).isNotNull()).groupBy(*by, logit(raw).alias("x")).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col(y).cast("double")).alias("e")).cache()
+    if legacy and cells.groupBy(*by).agg(F.sum("e").alias("e"), F.sum("m").alias("m")).where("e = 0 or e = m").count():
+        raise ValueError("a calibration set must hold both labels")
     now = {tuple(r[c] for c in by): (1.0, 0.0) for r in cells.select(*by).distinct().collect()}
     kinds = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in by)
     table = lambda: spark.createDataFrame([(*k, a, b) for k, (a, b) in now.items()], f"{kinds}, a double, b double")
@@ -234,12 +257,12 @@ def fit_platt(scores: DataFrame, by: list[str], y: str = "y", raw: str = "raw",
         for r in sums:
             key = tuple(r[c] for c in by)
             a, b = now[key]
-            ridge = 2e-8 * r["n"]
+            ridge = LEGACY_RIDGE if legacy else 2e-8 * r["n"]
             hess = np.array([[r["wxx"] + ridge, r["wx"]], [r["wx"], r["w"]]]) + 1e-12 * np.eye(2)
             da, db = np.linalg.solve(hess, [r["gx"] + ridge * a, r["g"]])
             size = max(1.0, abs(da) / 5, abs(db) / 5)
             a2, b2 = a - da / size, b - db / size
-            if a2 <= 0:
+            if a2 <= 0 and not legacy:
                 mean = min(max(r["e"] / r["n"], 1e-6), 1 - 1e-6)
                 a2, b2 = 0.0, float(np.log(mean / (1 - mean)))
             moved = max(moved, abs(a2 - a) + abs(b2 - b))

@@ -1,4 +1,4 @@
-"""Paired cluster bootstrap (BST1, BST2, BST5).
+"""Paired cluster bootstrap (BST1-BST5).
 
 Draws are a small table (replicate, cluster, weight): a cluster drawn twice counts
 twice, so replicates are weights and rows are never copied. Rows are first summed
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hedgerow.functions.hashing import SEED, stable_u64
 
 from .metrics import _harmonic
-from .order import numbered
+from .order import numbered, running
 
 #: Clusters whose draws are made on the driver.
 MAX_CLUSTERS = 100_000
@@ -83,3 +83,36 @@ def bootstrap_sums(stats: DataFrame, draws: DataFrame, columns: list[str], clust
     """Weighted sums of additive statistics in each replicate, summed by cluster first (BST5)."""
     sums = stats.groupBy(cluster).agg(*[F.sum(c).alias(c) for c in columns])
     return sums.join(draws.withColumnRenamed("cluster", cluster), cluster).groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in columns])
+
+
+def by_condition(scores: DataFrame, condition: str, cluster: str, replicates: int, first: str, second: str, method: str = "method", seed: int = SEED) -> DataFrame:
+    """Interval of first - second within each condition, over draws of the clusters that the condition has (BST3).
+
+    The conditions' names come to the driver; each is a cohort of its own.
+    """
+    from functools import reduce
+
+    names = [r[0] for r in scores.where(F.col(condition).isNotNull()).select(condition).distinct().orderBy(condition).limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1000 conditions")
+    parts = []
+    for name in names:
+        mine = scores.where(F.col(condition) == name)
+        draws = hash_draws(mine.select(cluster).distinct(), replicates, seed)
+        parts.append(paired_interval(bootstrap_aurc(mine, draws, method, cluster), method, first, second).select(F.lit(name).alias("condition"), "*"))
+    return reduce(DataFrame.union, parts)
+
+
+def bootstrap_row_order(scores: DataFrame, draws: DataFrame, position: str, method: str = "method", cluster: str = "cluster", y: str = "y", score: str = "score") -> DataFrame:
+    """The older AURC of each (replicate, method), ties in row order (BST4).
+
+    A cluster drawn several times counts its rows as often, one after another, so a
+    row of weight w is w equal terms: the mean of running risks over its w ranks.
+    """
+    known = scores.where(F.col(y).isNotNull() & F.col(score).isNotNull()).select(method, cluster, F.col(y).cast("double").alias("y"), score, position)
+    drawn = known.join(draws.withColumnRenamed("cluster", cluster), cluster)
+    run = running(drawn, ["replicate", method], [score, position], {"n1": "weight", "e1": F.col("y") * F.col("weight")}, rows=drawn)
+    n0, e0 = F.col("n1") - F.col("weight"), F.col("e1") - F.col("y") * F.col("weight")
+    # sum over i = 1..w of (e0 + i y) / (n0 + i) = w y + (e0 - n0 y) (H(n0 + w) - H(n0))
+    part = F.col("weight") * F.col("y") + (e0 - n0 * F.col("y")) * (_harmonic(F.col("n1")) - _harmonic(n0))
+    return run.groupBy("replicate", method).agg((F.sum(part) / F.sum("weight")).alias("aurc"))

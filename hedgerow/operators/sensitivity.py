@@ -1,4 +1,4 @@
-"""Bounds and label-flip budgets of a difference between two selections (SEN1, SEN2)."""
+"""Bounds and label-flip budgets of differences between selections (SEN1-SEN3)."""
 
 from __future__ import annotations
 
@@ -58,3 +58,22 @@ def interval_class(low: Column, high: Column) -> Column:
         .when(low > 0, "full_higher")
         .otherwise("cannot_exclude")
     )
+
+
+def cohort_bundle(scores: DataFrame, primary: str, baselines: list[str], coverages: tuple[float, ...] = (0.8, 0.9, 0.95), y: str = "y", score: str = "raw", id_: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(bounds of primary against each baseline at each share, flip budget of the primary's best 90 % against all rows) (SEN3).
+
+    ``scores`` is long: id, method, y, score.
+    """
+    from functools import reduce
+
+    from .selection import keep_top
+
+    kept = {c: keep_top(scores, ["method"], score, id_, c) for c in coverages}
+    parts = []
+    for c, rows in kept.items():
+        mine = rows.where(F.col("method") == primary).select(id_, y, F.col("keep").alias("keep_a"))
+        other = rows.where(F.col("method").isin(baselines)).select(id_, F.col("method").alias("baseline"), F.col("keep").alias("keep_b"))
+        parts.append(difference_bounds(mine.join(other, id_), ["baseline"], y).select("baseline", F.lit(c).alias("coverage"), "lower", "upper"))
+    every = keep_top(scores.where(F.col("method") == primary), ["method"], score, id_, 0.9).select("method", y, F.col("keep").alias("keep_a"), F.lit(True).alias("keep_b"))
+    return reduce(DataFrame.union, parts), flip_budget(every, ["method"], y)

@@ -43,6 +43,20 @@ def document(payload: dict, path: str | Path) -> None:
     os.replace(aside, path)
 
 
+def yaml_document(payload: dict, path: str | Path) -> None:
+    """One YAML mapping with its keys in their order, written aside and renamed (SNK3)."""
+    import yaml
+
+    if not isinstance(payload, dict):
+        raise ValueError("the root must be a mapping")
+    aside = f"{path}.tmp"
+    with open(aside, "w", encoding="utf-8") as f:
+        yaml.safe_dump(payload, f, sort_keys=False, allow_unicode=True)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(aside, path)
+
+
 def csv(df: DataFrame, path: str) -> None:
     """A small report table as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
