@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside a function over an array an outer expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility normal form, for which there is no built-in."""
@@ -53,16 +59,16 @@ def token_distance(a: str | Column, b: str | Column) -> Column:
     Each different token of the pair becomes one character, so that the built-in
     distance of strings does the work; for up to 20,000 different tokens a pair.
     """
-    a, b = _col(a), _col(b)
-    known = F.array_distinct(F.concat(a, b))
-    code = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0x3400), 4, "0")), "UTF-16BE")
-    return F.levenshtein(F.array_join(F.transform(a, code), ""), F.array_join(F.transform(b, code), ""))
+    both = F.struct(_col(a).alias("a"), _col(b).alias("b"))
+    code = lambda known, t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0x3400), 4, "0")), "UTF-16BE")
+    coded = lambda known, x: F.array_join(F.transform(x, lambda t: code(known, t)), "")
+    return let(both, lambda p: let(F.array_distinct(F.concat(p["a"], p["b"])), lambda known: F.levenshtein(coded(known, p["a"]), coded(known, p["b"]))))
 
 
 def normalized_distance(a: str | Column, b: str | Column) -> Column:
     """Edit distance over the longer length; 0 for two empty texts (TXT4)."""
-    a, b = _col(a), _col(b)
-    return token_distance(a, b) / F.greatest(F.size(a), F.size(b), F.lit(1))
+    both = F.struct(_col(a).alias("a"), _col(b).alias("b"))
+    return let(both, lambda p: token_distance(p["a"], p["b"]) / F.greatest(F.size(p["a"]), F.size(p["b"]), F.lit(1)))
 
 
 def pairwise_mean(df: DataFrame, by: str, tokens: str) -> DataFrame:
@@ -80,11 +86,14 @@ def pairwise_mean(df: DataFrame, by: str, tokens: str) -> DataFrame:
 
 def coverage(reference: str | Column, hypothesis: str | Column) -> Column:
     """(precision, recall) of token sets; (1, 1) for two empty ones (TXT6)."""
-    r, h = F.array_distinct(_col(reference)), F.array_distinct(_col(hypothesis))
-    both = F.size(F.array_intersect(r, h)).cast("double")
-    empty = (F.size(r) == 0) & (F.size(h) == 0)
-    one = F.lit(1.0)
-    return F.struct(F.when(empty, one).otherwise(both / F.greatest(F.size(h), F.lit(1))).alias("precision"), F.when(empty, one).otherwise(both / F.greatest(F.size(r), F.lit(1))).alias("recall"))
+    sets = F.struct(F.array_distinct(_col(reference)).alias("r"), F.array_distinct(_col(hypothesis)).alias("h"))
+
+    def both(s: Column) -> Column:
+        n, h, r = F.size(F.array_intersect(s["r"], s["h"])).cast("double"), F.size(s["h"]), F.size(s["r"])
+        share = lambda size: F.when((h == 0) & (r == 0), F.lit(1.0)).otherwise(n / F.greatest(size, F.lit(1)))
+        return F.struct(share(h).alias("precision"), share(r).alias("recall"))
+
+    return let(sets, both)
 
 
 def coverage_gap(reference: str | Column, hypothesis: str | Column) -> Column:
