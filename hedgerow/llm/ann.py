@@ -11,13 +11,14 @@ vectors, in double precision.
 
 Equal vectors are one entry: only the k + 1 smallest ids of each can ever be in a
 result, and a filter on the rank before the shuffle keeps it at that. Equal
-queries are searched once. Lists above ``LIST_ROWS`` entries are split by a hash.
+queries are searched once. Lists above ``LIST_ROWS`` entries, and the queries of a
+list above ``QUERY_ROWS``, are split by a hash, so a task holds a bounded piece of both.
 
 Defined cases: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part, as query or as
 candidate; ties go to the smaller id; of rows with the same id and vector one
 takes part, rows that share an id but not the vector are candidates each, never
-of a query with their id; a table with fewer candidates than k gives all of them
+of a query with their id; an empty table or no query gives an empty result; a table with fewer candidates than k gives all of them
 if the probed lists hold them, and lists are few for small tables so that they do.
 """
 
@@ -42,6 +43,7 @@ PER_LIST = 200
 COVERAGE = 0.97
 MIN_PROBES = 8
 LIST_ROWS = 20_000
+QUERY_ROWS = 20_000
 BLOCK = 16
 #: Width of the test: larger abandons later.
 EPSILON = 2.1
@@ -171,8 +173,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     q = keep(q.select("query_id", "v", F.xxhash64("v").alias("q")), "ann-queries")
     asked = q.groupBy("q", "v").agg(F.count(F.lit(1)).alias("n")).select("q", "v")
     asked = asked.mapInPandas(lists(wide), "q long, v array<double>, lists array<int>").select("q", "v", F.explode("lists").alias("list"))
-    left = base.join(F.broadcast(parts), "list").select("h", "v", "list", F.pmod(F.hash("h"), F.col("parts")).alias("part"))
-    asked = asked.join(F.broadcast(parts), "list").select("q", "v", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asked = keep(asked, "ann-asked")
+    pieces = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("pieces"))
+    cut = parts.join(pieces, "list")  # a list that no query asks for is not scanned
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    left = base.join(F.broadcast(cut), "list").select("h", "v", "list", F.pmod(F.hash("h"), F.col("parts")).alias("part"), every("pieces", "piece"))
+    asked = asked.join(F.broadcast(cut), "list").select("q", "v", "list", every("parts", "part"), F.pmod(F.hash("q"), F.col("pieces")).alias("piece"))
 
     def search(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(wanted):
@@ -181,7 +187,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
         h, q_ = rows["h"].to_numpy(), wanted["q"].to_numpy()
         return pd.DataFrame({"q": np.repeat(q_, [len(p) for p, _ in found]), "h": np.concatenate([h[p] for p, _ in found]), "score": np.concatenate([s for _, s in found])})
 
-    hits = left.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(search, "q long, h long, score double")
+    hits = left.groupBy("list", "part", "piece").cogroup(asked.groupBy("list", "part", "piece")).applyInPandas(search, "q long, h long, score double")
     # of the hits of all lists, the k + 1 nearest vectors and those as far as the last
     near = hits.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy("score"))).where(F.col("r") <= k + 1).drop("r")
     members = near.join(base.select("h", "ids"), "h").select("q", "score", F.explode("ids").alias("vec_id"))
