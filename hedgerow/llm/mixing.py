@@ -9,7 +9,8 @@ a seeded hash, as long as their tokens fit.
 
 The prefix of a leaf is a cut on that hash. It is found from sums over hash
 buckets and then inside the one bucket where the budget ends, so no task ever
-holds a leaf, however large, and what the driver sees is one row per leaf.
+holds a leaf, however large (buckets hold about ``BUCKET_DOCS`` documents, up to a
+billion of a leaf), and what the driver sees is one row per leaf.
 
 Defined cases: null levels are leaves of their own; weight 0 takes nothing, and a
 name without a weight has ``default``; a null text has no tokens and is taken
@@ -30,7 +31,7 @@ from .common import SPACE, keep
 
 #: More leaves than this are refused: budgets are worked out on the driver.
 MAX_LEAVES = 50_000
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 1000
 
 
 @dataclass
@@ -114,11 +115,11 @@ def _plan(rows: DataFrame, n_levels: int, weights: Weights, budget: int | None,
     schema = ", ".join(f"{c} string" for c in names)
     table = [(*leaf, *divmod(given[leaf], n), i) if n else (*leaf, 0, 0, i) for i, (leaf, n) in enumerate(supply.items())]
     plan = spark.createDataFrame(table, f"{schema}, whole long, rest long, leaf int")
-    bits = max(1, min(16, (max((r["docs"] for r in leaves), default=1) // BUCKET_DOCS).bit_length()))
+    bits = max(1, min(20, (max((r["docs"] for r in leaves), default=1) // BUCKET_DOCS).bit_length()))
     h = _order(F.col("whole"), seed, F.col("id"), F.col("text_hash"))
     hashed = _with_plan(rows, plan, names).where("rest > 0").select("leaf", "rest", "n_tokens", h.alias("h")).select("*", F.shiftright("h", 64 - bits).alias("bucket"))
     sums = hashed.groupBy("leaf", "bucket").agg(F.sum("n_tokens").alias("t"))
-    # at most 65,536 buckets of a leaf are summed up in order
+    # at most 1,048,576 buckets of a leaf are summed up in order
     run = sums.select("*", F.sum("t").over(Window.partitionBy("leaf").orderBy("bucket")).alias("upto"))
     edge = run.join(F.broadcast(plan.select("leaf", "rest")), "leaf").where(F.col("upto") > F.col("rest"))
     edge = edge.groupBy("leaf").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("t")).alias("base")), "bucket").alias("x")).select("leaf", "x.*")
