@@ -13,9 +13,10 @@ of each. More than ``MAX_LANGUAGES`` labels are refused, as the matrix would not
 the driver; no label is left out. Every text is scored as a whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
-null label is no label; without any label all texts are ``und``; ids may be null
-or repeat, each row gives a row, and a null id counts as held out; columns other
-than those named are not read.
+null label is no label; without any label all texts are ``und``; of equal votes the
+label first in the alphabet wins; an empty table gives an empty one; a text of any
+length is read whole; ids may be null or repeat, each row gives a row, and a null id
+counts as held out; columns other than those named are not read.
 """
 
 from __future__ import annotations

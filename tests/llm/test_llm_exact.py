@@ -232,7 +232,10 @@ def test_mixture(spark, monkeypatch, bucket):
     assert kept.columns == df.columns and kept.count() == len(got)
 
 
-def test_vector_recall(spark):
+@pytest.mark.parametrize("pieces", [20_000, 7])
+def test_vector_recall(spark, monkeypatch, pieces):
+    monkeypatch.setattr(ann, "QUERY_ROWS", pieces)
+    monkeypatch.setattr(ann, "LIST_ROWS", pieces * 10)
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(30, 24))
     x = (centre[rng.integers(0, 30, 4000)] + 0.5 * rng.normal(size=(4000, 24))).astype(np.float32)
