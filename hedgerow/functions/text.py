@@ -156,9 +156,9 @@ def word_total(text: str | Column) -> Column:
     return F.size(F.filter(F.split(_col(text), r"(?U)\s+"), lambda w: w != ""))
 
 
-def _ngrams(text: Column, n: int) -> Column:
-    size = F.length(text) - n + 1
-    return F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def _ngrams(characters: Column, n: int) -> Column:
+    size = F.size(characters) - n + 1
+    return F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.array_join(F.slice(characters, i, n), ""))).otherwise(F.array().cast("array<string>"))
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -185,12 +185,13 @@ def chrf_counts(df: DataFrame, reference: str, hypothesis: str, orders: int = 6,
         t = F.regexp_replace(t, r"(?U)\s+", " " if spaces else "")
         return F.regexp_replace(t, r"^ | $", "")
 
-    base = df.select("*", plain(reference).alias("_r"), plain(hypothesis).alias("_h"))
-    parts = []
-    for n in range(1, orders + 1):
-        r, h = _ngrams(F.col("_r"), n), _ngrams(F.col("_h"), n)
-        parts.append(F.struct(F.lit(n).alias("order"), F.size(h).alias("hyp"), F.size(r).alias("ref"), _overlap(h, r).alias("match")))
-    return base.select(*df.columns, F.array(*parts).alias("chrf"))
+    characters = lambda c: F.regexp_extract_all(plain(c), F.lit("(?s)."), F.lit(0))
+
+    def part(s: Column, n: int) -> Column:
+        return let(F.struct(_ngrams(s["r"], n).alias("r"), _ngrams(s["h"], n).alias("h")), lambda g: F.struct(F.lit(n).alias("order"), F.size(g["h"]).alias("hyp"), F.size(g["r"]).alias("ref"), _overlap(g["h"], g["r"]).alias("match")))
+
+    both = F.struct(characters(reference).alias("r"), characters(hypothesis).alias("h"))
+    return df.select("*", let(both, lambda s: F.array(*[part(s, n) for n in range(1, orders + 1)])).alias("chrf"))
 
 
 def chrf_f(counts: Column, beta: float = 2.0) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hedgerow.operators.contracts import ContractError, pending, stale
+from hedgerow.operators.graph import checkpointed
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -27,14 +28,15 @@ def _sink(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def run_pending(rows: DataFrame, scorer: Scorer, sink: str, schema, id_: str = "id", fingerprint: str = "fingerprint") -> int:
     """Score the rows that the sink doesn't hold and append them; rows done under another fingerprint are an error."""
-    spark = rows.sparkSession
-    done = _sink(spark, sink, schema)
+    whole = _sink(rows.sparkSession, sink, schema)
+    # of the sink only the batch's ids and their fingerprints are kept, read once
+    done = checkpointed(whole.select(id_, fingerprint).join(rows.select(id_).distinct(), id_, "left_semi"), "done")
     if stale(rows, done, id_, fingerprint).limit(1).count():
         raise ContractError("rows in the sink were made from other inputs")
     todo = pending(rows, done, id_).dropDuplicates([id_])
-    out = scorer(todo).select(*[f.name for f in done.schema.fields])
+    out = checkpointed(scorer(todo).select(*[f.name for f in whole.schema.fields]), "scored")
     out.write.mode("append").parquet(sink)
-    return _sink(spark, sink, schema).count() - done.count()
+    return out.count()
 
 
 def follow(source: DataFrame, scorer: Scorer, sink: str, checkpoint: str, schema, id_: str = "id", fingerprint: str = "fingerprint", once: bool = True) -> StreamingQuery:
