@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, line_rules, mixing, ngram_join, quality_pu, sp_codec, suffix_dedup, token_count, train_order, whitening
+from . import ann, langid, lattice_lm, line_rules, mixing, ngram_join, quality_pu, sp_codec, suffix_dedup, token_count, train_order, whitening
 from .common import table
 
 #: Names of the public tokenizer files.
@@ -90,6 +90,11 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(table(spark, sf_dir, "documents"))
 
 
+def op12_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(vocabulary(PIECES), "rb") as f:
+        return lattice_lm.lattice_scores(table(spark, sf_dir, "documents"), f.read())
+
+
 def op13_gramian_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece_codec": op8_sentencepiece_codec,
     "op9_hierarchical_mix": op9_hierarchical_mix,
     "op10_line_frequency": op10_line_frequency,
+    "op12_subword_lattice": op12_subword_lattice,
     "op13_gramian_whitening": op13_gramian_whitening,
 }
 
