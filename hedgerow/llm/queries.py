@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, lattice_lm, line_rules, mixing, ngram_join, quality_pu, sp_codec, suffix_dedup, token_count, train_order, whitening
+from . import ann, cobucket, langid, lattice_lm, line_rules, mixing, ngram_join, quality_pu, sp_codec, suffix_dedup, token_count, train_order, whitening
 from .common import table
 
 #: Names of the public tokenizer files.
@@ -90,6 +90,22 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(table(spark, sf_dir, "documents"))
 
 
+#: Buckets of the shop's sales.
+SALE_BUCKETS = 300
+
+
+def op11_late_materialisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales and their lines, from files by sale (some with two buckets) and by item, in common buckets."""
+    sales, lines = table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines")
+    bucket = lambda key: F.crc32(F.concat(F.lit("line"), key.cast("string")).cast("binary")) % SALE_BUCKETS
+    b = F.coalesce(bucket(F.col("sale_id")), F.lit(SALE_BUCKETS + 1))
+    starts = {
+        "sales": F.when(b % 3 == 1, b - 1).otherwise(b),
+        "sale_lines": F.coalesce(F.crc32(F.col("item_id").cast("string").cast("binary")) % SALE_BUCKETS, F.lit(0)),
+    }
+    return cobucket.co_bucket(sales, lines, "sale_id", bucket, SALE_BUCKETS, starts, cobucket.new_folder(spark))
+
+
 def op12_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(vocabulary(PIECES), "rb") as f:
         return lattice_lm.lattice_scores(table(spark, sf_dir, "documents"), f.read())
@@ -110,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece_codec": op8_sentencepiece_codec,
     "op9_hierarchical_mix": op9_hierarchical_mix,
     "op10_line_frequency": op10_line_frequency,
+    "op11_late_materialisation": op11_late_materialisation,
     "op12_subword_lattice": op12_subword_lattice,
     "op13_gramian_whitening": op13_gramian_whitening,
 }
