@@ -1,18 +1,19 @@
 """Near-duplicate join: n-gram Jaccard similarity by MinHash banding, verified on full sets.
 
 Texts are compared as sets of five-word n-grams. Band and row counts follow from
-the similarity and the wanted recall. Texts meet on band hashes: each is compared
-with the first text of its bucket by a sketch (one byte of each minimum that the
-bands were made of), and those that are unlike it with all texts of the bucket, in
-blocks of bounded size. A pair whose sketches could still belong to the wanted
-similarity (a miss has a chance of one in a million) is plausible; plausible pairs
-leave a bucket as spanning edges, never as all pairs. So texts that share only a
-template, which often meet in a bucket by chance, don't run together into one
-candidate group. Inside a connected group of plausible pairs every pair is verified
-on the full n-gram sets by matrix products over blocks of bounded size; rows carry
-link counts and one spanning edge.
-
-Exact copies are one text from the start: they are counted, not compared.
+the similarity and the wanted recall. Texts meet in the buckets of their band hashes,
+and a pair counts in the first band that the two share, there and nowhere else. A
+bucket is gone through twice. First sketches are compared (one byte of each minimum
+that the bands were made of, a thirtieth of a text's n-grams): a pair that could still
+belong to the wanted similarity, but for a chance of ``MISS``, marks its two texts. Only
+marked texts bring their full n-gram sets to the bucket, where their pairs are verified by
+matrix products. What leaves a bucket are counts of links and spanning edges of verified
+links, never pairs; classes are the components of those. So texts that share only a
+template, and often meet in a bucket, never make a group of any size.
+
+Buckets are cut into blocks of bounded numbers of texts and n-grams; a text goes to each
+pair of blocks it belongs to. Exact copies are one text from the start: they are
+counted, not compared.
 
 Defined cases: a text without words (or null) links to nothing and is its own
 class; a text of one to four words has one n-gram, all its words; a text of any
@@ -46,7 +47,9 @@ BLOCK_TEXTS = 512
 BLOCK_GRAMS = 1_000_000
 #: Texts of a bucket that meet at a time, and the chance that a pair at the threshold seems too unlike by its sketches.
 BUCKET_TEXTS = 4096
-MISS = 1e-6
+MISS = 1e-4
+#: Rows of sorted groups that are worked on at a time.
+GATHER_ROWS = 4096
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -131,83 +134,98 @@ def _sign(bands: int, rows: int):
     return run
 
 
-def _bytes(sketches: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(sketches), -1)
-
-
-def _like_root(need: int):
-    """Pairs (rid, root) whose sketches agree in enough slots."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                like = (_bytes(batch.column("sketch")) == _bytes(batch.column("root_sketch"))).sum(1) >= need
-                yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("root")], ["rid", "root"]).filter(pa.array(like))
-
-    return run
-
-
-def spanning(rid: np.ndarray, sketch: np.ndarray, left: np.ndarray, left_sketch: np.ndarray, need: int) -> Iterator[tuple[int, int]]:
-    """Edges that connect each of ``left`` with the texts it could be similar to, one for each connection that is new."""
-    label = np.arange(len(rid))
-    for r, s in zip(left, left_sketch, strict=True):
-        near = np.flatnonzero(((sketch == s).sum(1) >= need) & (rid != r))
-        if len(near):
-            groups, at = np.unique(label[near], return_index=True)
-            yield from ((int(r), int(rid[near[i]])) for i in at)
-            label[np.isin(label, groups)] = groups[0]
+def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups of sorted rows: some thousand rows, a large group alone."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < GATHER_ROWS:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(rows, bool)
+        for c in key:
+            x = table.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        starts = np.flatnonzero(new)
+        if len(starts):  # the last group may go on
+            yield table.slice(0, int(starts[-1]))
+            held = table.slice(int(starts[-1])).to_batches()
+            rows -= int(starts[-1])
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _bounds(table: pa.Table, key: list[str]) -> np.ndarray:
+    """First row of each group, and the end."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for c in key:
+        x = table.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(new), table.num_rows)
+
+
+def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """[rows x values] of a column of equally long byte strings or lists."""
+    if pa.types.is_list(column.type):
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+GROUP = ["band", "a", "b"]
 
 
 def _meet(need: int):
-    """Texts of a bucket's block (side 0), then those that are unlike its first text (side 1)."""
+    """Texts of a bucket (or of two blocks of it) that have a plausible partner there: a pair counts in the first band it shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sides = None, ([], [])
+        for table in _grouped(batches, GROUP):
+            bounds = _bounds(table, GROUP)
+            sketch, bands = _matrix(table.column("sketch"), np.uint8), _matrix(table.column("bands"), np.int64)
+            pos, side = table.column("pos").to_numpy(), table.column("side").to_numpy()
+            cross = table.column("a").to_numpy() != table.column("b").to_numpy()
+            found = np.zeros(table.num_rows, bool)
+            two = bounds[:-1][np.diff(bounds) == 2]  # most buckets: all at once
+            like = (sketch[two] == sketch[two + 1]).sum(1) >= need
+            first = (bands[two] == bands[two + 1]).argmax(1) == pos[two]
+            hit = two[like & first & (~cross[two] | (side[two] != side[two + 1]))]
+            found[hit] = found[hit + 1] = True
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                if hi - lo <= 2:
+                    continue
+                own, code, where = sketch[lo:hi], bands[lo:hi], found[lo:hi]
+                for i in range(hi - lo - 1):
+                    near = i + 1 + np.flatnonzero((own[i + 1 :] == own[i]).sum(1, dtype=np.int16) >= need)
+                    if cross[lo]:
+                        near = near[side[lo:hi][near] != side[lo + i]]
+                    near = near[(code[near] == code[i]).argmax(1) == pos[lo]]
+                    if len(near):
+                        where[i] = True
+                        where[near] = True
+            yield table.select(["band", "pos", "rid"]).filter(pa.array(found)).combine_chunks().to_batches(max_chunksize=10_000)[0] if found.any() else pa.RecordBatch.from_pylist([], table.select(["band", "pos", "rid"]).schema)
 
-        def flush():
-            edges = []
-            if all(sides):
-                texts = [(np.array([r for r, _ in x], np.int64), np.frombuffer(b"".join(s for _, s in x), np.uint8).reshape(len(x), -1)) for x in sides]
-                edges = list(spanning(*texts[0], *texts[1], need))
-            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["rid", "root"])
+    return run
 
-        for batch in batches:
-            for band, a, b, side, rid, sketch in zip(*(batch.column(c).to_pylist() for c in ("band", "a", "b", "side", "rid", "sketch")), strict=True):
-                if (band, a, b) != key:
-                    if key is not None:
-                        yield flush()
-                    key, sides = (band, a, b), ([], [])
-                sides[side].append((rid, sketch))
-        if key is not None:
-            yield flush()
 
-    return run
+def _in_blocks(rows: DataFrame, blocks: str) -> DataFrame:
+    """Each row once for every pair of blocks it is part of: side (its block), a and b (the pair)."""
+    side = F.pmod(F.hash("rid"), F.col(blocks))
+    each = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    return each.withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other")).drop("other", blocks)
 
 
-def _plausible_edges(texts: DataFrame, threshold: float, slots: int) -> DataFrame:
-    """(rid, root): edges that connect all texts which share a band hash and could be similar by their sketches."""
-    need = plausible(threshold, slots)
-    banded = texts.select("rid", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("root")).where("m > 1")
-    members = keep(banded.join(buckets, "band"), "ngram-buckets")
-    sketches = texts.select("rid", "sketch")
-    pairs = keep(members.where("rid <> root").select("rid", "root").distinct().join(sketches, "rid"), "ngram-pairs")
-    roots = pairs.groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
-    roots = keep(roots.join(sketches.select(F.col("rid").alias("root"), F.col("sketch").alias("root_sketch")), "root"), "ngram-roots")
-    both = join_by_size(pairs, roots, ["root"], "rows", pairs.count()).select("rid", "root", "sketch", "root_sketch")
-    like = keep(both.mapInArrow(_like_root(need), "rid long, root long"), "ngram-like")
-
-    # a bucket of two is settled; in others a text unlike the first one may be like the rest
-    unlike = members.where("rid <> root and m > 2").join(like, ["rid", "root"], "left_anti").select("band", "m", "rid")
-    open_ = keep(unlike.groupBy("band").agg(F.max("m").alias("m"), F.count(F.lit(1)).alias("u")), "ngram-open")
-    if open_.isEmpty():
-        return like
-    size = open_.select("band", F.ceil(F.col("m") / BUCKET_TEXTS).cast("int").alias("as"), F.ceil(F.col("u") / BUCKET_TEXTS).cast("int").alias("bs"))
-    block = lambda n: F.pmod(F.hash("rid"), F.col(n))
-    whole = members.select("band", "rid").join(size, "band").select("band", block("as").alias("a"), F.explode(F.sequence(F.lit(0), F.col("bs") - 1)).alias("b"), F.lit(0).alias("side"), "rid")
-    rest = unlike.select("band", "rid").join(size, "band").select("band", F.explode(F.sequence(F.lit(0), F.col("as") - 1)).alias("a"), block("bs").alias("b"), F.lit(1).alias("side"), "rid")
-    dealt = whole.union(rest).join(sketches, "rid").repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "side", "rid")
-    return like.union(dealt.mapInArrow(_meet(need), "rid long, root long"))
+def plausible_members(texts: DataFrame, threshold: float, slots: int) -> DataFrame:
+    """(band, pos, rid): texts that have a plausible partner in a bucket which is the first that the two share."""
+    banded = texts.select("rid", F.posexplode("bands").alias("pos", "band"))
+    buckets = keep(banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "ngram-buckets")
+    total = buckets.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    members = join_by_size(banded, buckets, ["band"], "m", total).withColumn("blocks", F.ceil(F.col("m") / BUCKET_TEXTS).cast("int")).drop("m")
+    dealt = _in_blocks(members.join(texts.select("rid", "sketch", "bands"), "rid"), "blocks").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    found = dealt.select(*GROUP, "pos", "side", "rid", "sketch", "bands").mapInArrow(_meet(plausible(threshold, slots)), "band long, pos int, rid long")
+    return keep(found.distinct(), "ngram-members")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,14 +263,18 @@ def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return out
 
 
-def _linked(rid: np.ndarray, copies: np.ndarray, side: np.ndarray, sets: list[np.ndarray], cross: bool, threshold: float):
-    """(rid, links to other texts by documents, local root) of the texts of a block that have a link."""
+def _linked(rid: np.ndarray, copies: np.ndarray, side: np.ndarray, bands: np.ndarray, pos: int, sets: list[np.ndarray], cross: bool, threshold: float):
+    """(rid, links to other texts by documents, local root) of the texts of a block that have a link; a pair counts in the first band it shares."""
     both = overlaps(sets).astype(np.float64)
     size = np.diag(both)
     near = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
     np.fill_diagonal(near, False)
     if cross:
         near &= side[:, None] != side[None, :]
+    i, j = np.nonzero(near)
+    for lo in range(0, len(i), 1 << 16):  # the pairs that are links, some at a time
+        part = slice(lo, lo + (1 << 16))
+        near[i[part], j[part]] = (bands[i[part]] == bands[j[part]]).argmax(1) == pos
     links = near @ copies
     some = np.flatnonzero(near.any(1))
     root = np.arange(len(rid))
@@ -266,28 +288,41 @@ def _linked(rid: np.ndarray, copies: np.ndarray, side: np.ndarray, sets: list[np
 
 
 def _verify(threshold: float):
+    """Links of the texts of a bucket (or of two blocks of it) on full n-gram sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, {}
+        for table in _grouped(batches, GROUP):
+            bounds = _bounds(table, GROUP)
+            bands = _matrix(table.column("bands"), np.int64)
+            rid, copies, side, pos, a, b = (table.column(c).to_numpy() for c in ("rid", "copies", "side", "pos", "a", "b"))
+            grams_ = table.column("grams").combine_chunks()
+            out = []
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                sets = [np.frombuffer(x, np.uint64) for x in grams_.slice(lo, hi - lo).to_pylist()]
+                if hi - lo == 2:
+                    shared = len(np.intersect1d(*sets, assume_unique=True))
+                    near = shared >= threshold * (len(sets[0]) + len(sets[1]) - shared) - 1e-9
+                    if near and (bands[lo] == bands[lo + 1]).argmax() == pos[lo] and (a[lo] == b[lo] or side[lo] != side[lo + 1]):
+                        out.append((rid[lo : lo + 2], copies[lo : lo + 2][::-1], np.full(2, rid[lo : lo + 2].min())))
+                elif hi - lo > 2:
+                    out.append(_linked(rid[lo:hi], copies[lo:hi], side[lo:hi], bands[lo:hi], int(pos[lo]), sets, a[lo] != b[lo], threshold))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out]).astype(np.int64)) for i in range(3)], ["rid", "links", "root"])
 
-        def flush():
-            if len(rows) < 2:
-                return None
-            ids = np.array(sorted(rows, key=lambda r: r), np.int64)
-            got = [rows[r] for r in ids]
-            rid, links, root = _linked(ids, np.array([x[0] for x in got], np.int64), np.array([x[1] for x in got]), [np.frombuffer(x[2], np.uint64) for x in got], key[1] != key[2], threshold)
-            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(links), pa.array(root), pa.array(np.full(len(rid), key[3], np.int32))], ["rid", "links", "root", "blocks"])
+    return run
 
-        for batch in batches:
-            for comp, a, b, blocks, rid, copies, side, grams_ in zip(*(batch.column(c).to_pylist() for c in ("comp", "a", "b", "blocks", "rid", "copies", "side", "grams")), strict=True):
-                if (comp, a, b, blocks) != key:
-                    if (out := flush()) is not None:
-                        yield out
-                    key, rows = (comp, a, b, blocks), {}
-                rows[rid] = (copies, side, grams_)
-        if (out := flush()) is not None:
-            yield out
 
-    return run
+def verified_links(texts: DataFrame, source: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
+    """(rid, links, root): for each bucket (or block of it) its texts with a link there, their number of links, and an edge."""
+    sized = member.join(texts.select("rid", "n"), "rid")
+    blocks = keep(sized.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks")).where("m > 1"), "ngram-blocks")
+    total = blocks.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    dealt = _in_blocks(join_by_size(member, blocks, ["band"], "m", total).drop("m"), "blocks")
+    wanted = texts.join(member.select("rid").distinct(), "rid", "left_semi").select("rid", "key", "first_id", "copies", "bands")
+    chosen = source.alias("s").join(wanted.alias("m"), (F.col("s.key") == F.col("m.key")) & F.col("s.id").eqNullSafe(F.col("m.first_id"))).select("rid", "copies", "bands", "text").dropDuplicates(["rid"])
+    sets = keep(chosen.mapInArrow(_sets, "rid long, copies long, bands array<long>, grams binary"), "ngram-sets")
+    ready = dealt.join(sets, "rid").repartition(*GROUP).sortWithinPartitions(*GROUP, "rid")
+    return keep(ready.select(*GROUP, "pos", "side", "rid", "copies", "bands", "grams").mapInArrow(_verify(threshold), "rid long, links long, root long"), "ngram-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -309,22 +344,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     rows = keep(source.mapInArrow(_sign(bands, per_band), signed), "ngram-rows")
     texts = keep(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n", "bands", "sketch")).alias("x")).select(F.monotonically_increasing_id().alias("rid"), "key", "first_id", "copies", "x.*"), "ngram-texts")
 
-    comps = keep(components(_plausible_edges(texts, threshold, bands * per_band), keep), "ngram-components")
-    member = comps.select(F.col("node").alias("rid"), F.col("root").alias("comp")).join(texts.select("rid", "key", "first_id", "copies", "n"), "rid")
-    blocks = member.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    member = member.join(blocks, "comp").select("rid", "comp", "key", "first_id", "copies", "blocks", F.pmod(F.hash("rid"), F.col("blocks")).alias("block"))
-    chosen = source.alias("s").join(member.alias("m"), (F.col("s.key") == F.col("m.key")) & F.col("s.id").eqNullSafe(F.col("m.first_id"))).select("rid", "comp", "copies", "blocks", "block", "text")
-    sets = chosen.mapInArrow(_sets, chosen.schema.simpleString()[7:-1].replace("text:string", "grams:binary").replace(":", " "))
-    pairs = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("rid", "comp", "copies", "blocks", F.col("block").alias("side"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "grams")
-    dealt = pairs.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b", "rid")
-    linked = keep(dealt.mapInArrow(_verify(threshold), "rid long, links long, root long, blocks int"), "ngram-links")
-
-    one = linked.where("blocks = 1").select("rid", "root")
-    many = linked.where("blocks > 1").select("rid", "root")
-    roots = one if many.isEmpty() else one.union(components(many, keep).select(F.col("node").alias("rid"), "root"))
-    linked_texts = linked.groupBy("rid").agg(F.sum("links").alias("links")).join(roots, "rid").join(texts.select("rid", "key", "first_id"), "rid")
-    named_roots = linked_texts.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min("key").alias("class_key"))
-    linked_texts = linked_texts.join(named_roots, "root").select("key", "class_id", "class_key", "links")
+    member = plausible_members(texts, threshold, bands * per_band)
+    linked = verified_links(texts, source, member, threshold)
+    roots = components(linked.select("rid", "root"), keep).select(F.col("node").alias("rid"), "root")
+    linked_texts = keep(linked.groupBy("rid").agg(F.sum("links").alias("links")).join(roots, "rid").join(texts.select("rid", "key", "first_id"), "rid"), "ngram-linked")
+    named_roots = keep(linked_texts.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min("key").alias("class_key"), F.count(F.lit(1)).alias("size")), "ngram-roots")
+    linked_texts = join_by_size(linked_texts, named_roots, ["root"], "size", linked_texts.count()).select("key", "class_id", "class_key", "links")
     by_key = texts.select("key", "first_id", "copies").join(linked_texts, "key", "left").select("key", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("class_key", "key").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
     by_key = keep(by_key, "ngram-classes")
     named = rows.where("n > 0").select("id", "key")
