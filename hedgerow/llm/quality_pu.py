@@ -7,9 +7,14 @@ goes negative, its gradient is reversed. The prior is estimated from positives a
 unlabelled text alone: a network that tells the two apart is fitted on one half of
 each, and on the other halves the share of unlabelled rows above a score, divided
 by that of the positives, is taken where its upper confidence bound is lowest.
-Labelled negatives never enter prior or fit. Only afterwards, as a step of its own
-(``calibrate``), do the labelled rows of the training folds fix slope and offset of
-the scores, so that a cut on the score means the same on every corpus.
+
+Scores become probabilities by the same three things: out-of-fold scores of positives
+and unlabelled rows, and the prior p. With the logistic loss the unbiased risk of a
+score g = slope z + offset is the mean of log(1 + e^g) over unlabelled rows less p times
+the mean of g over positives, which is convex; its minimum fixes slope and offset, and
+there the mean probability of unlabelled rows is the prior. The weight of the hashed
+features is the one of ``WEIGHTS`` whose networks have the least such risk on rows they
+were not fitted on. So a labelled negative is never read, nor any held-out label.
 
 Features are byte frequencies, hashed words, hashed character trigrams and some
 measures of words of the whole text, never id, language, source or labels.
@@ -45,10 +50,10 @@ MAX_UNLABELLED = 10_000
 CUT = 0.3
 HIDDEN = 24
 EPOCHS = 40
-#: Cells of hashed words and of hashed trigrams; their weight beside the other features.
+#: Cells of hashed words and of hashed trigrams; the weights beside the other features to choose from.
 CELLS = 256
 PLAIN = 264
-WEIGHT = 0.1
+WEIGHTS = (0.05, 0.1, 0.2)
 #: Rows of either kind below which no prior is estimated.
 LEAST = 20
 
@@ -61,6 +66,7 @@ class Model:
     prior: float
     slope: float
     offset: float
+    weight: float
 
 
 def _distinct(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -125,9 +131,9 @@ def _unpacked(rows: list[bytes]) -> np.ndarray:
     return np.concatenate([np.ascontiguousarray(flat[:, : 4 * PLAIN]).view(np.float32), flat[:, 4 * PLAIN :]], 1, dtype=np.float32)
 
 
-def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, weight: float) -> np.ndarray:
     z = np.clip((x - mean) / scale, -8, 8)
-    z[:, PLAIN:] *= WEIGHT
+    z[:, PLAIN:] *= weight
     return z
 
 
@@ -203,14 +209,19 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int) -> float:
     return float(np.clip(np.mean(found), 0.02, 0.98))
 
 
-def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and offset by Newton steps on the logistic loss."""
+def pu_loss(gp: np.ndarray, gu: np.ndarray, prior: float) -> float:
+    """Unbiased logistic risk of scores by positives and unlabelled rows."""
+    return float(np.logaddexp(0, gu).mean() - prior * gp.mean())
+
+
+def calibrate(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope (not negative) and offset of least unbiased risk, by Newton steps; a weak pull towards slope 1 keeps it finite."""
     a, b = 1.0, 0.0
-    for _ in range(50):
-        p = _sigmoid(a * z + b)
+    for _ in range(100):
+        p = _sigmoid(a * zu + b)
         w = p * (1 - p) + 1e-9
-        grad = np.array([((p - y) * z).sum() + 1e-3 * (a - 1), (p - y).sum()])
-        hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-9]])
+        grad = np.array([(p * zu).mean() - prior * zp.mean() + 1e-3 * (a - 1), p.mean() - prior])
+        hess = np.array([[(w * zu * zu).mean() + 1e-3, (w * zu).mean()], [(w * zu).mean(), w.mean() + 1e-9]])
         da, db = np.linalg.solve(hess, grad)
         size = max(1.0, abs(da), abs(db))
         a, b = max(0.0, a - da / size), b - db / size
@@ -219,50 +230,61 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, seed: int = 5, calibrate: bool = True) -> Model | None:
-    """Fit on bounded samples of the rows outside the held-out fold.
-
-    Without ``calibrate`` labelled negatives are not even read into the sample.
+def out_of_fold(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of either half by a network that was fitted on the other."""
+    zp, zu = np.empty(len(pos)), np.empty(len(unl))
+    for a in (0, 1):
+        layers = _fit_network(pos[1 - a :: 2], unl[1 - a :: 2], prior, seed)
+        zp[a::2], zu[a::2] = _forward(pos[a::2], layers)[1], _forward(unl[a::2], layers)[1]
+    return zp, zu
+
+
+def fit(pos: np.ndarray, unl: np.ndarray, mean: np.ndarray, scale: np.ndarray, seed: int) -> Model:
+    """Prior, weight of the hashed features, network, slope and offset of some features of positives and unlabelled rows."""
+    at = lambda w: (_scaled(pos, mean, scale, w), _scaled(unl, mean, scale, w))
+    middle = WEIGHTS[len(WEIGHTS) // 2]
+    prior = estimate_prior(*at(middle), seed)
+    best = None
+    for w in WEIGHTS if min(len(pos), len(unl)) >= LEAST else ():
+        zp, zu = out_of_fold(*at(w), prior, seed)
+        slope, offset = calibrate(zp, zu, prior)
+        risk = pu_loss(slope * zp + offset, slope * zu + offset, prior)
+        if best is None or risk < best[0]:
+            best = risk, w, slope, offset
+    _, w, slope, offset = best or (0, middle, 1.0, 0.0)
+    return Model(mean, scale, _fit_network(*at(w), prior, seed), prior, slope, offset, w)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, seed: int = 5) -> Model | None:
+    """Fit on bounded samples of the rows outside the held-out fold: labelled positives, and rows without a label.
+
+    The samples are the rows of least seeded hashes of id and text, so they do not depend
+    on files or order; rows that repeat count each, up to four times the bound.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(~held_out("id") & F.col("y").isin(0, 1))
-    seen = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    if not seen.get(1):
+    seen = known.where("y = 1").count()
+    if not seen:
         return None
     part = lambda n, most: min(1.0, 1.2 * most / max(n, 1))
     unit = lambda c: F.shiftrightunsigned(c, 11) / float(1 << 53)
-    picked = None
-    for y in (1, 0) if calibrate else (1,):  # at most so many rows of each label, so the join below sends a bounded table
-        rows = known.where((F.col("y") == y) & (unit(spread("id", seed)) < part(seen.get(y, 0), max_positive))).orderBy(spread("id", seed), "id").limit(max_positive)
-        picked = rows if picked is None else picked.union(rows)
+    # at most so many rows, so the join below sends a bounded table
+    picked = known.where((F.col("y") == 1) & (unit(spread("id", seed)) < part(seen, max_positive))).orderBy(spread("id", seed), "id").limit(max_positive)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), id_col, text_col).alias("h")).where(~held_out("id"))
     total = plain.count()
-    trusted = plain.join(F.broadcast(picked), "id").select("y", "h", "text").limit(4 * max_positive)
-    loose = plain.where(unit(F.col("h")) < part(total, max_unlabelled)).join(known.select("id").distinct(), "id", "left_anti").select(F.lit(-1).alias("y"), "h", "text").limit(2 * max_unlabelled)
-    got = trusted.union(loose).mapInArrow(_featured, "y int, h long, x binary").collect()
-    got.sort(key=lambda r: (r["y"], r["h"], bytes(r["x"])))  # rows come in any order
-    y = np.array([r["y"] for r in got])
-    if not (y == 1).any():
+    featured = lambda rows, most: [(r["h"], bytes(r["x"])) for r in rows.mapInArrow(_featured, "y int, h long, x binary").orderBy("h", "x").limit(most).select("h", "x").collect()]
+    pos = featured(plain.join(F.broadcast(picked), "id").select("y", "h", "text"), 4 * max_positive)
+    some = plain.where(unit(F.col("h")) < part(total, max_unlabelled))
+    unl = featured(some.join(known.select("id").distinct(), "id", "left_anti").select(F.lit(-1).alias("y"), "h", "text"), 2 * max_unlabelled)
+    if not pos:
         return None
-    x = _unpacked([r["x"] for r in got])
-    del got
-    some = y == -1 if (y == -1).any() else y >= -1  # all rows are labelled: the labelled ones are the web text
-    mean, scale = x[some].mean(0), np.maximum(x[some].std(0), 1e-3)
-    z = _scaled(x, mean, scale)
-    del x
-    prior = estimate_prior(z[y == 1], z[some], seed)
-    layers = _fit_network(z[y == 1], z[some], prior, seed)
-    slope, offset = 1.0, 0.0
-    if (y == 0).any():
-        raw = _forward(z[y >= 0], layers)[1].astype(np.float64)
-        few, many = (y == 0).sum(), (y == 1).sum()
-        slope, offset = _calibrate(raw, y[y >= 0])
-        # the samples of both labels were bounded apart; the offset is moved to the prior
-        offset += float(np.log(prior / (1 - prior)) - np.log(many / few))
-    return Model(mean, scale, layers, prior, slope, offset)
+    # all rows are labelled: the labelled ones, their labels unread, are the web text
+    unl = unl or featured(some.select(F.lit(-1).alias("y"), "h", "text"), 2 * max_unlabelled)
+    pos, unl = (_unpacked([x for _, x in sorted(rows)]) for rows in (pos, unl))
+    return fit(pos, unl, unl.mean(0), np.maximum(unl.std(0), 1e-3), seed)
 
 
 def _scores(raw: np.ndarray, off: np.ndarray, m: Model) -> np.ndarray:
-    z = _forward(_scaled(features(raw, off), m.mean, m.scale), m.layers)[1].astype(np.float64)
+    z = _forward(_scaled(features(raw, off), m.mean, m.scale, m.weight), m.layers)[1].astype(np.float64)
     return _sigmoid(m.slope * z + m.offset)
 
 

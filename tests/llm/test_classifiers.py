@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from hedgerow.llm import common, langid, quality_pu
 
@@ -84,14 +85,39 @@ def test_features_of_words_and_trigrams():
     assert (again == x).all()
 
 
-def test_the_fit_does_not_need_negatives(spark):
+@pytest.mark.parametrize("prior", [0.3, 0.85])
+def test_calibration_needs_no_negatives(prior):
+    """Slope and offset from positives and a mixture come near those of the true log odds."""
+    rng = np.random.default_rng(7)
+    n = 40_000
+    y = rng.random(n) < prior
+    x = rng.normal(np.where(y, 0.9, -0.9), 1)
+    true = 2 * 0.9 * x + np.log(prior / (1 - prior))  # log odds of two normal classes
+    z = (true - 0.7) / 2.5  # a score of another scale
+    slope, offset = quality_pu.calibrate(z[y][:15_000] if y.sum() > 15_000 else z[y], z, prior)
+    assert abs(slope - 2.5) < 0.2 and abs(offset - 0.7) < 0.2
+    g = slope * z + offset
+    assert abs((1 / (1 + np.exp(-g))).mean() - prior) < 1e-3
+    at = lambda a, b: quality_pu.pu_loss(a * z[y] + b, a * z + b, prior)
+    assert all(at(slope + da, offset + db) > at(slope, offset) - 2e-3 for da in (-0.3, 0, 0.3) for db in (-0.3, 0, 0.3))
+
+
+def test_the_fit_reads_no_negatives(spark):
     good, junk = "some plain words that make a sentence number {}", "zzz {} $$$ ### 111 @@@ {}"
     docs = [(i, (good if i % 3 else junk).format(i, i)) for i in range(600)]
-    labels = [(i, 1) for i in range(600) if i % 3 and i * 7919 % 1000 < 400] + [(i, 0) for i in range(0, 60, 2) if not i % 3]
-    d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
-    with_, without = quality_pu.train(d, l), quality_pu.train(d, l.where("quality = 1"))
-    alone = quality_pu.train(d, l, calibrate=False)
-    assert (alone.slope, alone.offset) == (1.0, 0.0) and all((a == b).all() for a, b in zip(with_.layers, alone.layers, strict=True))
-    assert abs(with_.prior - without.prior) < 0.1
-    scores = {r.doc_id: r.score for r in quality_pu.score(d, alone).collect()}
-    assert np.mean([scores[i] > 0.5 for i, _ in docs if i % 3]) > 0.95 and np.mean([scores[i] < 0.5 for i, _ in docs if not i % 3]) > 0.95
+    positives = [(i, 1) for i in range(600) if i % 3 and i * 7919 % 1000 < 400]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    l = spark.createDataFrame(positives, "doc_id long, quality int")
+    model = quality_pu.train(d, l)
+    # the same rows in another order and split give the same fit
+    again = quality_pu.train(d.orderBy(F.desc("doc_id")).repartition(5), l)
+    assert all((a == b).all() for a, b in zip(model.layers, again.layers, strict=True)) and (model.slope, model.offset, model.prior, model.weight) == (again.slope, again.offset, again.prior, again.weight)
+    assert model.weight in quality_pu.WEIGHTS and abs(model.prior - 0.55) < 0.15  # 400 of 600 less the labelled ones
+    scores = {r.doc_id: r for r in quality_pu.quality_scores(d, l).collect()}
+    assert np.mean([scores[i].predicted == 1 for i, _ in docs if i % 3]) > 0.95 and np.mean([scores[i].predicted == 0 for i, _ in docs if not i % 3]) > 0.95
+    assert all(0 <= r.score <= 1 for r in scores.values())
+    # which label a labelled negative has doesn't matter, only that it is no unlabelled row
+    negatives = spark.createDataFrame([(i, 0) for i in range(0, 60, 2) if not i % 3], "doc_id long, quality int")
+    with_ = quality_pu.train(d, l.union(negatives))
+    other = quality_pu.train(d.where(~F.col("doc_id").isin([r.doc_id for r in negatives.collect()])), l)
+    assert all((a == b).all() for a, b in zip(with_.layers, other.layers, strict=True))
