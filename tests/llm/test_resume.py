@@ -77,3 +77,27 @@ def test_other_orders_are_refused(spark, folder_of_parts, tmp_path):
 def test_an_empty_table_has_no_shard(spark, folder_of_parts, tmp_path):
     assert write(spark.read.parquet(folder_of_parts).limit(0), tmp_path / "none") == []
     assert list(train_order.read_slots(str(tmp_path / "none"), 0, 5)) == []
+
+
+def test_tasks_do_not_grow_with_shards():
+    assert [train_order.range_partitions(s, 200) for s in (1, 150, 200, 10_000, 6_000_000)] == [1, 150, 200, 200, 93_750]
+
+
+def test_several_shards_a_task(spark, folder_of_parts, tmp_path):
+    """More shards than shuffle partitions: a task writes consecutive ones, and the bytes are the same."""
+    docs = spark.read.parquet(folder_of_parts)
+    few = write(docs, tmp_path / "few")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        assert len(few) > 8 and write(docs, tmp_path / "each") and content(tmp_path / "each") == content(tmp_path / "few")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    rows = train_order.ordered_sequences(train_order.token_table(docs, RANKS, stride=8), 3, **SHAPE)
+    assert rows.rdd.getNumPartitions() == int(before)
+
+
+def test_a_local_path_is_refused_on_a_cluster(spark, folder_of_parts, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "spark://host:7077"))
+    with pytest.raises(ValueError, match="each executor's own"):
+        write(spark.read.parquet(folder_of_parts), "/tmp/nowhere")
