@@ -33,7 +33,7 @@ def tie_groups(df: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
     """Known labels by distinct score: m rows and e errors, n0 and c0 of those before."""
     known = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
     per = known.groupBy(*by, score).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col(y).cast("double")).alias("e"))
-    upto = running(per, by, [score], {"n1": "m", "c1": "e"}, rows=known)
+    upto = running(per, by, [score], {"n1": "m", "c1": "e"})
     return upto.select(*per.columns, (F.col("n1") - F.col("m")).alias("n0"), (F.col("c1") - F.col("e")).alias("c0"))
 
 
@@ -64,7 +64,7 @@ def average_precision(df: DataFrame, by: list[str], y: str = "y", score: str = "
     """Step-wise area under precision and recall over distinct thresholds, highest first (MET7)."""
     known = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
     per = known.groupBy(*by, score).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col(y).cast("double")).alias("e"))
-    upto = running(per, by, [F.desc(score)], {"n1": "m", "c1": "e"}, rows=known)
+    upto = running(per, by, [-F.col(score)], {"n1": "m", "c1": "e"})
     steps = upto.select(*by, "e", (F.col("c1") / F.col("n1")).alias("precision"))
     return steps.groupBy(*by).agg((F.sum(F.col("e") * F.col("precision")) / F.nullif(F.sum("e"), F.lit(0.0))).alias("average_precision"))
 
@@ -161,7 +161,7 @@ def quantile_higher(df: DataFrame, by: list[str], score: str, q: float) -> DataF
     """The order statistic at or above the quantile's place (MET19), from counts per distinct score."""
     some = df.where(F.col(score).isNotNull())
     per = some.groupBy(*by, score).agg(F.count(F.lit(1)).alias("m"))
-    upto = running(per, by, [score], {"upto": "m"}, ["upto"], some).withColumnRenamed("total_upto", "n")
+    upto = running(per, by, [score], {"upto": "m"}, ["upto"]).withColumnRenamed("total_upto", "n")
     return upto.where(F.col("upto") >= F.ceil((F.col("n") - 1) * F.lit(q)) + 1).groupBy(*by).agg(F.min(score).alias("threshold"))
 
 
@@ -182,7 +182,7 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
     def rank_of(c: str) -> DataFrame:
         per = both.groupBy(*by, c).agg(F.count(F.lit(1)).alias("m"))
-        upto = running(per, by, [c], {"upto": "m"}, rows=both)
+        upto = running(per, by, [c], {"upto": "m"})
         return upto.select(*by, c, (F.col("upto") - (F.col("m") - 1) / 2).alias(f"rank_{c}"))
 
     joined = both.join(rank_of(a), [*by, a]).join(rank_of(b), [*by, b])

@@ -111,7 +111,7 @@ def bootstrap_row_order(scores: DataFrame, draws: DataFrame, position: str, meth
     """
     known = scores.where(F.col(y).isNotNull() & F.col(score).isNotNull()).select(method, cluster, F.col(y).cast("double").alias("y"), score, position)
     drawn = known.join(draws.withColumnRenamed("cluster", cluster), cluster)
-    run = running(drawn, ["replicate", method], [score, position], {"n1": "weight", "e1": F.col("y") * F.col("weight")}, rows=drawn)
+    run = running(drawn, ["replicate", method], [score, position], {"n1": "weight", "e1": F.col("y") * F.col("weight")})
     n0, e0 = F.col("n1") - F.col("weight"), F.col("e1") - F.col("y") * F.col("weight")
     # sum over i = 1..w of (e0 + i y) / (n0 + i) = w y + (e0 - n0 y) (H(n0 + w) - H(n0))
     part = F.col("weight") * F.col("y") + (e0 - n0 * F.col("y")) * (_harmonic(F.col("n1")) - _harmonic(n0))

@@ -29,7 +29,7 @@ def keep_top(df: DataFrame, by: list[str], score: str, id_: str, coverage: float
     most of the table is not sorted in one task.
     """
     per = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_m"))
-    upto = running(per, by, [score], {"_upto": "_m"}, ["_upto"], df).withColumnRenamed("total__upto", "_n")
+    upto = running(per, by, [score], {"_upto": "_m"}, ["_upto"]).withColumnRenamed("total__upto", "_n")
     cut = upto.where(F.col("_upto") >= kept_count(F.col("_n"), coverage)).groupBy(*by).agg(F.min(F.struct(F.col(score).alias("s"), (kept_count(F.col("_n"), coverage) - (F.col("_upto") - F.col("_m"))).alias("room"))).alias("_cut"))
     on = F.lit(True)
     cut = cut.select(*[F.col(b).alias(f"_{b}") for b in by], "_cut")
