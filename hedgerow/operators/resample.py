@@ -2,8 +2,9 @@
 
 Draws are a small table (replicate, cluster, weight): a cluster drawn twice counts
 twice, so replicates are weights and rows are never copied. Rows are first summed
-to (cluster, method, score); a replicate then weighs those sums. All methods
-share the draws.
+to (cluster, method, score); ``replicates`` then weighs those sums for all replicates at
+once. Where the draws are too many to be broadcast as a matrix, weights are joined to
+the sums instead. All methods share the draws.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from hedgerow.functions.hashing import SEED, stable_u64
 
+from . import replicates as R
 from .metrics import _harmonic
 from .order import numbered, running
 
@@ -37,36 +39,83 @@ def numpy_draws(spark: SparkSession, clusters: list, replicates: int = 2000, see
     return spark.createDataFrame(rows, f"replicate int, cluster {kind}, weight int")
 
 
-def hash_draws(clusters: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
+def hash_draws(clusters: DataFrame, replicates: int, seed: int = SEED, within: list[str] | None = None) -> DataFrame:
     """Draws by seeded hashes: draw d of replicate b is cluster number hash(b:d) mod count, in cluster order.
 
-    ``clusters`` has one column of distinct values.
+    ``clusters`` has distinct rows: one column, and those ``within`` which the clusters
+    are numbered and drawn apart.
     """
-    (name,) = clusters.columns
-    placed = numbered(clusters.select(F.col(name).alias("cluster")), ["cluster"], "place")
-    n = placed.agg(F.count(F.lit(1)).alias("n"))
-    slots = placed.select(F.col("place").alias("draw")).crossJoin(F.broadcast(n)).select("draw", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    picked = slots.select("replicate", (stable_u64(F.concat_ws(":", "replicate", "draw"), seed) % F.col("n").cast("decimal(20,0)")).cast("long").alias("place"))
-    return picked.groupBy("replicate", "place").agg(F.count(F.lit(1)).cast("int").alias("weight")).join(placed, "place").select("replicate", "cluster", "weight")
-
-
-def bootstrap_aurc(scores: DataFrame, draws: DataFrame, method: str = "method", cluster: str = "cluster", y: str = "y", score: str = "score") -> DataFrame:
-    """Expected-tie AURC of each (replicate, method) over known labels."""
-    sums = scores.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(method, cluster, score).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col(y).cast("double")).alias("e"))
-    drawn = sums.join(draws.withColumnRenamed("cluster", cluster), cluster)
-    per = drawn.groupBy("replicate", method, score).agg(F.sum(F.col("m") * F.col("weight")).alias("m"), F.sum(F.col("e") * F.col("weight")).alias("e"))
-    w = Window.partitionBy("replicate", method).orderBy(score)
-    t = per.select("*", (F.sum("m").over(w) - F.col("m")).alias("n0"), (F.sum("e").over(w) - F.col("e")).alias("c0"))
+    within = within or []
+    (name,) = [c for c in clusters.columns if c not in within]
+    rows = clusters.withColumnRenamed(name, "cluster")
+    if within:
+        w = Window.partitionBy(*within)
+        placed = rows.select("*", (F.row_number().over(w.orderBy("cluster")) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(w).alias("n"))
+    else:
+        numbered_ = numbered(rows, ["cluster"], "place")
+        placed = numbered_.crossJoin(F.broadcast(numbered_.agg(F.count(F.lit(1)).alias("n"))))
+    slots = placed.select(*within, F.col("place").alias("draw"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    picked = slots.select(*within, "replicate", (stable_u64(F.concat_ws(":", "replicate", "draw"), seed) % F.col("n").cast("decimal(20,0)")).cast("long").alias("place"))
+    return picked.groupBy(*within, "replicate", "place").agg(F.count(F.lit(1)).cast("int").alias("weight")).join(placed.drop("n"), [*within, "place"]).select(*within, "replicate", "cluster", "weight")
+
+
+def _weights(draws: DataFrame, clusters: list[str]) -> tuple[DataFrame, list, R.Weights] | None:
+    """(numbers of the clusters, names of the replicates, weights); None where the matrix would be too large to send."""
+    names = sorted(r[0] for r in draws.select("replicate").distinct().collect())
+    count = draws.select(*clusters).distinct().count()
+    if count * len(names) > R.MAX_WEIGHTS:
+        return None
+    got = draws.select(*clusters, "replicate", "weight").toPandas()
+    code = got.groupby(clusters, sort=True, dropna=False).ngroup().to_numpy() if len(got) else np.empty(0, int)
+    matrix = np.zeros((count, len(names)), np.uint16)
+    if len(got):
+        if got["weight"].max() > np.iinfo(np.uint16).max:
+            return None
+        np.add.at(matrix, (code, np.searchsorted(np.array(names), got["replicate"])), got["weight"].to_numpy(np.uint16))
+    got["number"] = code
+    table = got.drop_duplicates("number")[[*clusters, "number"]]
+    numbers = draws.sparkSession.createDataFrame(table.to_dict("records"), draws.select(*clusters).withColumn("number", F.lit(0).cast("int")).schema) if len(got) else None
+    return numbers, names, R.Weights(len(names), matrix)
+
+
+def _areas(sums: DataFrame, draws: DataFrame, clusters: list[str], by: list[str], order: list[str]) -> DataFrame | None:
+    """replicate, by, aurc of sums (m rows, e errors) of each cluster; None where the draws are too many for it."""
+    found = _weights(draws, clusters)
+    if not found or found[0] is None:
+        return None
+    numbers, names, w = found
+    on = F.lit(True)
+    for c in clusters:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    numbered_ = numbers.withColumnsRenamed({c: f"_{c}" for c in clusters})
+    rows = sums.join(F.broadcast(numbered_), on).select(*by, *order, F.col("number").alias("cluster"), F.col("m").cast("double").alias("m"), F.col("e").cast("double").alias("e"))
+    out = R.replicate_areas(rows, by, order, w)
+    if names == list(range(len(names))):
+        return out
+    return out.withColumn("replicate", F.element_at(F.array(*map(F.lit, names)), F.col("replicate") + 1))
+
+
+def bootstrap_aurc(scores: DataFrame, draws: DataFrame, method: str = "method", cluster: str = "cluster", y: str = "y", score: str = "score", within: list[str] | None = None) -> DataFrame:
+    """Expected-tie AURC of each (replicate, method) over known labels, apart for each value of ``within``."""
+    within = within or []
+    sums = scores.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(*within, method, cluster, score).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col(y).cast("double")).alias("e"))
+    found = _areas(sums, draws.withColumnRenamed("cluster", cluster), [*within, cluster], [*within, method], [score])
+    if found is not None:
+        return found.select("replicate", *within, method, "aurc")
+    drawn = sums.join(draws.withColumnRenamed("cluster", cluster), [*within, cluster])
+    per = drawn.groupBy("replicate", *within, method, score).agg(F.sum(F.col("m") * F.col("weight")).alias("m"), F.sum(F.col("e") * F.col("weight")).alias("e"))
+    t = running(per, ["replicate", *within, method], [score], {"n1": "m", "c1": "e"}).select("*", (F.col("n1") - F.col("m")).alias("n0"), (F.col("c1") - F.col("e")).alias("c0"))
     part = F.col("e") + (F.col("c0") - F.col("e") / F.col("m") * F.col("n0")) * (_harmonic(F.col("n0") + F.col("m")) - _harmonic(F.col("n0")))
-    return t.groupBy("replicate", method).agg((F.sum(part) / F.sum("m")).alias("aurc"))
+    return t.groupBy("replicate", *within, method).agg((F.sum(part) / F.sum("m")).alias("aurc"))
 
 
-def paired_interval(per_replicate: DataFrame, method: str, first: str, second: str, value: str = "aurc", level: float = 0.95) -> DataFrame:
-    """Interval of the difference first - second over the replicates that have both (BST1, BST2)."""
-    both = per_replicate.groupBy("replicate").agg(F.max(F.when(F.col(method) == first, F.col(value))).alias("a"), F.max(F.when(F.col(method) == second, F.col(value))).alias("b"))
+def paired_interval(per_replicate: DataFrame, method: str, first: str, second: str, value: str = "aurc", level: float = 0.95, within: list[str] | None = None) -> DataFrame:
+    """Interval of the difference first - second over the replicates that have both (BST1, BST2), for each value of ``within``."""
+    within = within or []
+    both = per_replicate.groupBy(*within, "replicate").agg(F.max(F.when(F.col(method) == first, F.col(value))).alias("a"), F.max(F.when(F.col(method) == second, F.col(value))).alias("b"))
     d = F.col("a") - F.col("b")
     tail = (1 - level) / 2
-    return both.where(d.isNotNull()).agg(F.count(F.lit(1)).alias("replicates"), F.avg(d).alias("mean_difference"), F.percentile(d, F.lit(tail)).alias("low"), F.percentile(d, F.lit(1 - tail)).alias("high"))
+    return both.where(d.isNotNull()).groupBy(*within).agg(F.count(F.lit(1)).alias("replicates"), F.avg(d).alias("mean_difference"), F.percentile(d, F.lit(tail)).alias("low"), F.percentile(d, F.lit(1 - tail)).alias("high"))
 
 
 def bootstrap_operating_point(rows: DataFrame, draws: DataFrame, cluster: str = "cluster", y: str = "y", a: str = "keep_a", b: str = "keep_b") -> DataFrame:
@@ -86,21 +135,11 @@ def bootstrap_sums(stats: DataFrame, draws: DataFrame, columns: list[str], clust
 
 
 def by_condition(scores: DataFrame, condition: str, cluster: str, replicates: int, first: str, second: str, method: str = "method", seed: int = SEED) -> DataFrame:
-    """Interval of first - second within each condition, over draws of the clusters that the condition has (BST3).
-
-    The conditions' names come to the driver; each is a cohort of its own.
-    """
-    from functools import reduce
-
-    names = [r[0] for r in scores.where(F.col(condition).isNotNull()).select(condition).distinct().orderBy(condition).limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("more than 1000 conditions")
-    parts = []
-    for name in names:
-        mine = scores.where(F.col(condition) == name)
-        draws = hash_draws(mine.select(cluster).distinct(), replicates, seed)
-        parts.append(paired_interval(bootstrap_aurc(mine, draws, method, cluster), method, first, second).select(F.lit(name).alias("condition"), "*"))
-    return reduce(DataFrame.union, parts)
+    """Interval of first - second within each condition, over draws of the clusters that the condition has (BST3): one plan for all."""
+    known = scores.where(F.col(condition).isNotNull())
+    draws = hash_draws(known.select(condition, cluster).distinct(), replicates, seed, [condition])
+    per = bootstrap_aurc(known, draws, method, cluster, within=[condition])
+    return paired_interval(per, method, first, second, within=[condition]).withColumnRenamed(condition, "condition")
 
 
 def bootstrap_row_order(scores: DataFrame, draws: DataFrame, position: str, method: str = "method", cluster: str = "cluster", y: str = "y", score: str = "score") -> DataFrame:
@@ -110,6 +149,10 @@ def bootstrap_row_order(scores: DataFrame, draws: DataFrame, position: str, meth
     row of weight w is w equal terms: the mean of running risks over its w ranks.
     """
     known = scores.where(F.col(y).isNotNull() & F.col(score).isNotNull()).select(method, cluster, F.col(y).cast("double").alias("y"), score, position)
+    # a row is a tied group of its own
+    found = _areas(known.select(method, cluster, score, position, F.lit(1.0).alias("m"), F.col("y").alias("e")), draws.withColumnRenamed("cluster", cluster), [cluster], [method], [score, position])
+    if found is not None:
+        return found.select("replicate", method, "aurc")
     drawn = known.join(draws.withColumnRenamed("cluster", cluster), cluster)
     run = running(drawn, ["replicate", method], [score, position], {"n1": "weight", "e1": F.col("y") * F.col("weight")})
     n0, e0 = F.col("n1") - F.col("weight"), F.col("e1") - F.col("y") * F.col("weight")

@@ -213,7 +213,7 @@ def actions_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.events(spark, sf_dir).select("cond", decide.action("p", 0.9, 0.97).alias("action")).groupBy("cond", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
-REPLICATES = 200
+REPLICATES = 2000
 
 
 def _methods(d: DataFrame) -> DataFrame:

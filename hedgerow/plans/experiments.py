@@ -10,7 +10,7 @@ from hedgerow.operators import cohorts, contracts, features, gates, graph, infer
 from hedgerow.sources import readers, writers
 
 from . import bindings as B
-from .catalogue import _AURC, _BOOT, _methods, _numeric, query, rounded
+from .catalogue import _AURC, _BOOT, REPLICATES, _methods, _numeric, query, rounded
 
 SEED = 20260906
 
@@ -101,7 +101,7 @@ def extension_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {B.SQL['d']}, cl as (select cond, cluster, row_number() over (partition by cond order by cluster) - 1 as place, count(*) over (partition by cond) as n from (select distinct cond, cluster from d where cond is not null)),
-dr as (select cond, b.b, (('0x' || substr(sha256('{SEED}:' || b.b || ':' || c.place), 1, 16))::ubigint % c.n::ubigint)::bigint as place from cl c cross join (select unnest(range(200)) as b) b),
+dr as (select cond, b.b, (('0x' || substr(sha256('{SEED}:' || b.b || ':' || c.place), 1, 16))::ubigint % c.n::ubigint)::bigint as place from cl c cross join (select unnest(range({REPLICATES})) as b) b),
 wt as (select cond, b, cluster, count(*) as w from dr join cl using (cond, place) group by all),
 m as (select cond, cluster, y, 'length' as method, score::double as score from d where y is not null union all select cond, cluster, y, 'id', (id % 97)::double from d where y is not null),
 g as (select cond, b, method, score, sum(w)::bigint as m, sum(w * y)::double as e from m join wt using (cond, cluster) group by all),
@@ -113,7 +113,7 @@ select cond as condition, count(*) as replicates, round(avg(d), 9) as mean_diffe
 )
 def condition_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals within each language, over the sources that it has (BST3)."""
-    return rounded(resample.by_condition(_methods(B.documents(spark, sf_dir)), "cond", "cluster", 200, "length", "id"))
+    return rounded(resample.by_condition(_methods(B.documents(spark, sf_dir)), "cond", "cluster", REPLICATES, "length", "id"))
 
 
 @query(
@@ -125,7 +125,7 @@ select b as replicate, round(avg(v), 9) as aurc from v group by b"""
 def legacy_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replicates of the older error area, ties by row (BST4)."""
     d = B.documents(spark, sf_dir).withColumn("method", F.lit("length"))
-    return rounded(resample.bootstrap_row_order(d, resample.hash_draws(d.select("cluster").distinct(), 200), "id").select("replicate", "aurc"))
+    return rounded(resample.bootstrap_row_order(d, resample.hash_draws(d.select("cluster").distinct(), REPLICATES), "id").select("replicate", "aurc"))
 
 
 @query(

@@ -11,7 +11,7 @@ from hedgerow.operators import cohorts, contracts, decide, heads, metrics, resam
 from hedgerow.streaming import incremental
 
 from . import bindings as B
-from .catalogue import _AURC, _BOOT, _SPLIT, _TURNS, _TWO, _turns, _two_selections, query, r9, rounded
+from .catalogue import _AURC, _BOOT, REPLICATES, _SPLIT, _TURNS, _TWO, _turns, _two_selections, query, r9, rounded
 
 # --------------------------------------------------- seeds, folds, comparisons
 
@@ -90,7 +90,7 @@ def running_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DRAWS = _BOOT[: _BOOT.index("m as (select")].rstrip().rstrip(",")
 
 
-def _draws(d: DataFrame, replicates: int = 200) -> DataFrame:
+def _draws(d: DataFrame, replicates: int = REPLICATES) -> DataFrame:
     return resample.hash_draws(d.select("cluster").distinct(), replicates)
 
 
