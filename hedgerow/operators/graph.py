@@ -15,20 +15,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A node has many neighbours above this number, and above this share of all edges.
+HOT_ROWS = 1000
+HOT_NODES = 10_000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Each edge (u, v) with m of its u. Nodes with many edges, of which there can't be ``HOT_NODES``, are broadcast: a star is not one task's."""
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_NODES)
+    few = least.where(hot).drop("n")
+    return edges.join(F.broadcast(few), "u").unionByName(edges.join(F.broadcast(few.select("u")), "u", "left_anti").join(least.where(~hot).drop("n"), "u"))
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_least(both.where(F.col("v") > F.col("u")), least, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _with_least(down, least, total).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -42,7 +54,7 @@ def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame], ro
     now = keep(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "edges")
     before = _state(now)
     for _ in range(rounds if before[0] else 0):
-        now = keep(_small_star(_large_star(now)), "edges")
+        now = keep(_small_star(_large_star(now, before[0]), 2 * before[0]), "edges")
         after = _state(now)
         if after == before:
             break
@@ -54,22 +66,27 @@ def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame], ro
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
 
 
-def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder of ``spark.checkpoint.dir`` and read again.
+def shared_root(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``.
 
     Only in local mode may the setting be missing: on a cluster each executor would
     write to a disk of its own.
     """
     import tempfile
-    import uuid
 
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}"
-    path = f"{root.rstrip('/')}/hedgerow/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/hedgerow"
+
+
+def checkpointed(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read again."""
+    import uuid
+
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

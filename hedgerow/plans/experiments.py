@@ -60,7 +60,7 @@ def head_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _split_numeric(spark, sf_dir)
     fitted, _, _ = training.train_heads(d, HEADS, "id", ["id", "y"])
     frozen = training.freeze(fitted, "documents")
-    folder = f"{_folder(spark)}/heads-{reporting.fresh_id()}"
+    folder = f"{graph.shared_root(spark)}/heads-{reporting.fresh_id()}"
     for head in fitted.values():
         training.save_head(spark, head, folder)
     again = {n: training.load_head(spark, folder, n, frozen["heads"][n]) for n in fitted}
@@ -77,16 +77,6 @@ def boosting_and_perceptron(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(training.score_all(parts[2], fitted, ["id", "y"]))
 
 
-def _folder(spark: SparkSession) -> str:
-    """The shared folder, as ``graph.checkpointed`` uses it."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/hedgerow"
-
-
 @query(f"with {_SCORED} select cond, part, count(*) as n, round(avg(y::double), 9) as error_rate, round(avg(calibrated), 9) as mean_value from (select *, 'p' || (cluster % 3)::varchar as part from s) group by grouping sets ((), (cond), (part))")
 def extension_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overall and by key, of one method (MDL15)."""
@@ -388,7 +378,7 @@ def text_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, df: DataFrame, write) -> str:
-    path = f"{_folder(spark)}/written-{reporting.fresh_id()}"
+    path = f"{graph.shared_root(spark)}/written-{reporting.fresh_id()}"
     write(df, path)
     return path
 
@@ -433,7 +423,7 @@ def frozen_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = B.read(spark, sf_dir, "documents").select("lang", "n_chars")
     line = [chains.Stage("means", lambda x: x.groupBy("lang").agg((F.sum("s") / F.sum("n")).alias("mean_chars")), ["sums"]), chains.Stage("sums", lambda x: x.groupBy("lang").agg(F.sum("n_chars").alias("s"), F.count(F.lit(1)).alias("n")), ["documents"])]
-    tables, _ = chains.run(spark, line, {"documents": d}, f"{_folder(spark)}/chain-{reporting.fresh_id()}", {"documents": sf_dir})
+    tables, _ = chains.run(spark, line, {"documents": d}, f"{graph.shared_root(spark)}/chain-{reporting.fresh_id()}", {"documents": sf_dir})
     return rounded(tables["means"])
 
 
