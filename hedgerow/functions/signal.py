@@ -197,5 +197,5 @@ def transformed(df: DataFrame, kind: str, id_: str = "id", x: str = "x", **spec)
 def features_by_content(df: DataFrame, digest: str, x: str, rate: int) -> DataFrame:
     """Signal features of each distinct content once, joined back to all rows that have it (AUD8)."""
     one = df.groupBy(digest).agg(F.first(x).alias("_x"))
-    measured = one.select(F.col(digest), duration("_x", rate).alias("audio_duration"), rms_db("_x").alias("audio_rms_db"), zero_fraction("_x").alias("audio_zero_fraction"), clip_fraction("_x").alias("audio_clip_fraction"))
+    measured = one.select(F.col(digest), duration("_x", rate).alias("audio_duration"), rms_db("_x").alias("audio_rms_db"), zero_fraction("_x").alias("audio_zero_fraction"), clip_fraction("_x").alias("audio_clipping_fraction"))
     return df.drop(x).join(measured, digest)

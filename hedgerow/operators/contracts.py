@@ -127,7 +127,7 @@ def design_contract(found: DataFrame, axes: dict[str, list]) -> DataFrame:
     spark, grid = found.sparkSession, None
     for name, values in axes.items():
         axis = spark.createDataFrame([(v,) for v in values], [name])
-        grid = axis if grid is None else grid.crossJoin(F.broadcast(axis))
+        grid = axis if grid is None else grid.crossJoin(axis)
     have = found.select(*axes).distinct()
     missing = grid.join(have, list(axes), "left_anti").select(*axes, F.lit("missing").alias("problem"))
-    return missing.union(have.join(F.broadcast(grid), list(axes), "left_anti").select(*axes, F.lit("unexpected").alias("problem")))
+    return missing.union(have.join(grid, list(axes), "left_anti").select(*axes, F.lit("unexpected").alias("problem")))

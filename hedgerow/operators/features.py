@@ -13,7 +13,7 @@ FEATURES = [
     "perturb_mean_distance", "perturb_max_distance", "sample_mean_distance", "sample_number_disagreement", "sample_negation_disagreement",
     "asr_sequence_nll", "asr_token_entropy", "cascade_sequence_nll",
     "evidence_text_distance", "evidence_number_mismatch", "evidence_negation_mismatch", "evidence_coverage_gap",
-    "audio_duration", "audio_rms_db", "audio_zero_fraction", "audio_spectral_entropy", "audio_clip_fraction",
+    "audio_duration", "audio_rms_db", "audio_zero_fraction", "audio_spectral_entropy", "audio_clipping_fraction",
 ]
 
 

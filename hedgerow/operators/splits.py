@@ -162,23 +162,3 @@ def donor_design(df: DataFrame, id_: str, speaker: str, seed: int = SEED) -> Dat
     partner = placed.select(F.col("id").alias("donor_id"), ((F.col("at") + n // 2) % F.lit(max(n, 1))).alias("at"))
     pairs = placed.join(partner, "at").select("id", "donor_id")
     return pairs.union(cycle) if facts["n"] % 2 else pairs
-
-
-def neighbour_donors(rows: list[tuple[str, str]]) -> dict[str, str]:
-    """Neighbours in row order as each other's donor; one of the same speaker changes places with the next of another (SPL9).
-
-    A sequential rule over a cohort's (id, speaker) on the driver, bounded by ``MAX_GROUPS``.
-    """
-    if len(rows) % 2:
-        raise ValueError("an even number of recordings is needed")
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} rows for a sequential rule; use donor_design")
-    order, out = list(rows), {}
-    for i in range(0, len(order), 2):
-        here = order[i][1]
-        j = next((j for j in range(i + 1, len(order)) if order[j][1] != here), None)
-        if j is None:
-            raise ValueError("no recording of another speaker is left")
-        order[i + 1], order[j] = order[j], order[i + 1]
-        out |= {order[i][0]: order[i + 1][0], order[i + 1][0]: order[i][0]}
-    return out

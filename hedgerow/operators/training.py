@@ -27,7 +27,7 @@ from .graph import checkpointed
 # Groups of features, the heads made of them, and the shares that are reported.
 TEXT = ["sequence_nll", "token_entropy", "beam_margin_risk", "output_length"]
 SPEECH = ["asr_sequence_nll", "asr_token_entropy"]
-WAVE = ["audio_duration", "audio_rms_db", "audio_zero_fraction", "audio_spectral_entropy", "audio_clip_fraction"]
+WAVE = ["audio_duration", "audio_rms_db", "audio_zero_fraction", "audio_spectral_entropy", "audio_clipping_fraction"]
 PROBES = ["perturb_mean_distance", "perturb_max_distance"]
 SAMPLES = ["sample_mean_distance", "sample_number_disagreement", "sample_negation_disagreement"]
 EVIDENCE = ["cascade_sequence_nll", "evidence_text_distance", "evidence_number_mismatch", "evidence_negation_mismatch", "evidence_coverage_gap"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hedgerow.functions import signal
-from hedgerow.operators import cohorts, contracts, features, gates, graph, inference, reporting, resample, sensitivity, splits, training
+from hedgerow.operators import cohorts, contracts, features, gates, graph, inference, metrics, reporting, resample, selection, sensitivity, splits, training
 from hedgerow.sources import readers, writers
 
 from . import bindings as B
@@ -89,8 +89,7 @@ def extension_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query(
-    f"""with {B.SQL['d']}, cl as (select cond, cluster, row_number() over (partition by cond order by cluster) - 1 as place, count(*) over (partition by cond) as n from (select distinct cond, cluster from d where cond is not null)),
+_BOOT_BY_CONDITION = f"""with {B.SQL['d']}, cl as (select cond, cluster, row_number() over (partition by cond order by cluster) - 1 as place, count(*) over (partition by cond) as n from (select distinct cond, cluster from d where cond is not null)),
 dr as (select cond, b.b, (('0x' || substr(sha256('{SEED}:' || b.b || ':' || c.place), 1, 16))::ubigint % c.n::ubigint)::bigint as place from cl c cross join (select unnest(range({REPLICATES})) as b) b),
 wt as (select cond, b, cluster, count(*) as w from dr join cl using (cond, place) group by all),
 m as (select cond, cluster, y, 'length' as method, score::double as score from d where y is not null union all select cond, cluster, y, 'id', (id % 97)::double from d where y is not null),
@@ -98,9 +97,11 @@ g as (select cond, b, method, score, sum(w)::bigint as m, sum(w * y)::double as
 x as (select cond, b, method, e / m as p, unnest(range(m)) as i, score from g),
 v as (select cond, b, method, sum(p) over (partition by cond, b, method order by score, i rows unbounded preceding) / row_number() over (partition by cond, b, method order by score, i) as v from x),
 a as (select cond, b, method, avg(v) as aurc from v group by all),
-q as (select cond, b, max(aurc) filter (method = 'length') - max(aurc) filter (method = 'id') as d from a group by all)
-select cond as condition, count(*) as replicates, round(avg(d), 9) as mean_difference, round(quantile_cont(d, 0.025), 9) as low, round(quantile_cont(d, 0.975), 9) as high from q where d is not null group by cond"""
-)
+q as (select cond, b, max(aurc) filter (method = 'length') - max(aurc) filter (method = 'id') as d from a group by all)"""
+
+
+@query(_BOOT_BY_CONDITION + """
+select cond as condition, count(*) as replicates, round(avg(d), 9) as mean_difference, round(quantile_cont(d, 0.025), 9) as low, round(quantile_cont(d, 0.975), 9) as high from q where d is not null group by cond""")
 def condition_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals within each language, over the sources that it has (BST3)."""
     return rounded(resample.by_condition(_methods(B.documents(spark, sf_dir)), "cond", "cluster", REPLICATES, "length", "id"))
@@ -221,14 +222,32 @@ def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.table(s, "method", "o_orderstatus", "v", ["2-HIGH", "1-URGENT"], ["F", "O"])
 
 
-@query(f"with {B.SQL['o']}, c as (select cond, count(*) filter (score < 150000) as k, coalesce(sum(y) filter (score < 150000), 0) as e, count(*) filter (score < 150000 and y is null) as u from o group by cond) select cond, case when k = 0 then '--' else printf('%.2f', round(100.0::double * e / k, 2)) || '-' || printf('%.2f', round(100.0::double * (e + u) / k, 2)) end as bounds from c")
+@query(f"with {B.SQL['o']}, c as (select cond, count(*) filter (score < 150000) as k, coalesce(sum(y) filter (score < 150000), 0) as e, count(*) filter (score < 150000 and y is null) as u from o group by cond) select cond, case when k = 0 then '--' else printf('%.2f', 100.0::double * e / k) || '-' || printf('%.2f', 100.0::double * (e + u) / k) end as bounds from c")
 def bounds_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounds as they are printed (RPT2, RPT3)."""
-    o = B.orders(spark, sf_dir).where("score < 150000 or score >= 150000")
+    """Bounds as they are printed (RPT2, FMT2)."""
     inside = F.col("score") < 150000
-    c = o.groupBy("cond").agg(F.count_if(inside).alias("k"), F.coalesce(F.sum(F.when(inside, F.col("y"))), F.lit(0)).alias("e"), F.count_if(inside & F.col("y").isNull()).alias("u"))
-    percent = lambda x: F.format_string("%.2f", F.round(100 * x / F.col("k"), 2))
-    return c.select("cond", F.when(F.col("k") == 0, "--").otherwise(F.concat(percent(F.col("e")), F.lit("-"), percent(F.col("e") + F.col("u")))).alias("bounds"))
+    c = B.orders(spark, sf_dir).groupBy("cond").agg(F.count_if(inside).alias("k"), F.coalesce(F.sum(F.when(inside, F.col("y"))), F.lit(0)).alias("e"), F.count_if(inside & F.col("y").isNull()).alias("u"))
+    return c.select("cond", reporting.bounds_cell("e", "u", "k").alias("bounds"))
+
+
+_BOTH = f"""{B.SQL['d']}, b2 as (select cond, cluster, id, y, 'length' as method, score::double as score from d union all select cond, cluster, id, y, 'id', (id % 97)::double from d),
+a2 as (select cond, method, avg(y::double) over (partition by cond, method, score) as p, row_number() over (partition by cond, method order by score, id) as rk from b2 where y is not null),
+v2 as (select cond, method, sum(p) over (partition by cond, method order by rk rows unbounded preceding) / rk as v from a2), u2 as (select cond, method, avg(v) as aurc from v2 group by cond, method)"""
+
+
+@query(
+    f"""with {_BOTH}, r as (select *, row_number() over (partition by cond, method order by score, {B.tie('id')}) <= least(count(*) over (partition by cond, method), greatest(1, round_even(0.9::double * count(*) over (partition by cond, method), 0))) as keep from b2),
+k as (select cond, method, count(*) filter (keep) as k, coalesce(sum(y) filter (keep), 0) as e, count(*) filter (keep and y is null) as u from r group by cond, method),
+t as (select method, cond, printf('%.4f', aurc) || ' ' || printf('%.2f', 100.0::double * e / k) || '-' || printf('%.2f', 100.0::double * (e + u) / k) as cell from k join u2 using (cond, method))
+select method, max(cell) filter (cond = 'de') as de, max(cell) filter (cond = 'en') as en from t group by method"""
+)
+def publication_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error area and bounds at 90 % of two methods for two languages, as they are printed (RPT2, RPT3)."""
+    d = B.documents(spark, sf_dir)
+    both = d.withColumn("x", F.explode(F.array(F.struct(F.lit("length").alias("m"), F.col("score").cast("double").alias("s")), F.struct(F.lit("id").alias("m"), (F.col("id") % 97).cast("double").alias("s"))))).select("id", "y", F.col("cond").alias("cohort"), F.col("x.m").alias("method"), F.col("x.s").alias("score"))
+    kept = metrics.selective(selection.keep_top(both, ["cohort", "method"], "score", "id", 0.9), ["cohort", "method"])
+    records = metrics.aurc(both, ["cohort", "method"]).join(kept, ["cohort", "method"]).select("cohort", "method", "aurc", F.col("k").alias("kept90"), F.col("e").alias("errors90"), F.col("u").alias("unresolved90"))
+    return reporting.publication(records, ["de", "en"], ["length", "id"])
 
 
 @query("with m as (select event_type, count(*) as n from events group by 1), f as (select sha256(c_mktsegment) as h from customer group by c_mktsegment) select (select count(*) from m)::int as metric_rows, (select count(*) from f)::int as source_files, (select min(h) from f) as first_digest, false as formal_eligible")
@@ -240,13 +259,20 @@ def release_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.size("metrics").alias("metric_rows"), F.size("sources").alias("source_files"), F.col("sources")[0]["sha256"].alias("first_digest"), "formal_eligible")
 
 
-@query("with a as (select cond, avg(score) filter (cluster % 2 = 0) - avg(score) filter (cluster % 2 = 1) as d from (select 'c' || (user_id % 4)::varchar as cond, user_id // 4 as cluster, value as score from events) group by cond) select 'first' as cohort, cond, round(d, 9) as delta, case when cond = 'c0' then round(d - 1, 9) end as low, case when cond = 'c0' then round(d + 1, 9) end as high, case when cond <> 'c0' then 'not_computed' when d + 1 < 0 then 'full_lower' when d - 1 > 0 then 'full_higher' else 'cannot_exclude' end as conclusion from a union all select 'second', cond, round(-d, 9), null, null, 'not_computed' from a")
+@query(
+    _BOOT_BY_CONDITION
+    + f""", dd as (select cond, max(aurc) filter (method = 'length') - max(aurc) filter (method = 'id') as delta from (select cond, method, avg(v) as aurc from (select cond, method, sum(p) over (partition by cond, method order by rk rows unbounded preceding) / rk as v from (select cond, method, avg(y::double) over (partition by cond, method, score) as p, row_number() over (partition by cond, method order by score) as rk from m)) group by all) group by cond),
+ii as (select cond, quantile_cont(d, 0.025) as low, quantile_cont(d, 0.975) as high from q where d is not null group by cond),
+s as (select 'languages' as cohort, cond, delta, low, high from dd left join ii using (cond) union all select 'reversed', cond, -delta, null, null from dd)
+select cohort, cond, round(delta, 9) as delta, round(low, 9) as low, round(high, 9) as high, case when low is null then 'not_computed' when high < 0 then 'full_lower' when low > 0 then 'full_higher' else 'cannot_exclude' end as conclusion from s"""
+)
 def significance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comparisons of all cohorts, with intervals where there are any (BST7)."""
-    e = B.read(spark, sf_dir, "events").select(F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")).alias("cond"), F.floor(F.col("user_id") / 4).alias("cluster"), F.col("value").alias("score"))
-    d = e.groupBy("cond").agg((F.avg(F.when(F.col("cluster") % 2 == 0, F.col("score"))) - F.avg(F.when(F.col("cluster") % 2 == 1, F.col("score")))).alias("delta"))
-    intervals = d.where("cond = 'c0'").select(F.lit("first").alias("cohort"), "cond", (F.col("delta") - 1).alias("low"), (F.col("delta") + 1).alias("high"), F.lit(1).alias("clusters"))
-    every = reporting.union_summaries({"first": d, "second": d.withColumn("delta", -F.col("delta"))})
+    """Comparisons of two cohorts; the first has bootstrap intervals, the second none (BST7)."""
+    both = _methods(B.documents(spark, sf_dir)).where("cond is not null")
+    area = metrics.aurc(both, ["cond", "method"])
+    d = area.groupBy("cond").agg((F.max(F.when(F.col("method") == "length", F.col("aurc"))) - F.max(F.when(F.col("method") == "id", F.col("aurc")))).alias("delta"))
+    intervals = resample.by_condition(both, "cond", "cluster", REPLICATES, "length", "id").select(F.lit("languages").alias("cohort"), F.col("condition").alias("cond"), "low", "high", F.col("replicates").alias("clusters"))
+    every = reporting.union_summaries({"languages": d, "reversed": d.withColumn("delta", -F.col("delta"))})
     return rounded(reporting.with_intervals(every, intervals, ["cohort", "cond"]).drop("clusters"))
 
 
@@ -427,3 +453,28 @@ def frozen_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tables["means"])
 
 
+
+
+# --------------------------------------------------------- files that are read back
+
+
+@query("with m as (select vec_id, list_transform(embedding, lambda v: round_even(least(greatest(v::double, -1), 1) * 32767, 0) / 32768) as x from embeddings) select vec_id::varchar || '.wav' as name, 16000 as rate, len(x) as samples, round(list_sum(x), 6) as total, round(list_sum(list_transform(x, lambda v: v * v)), 6) as energy from m")
+def audio_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as signals, each written as a WAV file and read again (SNK7, SRC7)."""
+    folder = f"{graph.shared_root(spark)}/audio-{reporting.fresh_id()}"
+    v = B.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("name"), F.col("embedding").alias("samples"), F.lit(16000).alias("rate"))
+    written = graph.checkpointed(writers.audio_files(v, folder), "audio-files")
+    back = readers.audio(spark, folder).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    x = F.transform("samples", lambda s: s.cast("double"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, s: a + s), 6)
+    return written.select(F.concat("name", F.lit(".wav")).alias("name")).join(back, "name").select("name", "rate", F.size("samples").cast("long").alias("samples"), total(x).alias("total"), total(F.transform(x, lambda s: s * s)).alias("energy"))
+
+
+@query("select user_id, count(*) as bad, sum(line)::bigint as lines from (select user_id, row_number() over (partition by user_id order by event_id) as line, event_id % 97 = 5 as bad from events) where bad group by user_id")
+def jsonl_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of JSON files that don't parse, with their numbers: a file for each user's events, a broken line now and then (SRC1, SRC2)."""
+    folder = f"{graph.shared_root(spark)}/lines-{reporting.fresh_id()}"
+    e = B.read(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 97 == 5, F.lit('{"event_id": ')).otherwise(F.to_json(F.struct("event_id", "value"))).alias("value"))
+    e.repartition("user_id").sortWithinPartitions("user_id", "event_id").select("user_id", "value").write.partitionBy("user_id").text(folder)
+    bad = readers.jsonl_errors(spark, f"{folder}/user_id=*", "event_id long, value double")
+    return bad.groupBy(F.regexp_extract("file", "user_id=([0-9]+)/", 1).cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("bad"), F.sum("line").cast("long").alias("lines"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
 import os
+import uuid
 import wave
 from pathlib import Path
 
@@ -90,6 +93,42 @@ def audio(path: str | Path, samples: np.ndarray, rate: int) -> None:
         f.writeframes((np.clip(samples, -1, 1) * 32767).round().astype("<i2").tobytes())
 
 
+def audio_files(df: DataFrame, folder: str, name: str = "name", samples: str = "samples", rate: str = "rate") -> DataFrame:
+    """One 16-bit WAV file per row below a folder that all executors reach: name, path, bytes, sha256.
+
+    A file is written under a name of the attempt and renamed, so a task that runs again
+    leaves whole files only; rows of one name write the same file, the last stays. Null
+    samples are silence of no length.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            out = []
+            for n, x, r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                raw = io.BytesIO()
+                with wave.open(raw, "wb") as f:
+                    f.setnchannels(1)
+                    f.setsampwidth(2)
+                    f.setframerate(r)
+                    f.writeframes((np.clip(np.array(x or [], np.float64), -1, 1) * 32767).round().astype("<i2").tobytes())
+                path, half = f"{root}/{n}.wav", f"{root}/.{n}-{uuid.uuid4().hex}"
+                with files.open_output_stream(half) as f:
+                    f.write(raw.getvalue())
+                if files.get_file_info(path).type == fs.FileType.File:
+                    files.delete_file(path)
+                files.move(half, path)
+                out.append((n, f"{folder}/{n}.wav", len(raw.getvalue()), hashlib.sha256(raw.getvalue()).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["name", "path", "bytes", "sha256"])
+
+    rows = df.select(F.col(name).cast("string"), F.col(samples).cast("array<double>"), F.col(rate).cast("int"))
+    return rows.mapInArrow(run, "name string, path string, bytes long, sha256 string")
+
+
 def macros(df: DataFrame, name: str, value: str, digits: int = 4, limit: int = 10_000) -> str:
     """LaTeX commands of named values (RPT4), of at most ``limit`` rows."""
     letters = F.regexp_replace(F.initcap(F.regexp_replace(name, "[^A-Za-z]+", " ")), " ", "")

@@ -164,15 +164,6 @@ def test_donor_design_infeasible(spark):
         splits.donor_design(spark.createDataFrame([(f"{s}{i}", s) for i, s in enumerate("aaabca")], "id string, sp string"), "id", "sp")
 
 
-def test_neighbour_donors():
-    rows = [(f"{s}{i}", s) for i, s in enumerate("aabbcacb")]
-    got = splits.neighbour_donors(rows)
-    assert got["a0"] == "b2" and all(got[got[a]] == a and a[0] != got[a][0] for a, _ in rows)
-    for bad in ("aab", "aaab"):
-        with pytest.raises(ValueError):
-            splits.neighbour_donors([(f"{s}{i}", s) for i, s in enumerate(bad)])
-
-
 def test_number_readers_skip_texts_without_numbers(spark):
     texts = ["no such word", "", None, "Twenty-one cats", "dixième", "ein Haus", "zweihundert", "trente et un", "mille mille", "٣ x", "none"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
