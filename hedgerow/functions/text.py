@@ -57,10 +57,13 @@ def token_distance(a: str | Column, b: str | Column) -> Column:
     """Edit distance of two token arrays (TXT3).
 
     Each different token of the pair becomes one character, so that the built-in
-    distance of strings does the work; for up to 20,000 different tokens a pair.
+    distance of strings does the work; for up to a million different tokens a pair (more
+    are refused).
     """
     both = F.struct(_col(a).alias("a"), _col(b).alias("b"))
-    code = lambda known, t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0x3400), 4, "0")), "UTF-16BE")
+    # code points from 0x3400 on, without the surrogates from 0xD800 to 0xDFFF
+    point = lambda n: F.when(n > 0x10FFFF - 0x3400 - 0x800, F.raise_error(F.lit("more than a million different tokens"))).otherwise(F.when(n + 0x3400 < 0xD800, n + 0x3400).otherwise(n + 0x3C00))
+    code = lambda known, t: F.decode(F.unhex(F.lpad(F.hex(let(F.array_position(known, t), point)), 8, "0")), "UTF-32")
     coded = lambda known, x: F.array_join(F.transform(x, lambda t: code(known, t)), "")
     return let(both, lambda p: let(F.array_distinct(F.concat(p["a"], p["b"])), lambda known: F.levenshtein(coded(known, p["a"]), coded(known, p["b"]))))
 

@@ -1,23 +1,20 @@
 """Risk heads and calibration (MDL1-MDL8, MDL11, MTH1, MTH2).
 
 Imputation and scaling parameters are SQL aggregates; logistic heads are
-pyspark.ml; extremely randomised trees are grown tree by tree on executors from a
-bounded training matrix; Platt scaling is Newton steps whose sums are grouped
+pyspark.ml; extremely randomised trees are those of ``forest``; Platt scaling is Newton steps whose sums are grouped
 aggregates, so no group is ever gathered in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a training matrix that is sent to the executors.
-MAX_MATRIX_ROWS = 200_000
+from .forest import Forest, fit_forest  # noqa: F401  (heads like the others)
+
 #: Fixed value: the inverse strength of the older calibration.
 LEGACY_RIDGE = 1e-6
 
@@ -131,93 +128,6 @@ def fit_perceptron(train: DataFrame, width: int, y: str = "y", seed: int = 1):
     return MultilayerPerceptronClassifier(layers=[width, 32, 16, 2], seed=seed, maxIter=200).fit(data)
 
 
-def grow_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, rng: np.random.Generator, leaf: int, share: float) -> list[tuple]:
-    """Nodes (feature, threshold, left, right, value) of an extremely randomised tree: one random cut per drawn feature."""
-    nodes: list[tuple] = []
-
-    def impurity(i: np.ndarray) -> float:
-        total = w[i].sum()
-        p = (w[i] * y[i]).sum() / total
-        return total * p * (1 - p)
-
-    todo = [(np.arange(len(x)), -1, 0)]
-    while todo:
-        rows, parent, side = todo.pop()
-        at, value = len(nodes), float((w[rows] * y[rows]).sum() / w[rows].sum())
-        nodes.append((-1, 0.0, -1, -1, value))
-        if parent >= 0:
-            f, t, l, r, v = nodes[parent]
-            nodes[parent] = (f, t, at if side == 0 else l, at if side else r, v)
-        if len(rows) < 2 * leaf or value in (0.0, 1.0):
-            continue
-        lo, hi = x[rows].min(0), x[rows].max(0)
-        free = np.flatnonzero(hi > lo)
-        best = None
-        for f in rng.permutation(free)[: max(1, int(share * x.shape[1]))]:
-            cut = rng.uniform(lo[f], hi[f])
-            left = x[rows, f] <= cut
-            if leaf <= left.sum() <= len(rows) - leaf:
-                cost = impurity(rows[left]) + impurity(rows[~left])
-                if best is None or cost < best[0]:
-                    best = (cost, int(f), float(cut), left)
-        if best:
-            nodes[at] = (best[1], best[2], -1, -1, value)
-            todo += [(rows[~best[3]], at, 1), (rows[best[3]], at, 0)]
-    return nodes
-
-
-def tree_values(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
-    f, t, left, right, value = (np.array(c) for c in zip(*nodes, strict=True))
-    at = np.zeros(len(x), np.int64)
-    while (inner := f[at] >= 0).any():
-        i = np.flatnonzero(inner)
-        n = at[i]
-        at[i] = np.where(x[i, f[n]] <= t[n], left[n], right[n])
-    return value[at]
-
-
-@dataclass
-class Forest:
-    trees: list[list[tuple]]
-
-    def score(self, df: DataFrame, array: str = "features_array") -> Column:
-        trees = self.trees
-
-        @F.pandas_udf("double")
-        def mean(rows: pd.Series) -> pd.Series:
-            if not len(rows):
-                return pd.Series([], dtype=float)
-            x = np.stack(rows.to_list())
-            return pd.Series(np.mean([tree_values(t, x) for t in trees], axis=0))
-
-        return mean(F.col(array))
-
-
-def fit_forest(train: DataFrame, y: str = "y", trees: int = 600, leaf: int = 20, share: float = 0.7, seed: int = 1) -> Forest:
-    """Extremely randomised trees with balanced classes, grown in parallel (MDL4).
-
-    The training matrix is broadcast, so its rows are bounded (``MAX_MATRIX_ROWS``,
-    refused above).
-    """
-    spark = train.sparkSession
-    rows = balanced(train.where(F.col(y).isNotNull()), y).select("features_array", F.col(y).cast("double").alias("y"), "weight").limit(MAX_MATRIX_ROWS + 1).collect()
-    if len(rows) > MAX_MATRIX_ROWS:
-        raise ValueError(f"more than {MAX_MATRIX_ROWS} training rows for a forest; sample them")
-    rows.sort(key=lambda r: (r["features_array"], r["y"]))
-    shared = spark.sparkContext.broadcast((np.array([r["features_array"] for r in rows]), np.array([r["y"] for r in rows]), np.array([r["weight"] for r in rows])))
-
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, labels, w = shared.value
-        for batch in batches:
-            grown = [grow_tree(x, labels, w, np.random.default_rng([seed, int(i)]), leaf, share) for i in batch["id"]]
-            yield pd.DataFrame({"id": batch["id"], "tree": [repr(t) for t in grown]})
-
-    import ast
-
-    found = spark.range(trees).repartition(min(trees, 64)).mapInPandas(grow, "id long, tree string").orderBy("id").collect()
-    return Forest([ast.literal_eval(r["tree"]) for r in found])
-
-
 # ---------------------------------------------------------------- calibration
 
 
