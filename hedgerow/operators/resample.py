@@ -134,6 +134,24 @@ def bootstrap_sums(stats: DataFrame, draws: DataFrame, columns: list[str], clust
     return sums.join(draws.withColumnRenamed("cluster", cluster), cluster).groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in columns])
 
 
+def bootstrap_chrf(counts: DataFrame, draws: DataFrame, cluster: str = "cluster", orders: int = 6, beta: float = 2.0) -> DataFrame:
+    """Corpus chrF of each replicate (MET21, BST5): n-gram counts are summed by cluster once, and the sums weighed.
+
+    ``counts`` has the cluster and ``chrf``, the counts of ``functions.text.chrf_counts``.
+    Orders that don't occur on both sides are left out; 0 where none does.
+    """
+    names = [f"{c}_{n}" for n in range(orders) for c in ("hyp", "ref", "match")]
+    wide = counts.select(cluster, *[F.get("chrf", n)[c].alias(f"{c}_{n}") for n in range(orders) for c in ("hyp", "ref", "match")])
+    sums = bootstrap_sums(wide, draws, names, cluster)
+    there = [(F.col(f"hyp_{n}") > 0) & (F.col(f"ref_{n}") > 0) for n in range(orders)]
+    used = sum((t.cast("int") for t in there), F.lit(0))
+    mean = lambda side: sum((F.when(t, F.col(f"match_{n}") / F.col(f"{side}_{n}")).otherwise(0.0) for n, t in enumerate(there)), F.lit(0.0)) / F.nullif(used, F.lit(0))
+    b = beta * beta
+    scored = sums.select("replicate", mean("hyp").alias("p"), mean("ref").alias("r"))
+    d = b * F.col("p") + F.col("r")
+    return scored.select("replicate", F.coalesce(F.when(d > 0, 100 * (1 + b) * F.col("p") * F.col("r") / d), F.lit(0.0)).alias("chrf"))
+
+
 def by_condition(scores: DataFrame, condition: str, cluster: str, replicates: int, first: str, second: str, method: str = "method", seed: int = SEED) -> DataFrame:
     """Interval of first - second within each condition, over draws of the clusters that the condition has (BST3): one plan for all."""
     known = scores.where(F.col(condition).isNotNull())

@@ -3,7 +3,7 @@ import pytest
 from conftest import SF, canonical
 
 import __spark_entry__ as entry
-from hedgerow.plans import catalogue, experiments, reports, streams  # noqa: F401  (the others add their queries to the catalogue)
+from hedgerow.plans import catalogue, experiments, models, reports, streams  # noqa: F401  (the others add their queries to the catalogue)
 
 WITH_SQL = sorted(catalogue.ORACLES)
 WITHOUT = sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES))
