@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from hedgerow.operators.graph import components
 
-from .common import chunks, grams, join_by_size, keep, mix, utf8, words
+from .common import chunks, grams, join_by_size, keep, mix, released, utf8, words
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -48,8 +48,9 @@ BLOCK_GRAMS = 1_000_000
 #: Texts of a bucket that meet at a time, and the chance that a pair at the threshold seems too unlike by its sketches.
 BUCKET_TEXTS = 4096
 MISS = 1e-4
-#: Rows of sorted groups that are worked on at a time.
+#: Rows and bytes of sorted groups that are worked on at a time.
 GATHER_ROWS = 4096
+GATHER_BYTES = 1 << 22
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -136,13 +137,13 @@ def _sign(bands: int, rows: int):
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups of sorted rows: some thousand rows, a large group alone."""
-    held, rows = [], 0
+    held, rows, size = [], 0, 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        rows += batch.num_rows
-        if rows < GATHER_ROWS:
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows < GATHER_ROWS and size < GATHER_BYTES:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         new = np.zeros(rows, bool)
@@ -153,7 +154,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.T
         if len(starts):  # the last group may go on
             yield table.slice(0, int(starts[-1]))
             held = table.slice(int(starts[-1])).to_batches()
-            rows -= int(starts[-1])
+            rows, size = rows - int(starts[-1]), sum(b.nbytes for b in held)
     if rows:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -224,7 +225,7 @@ def plausible_members(texts: DataFrame, threshold: float, slots: int) -> DataFra
     total = buckets.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     members = join_by_size(banded, buckets, ["band"], "m", total).withColumn("blocks", F.ceil(F.col("m") / BUCKET_TEXTS).cast("int")).drop("m")
     dealt = _in_blocks(members.join(texts.select("rid", "sketch", "bands"), "rid"), "blocks").repartition(*GROUP).sortWithinPartitions(*GROUP)
-    found = dealt.select(*GROUP, "pos", "side", "rid", "sketch", "bands").mapInArrow(_meet(plausible(threshold, slots)), "band long, pos int, rid long")
+    found = dealt.select(*GROUP, "pos", "side", "rid", "sketch", "bands").mapInArrow(released(_meet(plausible(threshold, slots))), "band long, pos int, rid long")
     return keep(found.distinct(), "ngram-members")
 
 
@@ -320,9 +321,9 @@ def verified_links(texts: DataFrame, source: DataFrame, member: DataFrame, thres
     dealt = _in_blocks(join_by_size(member, blocks, ["band"], "m", total).drop("m"), "blocks")
     wanted = texts.join(member.select("rid").distinct(), "rid", "left_semi").select("rid", "key", "first_id", "copies", "bands")
     chosen = source.alias("s").join(wanted.alias("m"), (F.col("s.key") == F.col("m.key")) & F.col("s.id").eqNullSafe(F.col("m.first_id"))).select("rid", "copies", "bands", "text").dropDuplicates(["rid"])
-    sets = keep(chosen.mapInArrow(_sets, "rid long, copies long, bands array<long>, grams binary"), "ngram-sets")
+    sets = keep(chosen.mapInArrow(released(_sets), "rid long, copies long, bands array<long>, grams binary"), "ngram-sets")
     ready = dealt.join(sets, "rid").repartition(*GROUP).sortWithinPartitions(*GROUP, "rid")
-    return keep(ready.select(*GROUP, "pos", "side", "rid", "copies", "bands", "grams").mapInArrow(_verify(threshold), "rid long, links long, root long"), "ngram-links")
+    return keep(ready.select(*GROUP, "pos", "side", "rid", "copies", "bands", "grams").mapInArrow(released(_verify(threshold)), "rid long, links long, root long"), "ngram-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -341,7 +342,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     kind = docs.schema[id_col].dataType
     source = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
     signed = T.StructType([T.StructField("id", kind), T.StructField("key", T.StringType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-    rows = keep(source.mapInArrow(_sign(bands, per_band), signed), "ngram-rows")
+    rows = keep(source.mapInArrow(released(_sign(bands, per_band)), signed), "ngram-rows")
     texts = keep(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n", "bands", "sketch")).alias("x")).select(F.monotonically_increasing_id().alias("rid"), "key", "first_id", "copies", "x.*"), "ngram-texts")
 
     member = plausible_members(texts, threshold, bands * per_band)

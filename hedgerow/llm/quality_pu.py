@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, grams, held_out, mix, small_batches, spread, utf8, words
+from .common import chunks, grams, held_out, mix, released, small_batches, spread, utf8, words
 
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 10_000
@@ -271,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = known.where((F.col("y") == 1) & (unit(spread("id", seed)) < part(seen, max_positive))).orderBy(spread("id", seed), "id").limit(max_positive)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), id_col, text_col).alias("h")).where(~held_out("id"))
     total = plain.count()
-    featured = lambda rows, most: [(r["h"], bytes(r["x"])) for r in rows.mapInArrow(_featured, "y int, h long, x binary").orderBy("h", "x").limit(most).select("h", "x").collect()]
+    featured = lambda rows, most: [(r["h"], bytes(r["x"])) for r in rows.mapInArrow(released(_featured), "y int, h long, x binary").orderBy("h", "x").limit(most).select("h", "x").collect()]
     pos = featured(plain.join(F.broadcast(picked), "id").select("y", "h", "text"), 4 * max_positive)
     some = plain.where(unit(F.col("h")) < part(total, max_unlabelled))
     unl = featured(some.join(known.select("id").distinct(), "id", "left_anti").select(F.lit(-1).alias("y"), "h", "text"), 2 * max_unlabelled)
@@ -302,7 +302,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(s.astype(np.float64))], ["doc_id", "score"])
 
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
-    return docs.select(id_col, text_col).mapInArrow(run, out)
+    return docs.select(id_col, text_col).mapInArrow(released(run), out)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -326,4 +326,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 good[at:to] = _scores(raw[off[at] : off[to]], off[at : to + 1], m) >= cut
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

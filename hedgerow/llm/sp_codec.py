@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, small_batches, utf8
+from .common import chunks, released, small_batches, utf8
 
 MARK = "▁"
 #: Words that a worker remembers before it starts anew, and the longest of them: both bound its memory.
@@ -178,7 +178,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists, pa.array(n), pa.array([c.decode(x) == t for x, t in zip(ids, texts, strict=True)])], ["doc_id", "ids", "n_tokens", "restored"])
 
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("restored", T.BooleanType())])
-    return docs.select(id_col, text_col).mapInArrow(run, out)
+    return docs.select(id_col, text_col).mapInArrow(released(run), out)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _powers, chunks, join_by_size, keep, mix, utf8, words
+from .common import _powers, chunks, join_by_size, keep, mix, released, utf8, words
 
 LENGTH = 50
 GRAM = 8
@@ -209,7 +209,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
     scanned = T.StructType([T.StructField("id", kind), T.StructField("tk", T.LongType()), T.StructField("gram", longs), T.StructField("context", longs), T.StructField("lo", ints), T.StructField("hi", ints), T.StructField("more", T.ArrayType(ints))])
-    rows = keep(source.mapInArrow(_scan(length), scanned).select(F.monotonically_increasing_id().alias("rid"), "*"), "suffix-rows")
+    rows = keep(source.mapInArrow(released(_scan(length)), scanned).select(F.monotonically_increasing_id().alias("rid"), "*"), "suffix-rows")
     kept = rows.select("rid", "id", "tk", F.explode(F.arrays_zip("gram", "context", "lo", "hi", "more")).alias("x")).select("rid", "id", "tk", "x.*")
 
     order = lambda lo: F.struct(F.col("id"), F.col("tk"), F.col("rid"), lo.alias("lo"))
@@ -217,7 +217,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     contexts = kept.groupBy("gram", "context").agg(copies.alias("copies"), F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("id", "tk", "rid", "lo", "hi")).alias("first"))
     ordered = contexts.select("gram", "context", "copies", "n_rows", "first.*").repartitionByRange("gram", "context").sortWithinPartitions("gram", "context")
     marked = T.StructType([*ordered.schema.fields, T.StructField("near", T.BooleanType()), T.StructField("edge", T.BooleanType())])
-    array = keep(ordered.mapInArrow(_neighbours, marked).withColumn("part", F.spark_partition_id()), "suffix-array")
+    array = keep(ordered.mapInArrow(released(_neighbours), marked).withColumn("part", F.spark_partition_id()), "suffix-array")
     # a gram that goes on in the next partition stands at the ends of both; two rows of each partition at most
     across = array.where("edge").groupBy("gram").agg(F.count_distinct("part").alias("parts")).where("parts > 1").select("gram", F.lit(True).alias("across"))
     array = array.join(F.broadcast(across), "gram", "left").select("*", (F.col("near") | F.coalesce("across", F.lit(False))).alias("multi"))
@@ -225,7 +225,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ends = array.where("multi").select("gram", "context", "copies", "id", "tk", "rid", "lo", "hi")
     asked = ends.groupBy("id", "tk").agg(F.collect_list(F.struct("gram", "context", "lo", "hi")).alias("asked"))
     texts = source.alias("s").join(asked.alias("a"), (F.col("s.tk") == F.col("a.tk")) & F.col("s.id").eqNullSafe(F.col("a.id"))).select("s.text", "asked")
-    hashed = texts.mapInArrow(_windows(length), "gram long, context long, window array<long>").groupBy("gram", "context").agg(F.first("window").alias("window"))
+    hashed = texts.mapInArrow(released(_windows(length)), "gram long, context long, window array<long>").groupBy("gram", "context").agg(F.first("window").alias("window"))
     wide = keep(ends.join(hashed, ["gram", "context"]).select("gram", "context", "copies", "id", "tk", "rid", "lo", F.posexplode("window").alias("off", "window")), "suffix-windows")
     shared = wide.groupBy("window").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("n_rows"), F.min(order(F.col("lo") + F.col("off"))).alias("first")).where("n > 1")
     shared = keep(shared.select("window", "n_rows", "first"), "suffix-shared")
@@ -243,7 +243,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     per_doc = every.groupBy("rid", "id", "tk").agg(F.collect_list("part").alias("parts"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     out = T.StructType([T.StructField("id", kind), T.StructField("tk", T.LongType()), T.StructField("repeated", span), T.StructField("removed", span)])
-    return per_doc.select("id", "tk", "parts").mapInArrow(_spans(length), out).select(F.col("id").alias("doc_id"), F.col("tk").alias("text_hash"), "repeated", "removed")
+    return per_doc.select("id", "tk", "parts").mapInArrow(released(_spans(length)), out).select(F.col("id").alias("doc_id"), F.col("tk").alias("text_hash"), "repeated", "removed")
 
 
 def span_words(spans: str) -> Column:
@@ -297,7 +297,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
             out = pa.RecordBatch.from_arrays(columns, names)
             yield out if keep_row is None else out.filter(keep_row)
 
-    return joined.select("doc", "removed").mapInArrow(run, docs.schema)
+    return joined.select("doc", "removed").mapInArrow(released(run), docs.schema)
 
 
 ORACLE = r"""
