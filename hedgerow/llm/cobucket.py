@@ -389,8 +389,10 @@ def co_bucket(left: DataFrame, right: DataFrame, key: str, bucket: Callable[[Col
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A new folder of the shared one; a plain path, which only a machine of its own can mean, is refused on a cluster."""
+    """A new folder of the shared one, as a URI; a path without a scheme is one of the default file system."""
     folder = shared_path(spark, "co-bucketed")
-    if "://" not in folder and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
-        raise ValueError("spark.checkpoint.dir must be a URI that all executors reach")
+    if "://" not in folder:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        folder = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+        folder = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file:///") else folder
     return folder

@@ -141,3 +141,10 @@ def test_a_second_attempt_changes_nothing(spark, tmp_path):
     again = cobucket._joined(pieces, folder, "start", 4)
     assert {(r.file, r.n) for r in again} == {(f, n) for f, (_, n) in table.files.items()}
     assert before == {f: pq.read_table(f).to_pylist() for f in glob.glob(f"{tmp_path}/t/*.parquet")} and len(before) == 4
+
+
+def test_a_folder_without_a_scheme(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(cobucket, "shared_path", lambda *_: f"{tmp_path}/plain")
+    assert cobucket.new_folder(spark) == f"file://{tmp_path}/plain"
+    monkeypatch.setattr(cobucket, "shared_path", lambda *_: "hdfs://host/x")
+    assert cobucket.new_folder(spark) == "hdfs://host/x"
