@@ -464,6 +464,35 @@ def number_mentions_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "m.value", "m.start", "m.end")
 
 
+_DE = numbers._german_lexicon()
+_DE_WORD = "|".join(sorted(_DE, key=len, reverse=True))
+_DE_FORM = rf"^(?:(?:({_DE_WORD})?(hundert))?({_DE_WORD})?(tausend))?(?:({_DE_WORD})?(hundert))?({_DE_WORD})?$"
+_DE_TABLE = ", ".join(f"('{w}', {n})" for w, n in _DE.items())
+
+
+@query(
+    rf"""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[0-9]+|[a-zäöüß]+')) as w from documents), x as (select doc_id, w, count(*) as n from t where w <> 'ein' group by all),
+lex(w, v) as (values {_DE_TABLE}),
+m as (select w, regexp_extract(w, '{_DE_FORM}', ['h1', 's1', 'r1', 'k', 'h2', 's2', 'r2']) as g from (select distinct w from x) where regexp_matches(w, '{_DE_FORM}')),
+v as (select m.w, g, a.v as h1, b.v as r1, c.v as h2, d.v as r2 from m left join lex a on a.w = g.h1 left join lex b on b.w = g.r1 left join lex c on c.w = g.h2 left join lex d on d.w = g.r2),
+l as (select *, case when g.s1 <> '' then 100 * coalesce(h1, 1) else 0 end + coalesce(r1, 0) as hi, case when g.s2 <> '' then 100 * coalesce(h2, 1) else 0 end + coalesce(r2, 0) as lo from v where coalesce(h1, 1) <> 0 and coalesce(h2, 1) <> 0),
+y as (select w, case when g.k = '' then lo when (case when g.s1 <> '' or r1 is not null then hi else 1 end) between 1 and 999 and lo < 1000 then 1000 * (case when g.s1 <> '' or r1 is not null then hi else 1 end) + lo end as value from l),
+z as (select w, value::varchar as value from y where value is not null union all select distinct w, case when ltrim(w, '0') = '' then '0' else ltrim(w, '0') end from x where regexp_matches(w, '^[0-9]+$'))
+select doc_id, value, sum(n)::bigint as n from x join z using (w) group by doc_id, value"""
+)
+def german_number_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of digits and German number words of every text, with how often each is there (NUM4)."""
+    return B.read(spark, sf_dir, "documents").select("doc_id", F.explode(numbers.german_numbers("text")).alias("value")).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def french_number_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """French mentions of every text, one row each; a text with a malformed run has one row without a value (NUM5)."""
+    d = B.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", numbers.french_numbers("text").alias("m"))
+    found = F.coalesce("m", F.array(F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))))
+    return d.select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
+
+
 @query()
 def label_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of each turn as the output, with the next turn as its reference; the fact is the reference's first number, or a negation where it has none."""
