@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +34,17 @@ def _bounded(groups: DataFrame, what: str) -> None:
         raise ValueError(f"more than {MAX_GROUPS} groups for {what}")
 
 
+#: Orders that one task scores.
+ORDERS = 500
+
+
 def grouped_split(df: DataFrame, group: str, strata: list[str], fractions: dict[str, float], seed: int = SEED, tries: int = 20_000) -> DataFrame:
     """(group, split): whole groups to splits, exact group counts, best of many seeded orders (SPL1).
 
-    Spark counts rows by group and stratum; only that table, of at most
-    ``MAX_GROUPS`` rows (more are refused), comes to the driver, where sizes and strata of the
-    splits are scored for all candidate orders with array arithmetic.
+    Spark counts rows by group and stratum; that table, of at most ``MAX_GROUPS`` rows
+    (more are refused), is sent to tasks of which each scores a block of the orders: a
+    task draws the orders before its own too, which costs little beside scoring, so all
+    come from one generator and the choice doesn't depend on the number of tasks.
     """
     per = df.groupBy(group, *strata).agg(F.count(F.lit(1)).alias("n"))
     _bounded(per, "an exact split; split by a hash of the group instead")
@@ -49,21 +56,39 @@ def grouped_split(df: DataFrame, group: str, strata: list[str], fractions: dict[
     for r in counts:
         table[at[r[group]], of[tuple(str(r[s]) for s in strata)]] += r["n"]
     sizes = largest_remainder(len(names), fractions)
-    cuts = np.cumsum([0, *[sizes[k] for k in fractions]])
-    share = np.array(list(fractions.values()))
-    total, per_cell = table.sum(), table.sum(0)
+    cuts, share = np.cumsum([0, *[sizes[k] for k in fractions]]), np.array(list(fractions.values()))
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(k, *best_order(shared.value, cuts, share, seed, ORDERS * k, min(ORDERS * (k + 1), max(1, tries)))) for k in batch["id"].tolist()]
+            yield pd.DataFrame(out, columns=["block", "cost", "chosen"])
+
+    blocks = -(-max(1, tries) // ORDERS)
+    best, chosen = np.inf, None
+    for r in df.sparkSession.range(blocks).repartition(blocks).mapInPandas(run, "block long, cost double, chosen array<int>").orderBy("block").collect():  # a row for each block
+        if r["cost"] < best - 1e-15:
+            best, chosen = r["cost"], r["chosen"]
+    rows = [(names[chosen[i]], k) for s, k in enumerate(fractions) for i in range(cuts[s], cuts[s + 1])]
+    return df.sparkSession.createDataFrame(rows, f"{group} {df.schema[group].dataType.simpleString()}, split string")
+
+
+def best_order(table: np.ndarray, cuts: np.ndarray, share: np.ndarray, seed: int, first: int, stop: int) -> tuple[float, list[int]]:
+    """The best of the orders from ``first`` to ``stop`` of one generator, by sizes and strata of the splits; order 0 is the sorted one."""
     rng, best, chosen = np.random.default_rng(seed), np.inf, None
-    for i in range(max(1, tries)):
-        order = np.arange(len(names)) if i == 0 else rng.permutation(len(names))
-        run = np.vstack([np.zeros(len(cells)), np.cumsum(table[order], 0)])
-        got = run[cuts[1:]] - run[cuts[:-1]]
+    total, per_cell = table.sum(), table.sum(0)
+    for i in range(stop):
+        order = np.arange(len(table)) if i == 0 else rng.permutation(len(table))
+        if i < first:
+            continue
+        upto = np.vstack([np.zeros(table.shape[1]), np.cumsum(table[order], 0)])
+        got = upto[cuts[1:]] - upto[cuts[:-1]]
         size_error = ((got.sum(1) / total - share) ** 2).sum()
         stratum_error = ((got / np.maximum(per_cell, 1) - share[:, None]) ** 2).sum()
-        cost = 4 * size_error + 0.1 * stratum_error
+        cost = float(4 * size_error + 0.1 * stratum_error)
         if cost < best - 1e-15:
-            best, chosen = cost, order
-    rows = [(names[chosen[i]], k) for s, k in enumerate(fractions) for i in range(cuts[s], cuts[s + 1])]
-    return df.sparkSession.createDataFrame(rows, f"{group} {df.schema[group].dataType.simpleString()}, split string")
+            best, chosen = cost, order.tolist()
+    return best, chosen
 
 
 def split_report(df: DataFrame, split: str, columns: list[str]) -> DataFrame:

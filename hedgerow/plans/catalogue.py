@@ -376,7 +376,7 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.grouped_split(B.read(spark, sf_dir, "documents"), "source", ["lang"], {"train": 0.6, "cal": 0.2, "test": 0.2})
 
 
-@query()
+@query("with recursive g as (select source, count(*) as n, row_number() over (order by count(*) desc, source) as i from documents group by source), r(i, sums, source, fold) as (select 0::bigint, [0, 0, 0, 0, 0]::bigint[], null::varchar, -1 union all select g.i, list_transform(sums, lambda v, j: case when j = list_position(sums, list_min(sums)) then v + g.n else v end), g.source, (list_position(sums, list_min(sums)) - 1)::int from r join g on g.i = r.i + 1) select source, fold from r where i > 0")
 def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.fold_of_group(B.read(spark, sf_dir, "documents"), "source", 5)
 
@@ -519,7 +519,7 @@ def softmax_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.read(spark, sf_dir, "embeddings").select("vec_id", F.round(signal.softmax_entropy("embedding"), 6).alias("entropy"))
 
 
-@query()
+@query("with x as (select vec_id, unnest(embedding)::double as v, unnest(range(len(embedding))) as j from embeddings), k as (select unnest(range(257)) as k), t as (select vec_id, k, sum(v * cos(2 * pi() * j * k / 512)) as re, sum(v * sin(2 * pi() * j * k / 512)) as im from x cross join k group by vec_id, k), p as (select vec_id, (re * re + im * im) / sum(re * re + im * im) over (partition by vec_id) as p from t) select vec_id, round(-sum(case when p > 0 then p * ln(p) else 0 end) / ln(257), 9) as entropy from p group by vec_id")
 def spectral_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.read(spark, sf_dir, "embeddings").select("vec_id", r9(signal.spectral_entropy("embedding")).alias("entropy"))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from conftest import SF, canonical
 
@@ -92,3 +93,17 @@ def test_a_cluster_needs_the_shared_folder():
     frame = type("D", (), {"sparkSession": Session})
     with pytest.raises(ValueError, match="checkpoint"):
         graph.checkpointed(frame, "x")
+
+
+def test_orders_in_blocks_give_the_same_split(spark, monkeypatch):
+    df = spark.createDataFrame([(f"g{i % 13}", "ab"[i % 7 % 2]) for i in range(400)], "g string, s string")
+    fractions = {"a": 0.5, "b": 0.3, "c": 0.2}
+    found = []
+    for orders in (1000, 90, 7):
+        monkeypatch.setattr(splits, "ORDERS", orders)
+        found.append(sorted(map(tuple, splits.grouped_split(df, "g", ["s"], fractions, tries=200).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 13
+    table = np.arange(1.0, 9).reshape(4, 2)
+    cuts, share = np.array([0, 2, 4]), np.array([0.5, 0.5])
+    best = [splits.best_order(table, cuts, share, 3, lo, lo + 5) for lo in (0, 5, 10)]
+    assert min(b[0] for b in best) == splits.best_order(table, cuts, share, 3, 0, 15)[0]
