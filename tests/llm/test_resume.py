@@ -98,6 +98,6 @@ def test_several_shards_a_task(spark, folder_of_parts, tmp_path):
 
 
 def test_a_local_path_is_refused_on_a_cluster(spark, folder_of_parts, monkeypatch):
-    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "spark://host:7077"))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(ValueError, match="each executor's own"):
         write(spark.read.parquet(folder_of_parts), "/tmp/nowhere")
