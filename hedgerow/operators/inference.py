@@ -78,12 +78,15 @@ def paired_timings(timings: DataFrame, warm_up: int = 2) -> DataFrame:
     """(item, first, second, ratio): two ways timed on the same items in alternating order, without the warm-up (INF11).
 
     ``timings`` has item (from 0), way ('a' or 'b'), place (0 or 1) and seconds; an item
-    whose two ways did not alternate is an error.
+    whose two ways did not alternate is an error. A first way of no time at all gives an
+    infinite ratio, or none (NaN) if the second took none either.
     """
     kept = timings.where(F.col("item") >= warm_up)
     wide = kept.groupBy("item").agg(*[F.max(F.when(F.col("way") == w, F.col("seconds"))).alias(n) for w, n in (("a", "first"), ("b", "second"))], F.max(F.when(F.col("way") == "a", F.col("place"))).alias("_place"))
     require(wide.agg(F.count_if(F.col("_place") != F.col("item") % 2).alias("not_alternating"), F.count_if(F.col("first").isNull() | F.col("second").isNull()).alias("not_paired")), "timings")
-    return wide.select("item", "first", "second", (F.col("second") / F.col("first")).alias("ratio"))
+    first, second = F.col("first"), F.col("second")
+    unmeasured = F.when(F.isnan(second) | (second == 0), float("nan")).when(second > 0, float("inf")).otherwise(float("-inf"))
+    return wide.select("item", "first", "second", F.when(first == 0, unmeasured).otherwise(second / first).alias("ratio"))
 
 
 def checked_outputs(answers: DataFrame, text: str = "translation") -> DataFrame:

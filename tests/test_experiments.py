@@ -186,6 +186,13 @@ def test_exact_input_cache(spark):
         inference.paired_timings(timings)
 
 
+def test_timings_of_no_time(spark):
+    rows = [(2, "a", 0, 0.0), (2, "b", 1, 1.0), (3, "a", 1, 0.0), (3, "b", 0, 0.0), (4, "a", 0, 2.0), (4, "b", 1, 1.0)]
+    timings = spark.createDataFrame(rows, "item int, way string, place int, seconds double")
+    got = {r.item: r.ratio for r in inference.paired_timings(timings).collect()}
+    assert got[2] == float("inf") and got[3] != got[3] and got[4] == 0.5
+
+
 def test_feature_variants(spark):
     df = spark.createDataFrame([(1, "twelve cats", ["12 cats", "no cats", ""], "12 cats"), (2, "", None, "")], "id long, translation string, sample_translations array<string>, cascade_translation string")
     got = {r.id: r for r in features.deployment_features(df, "id").collect()}
