@@ -176,10 +176,10 @@ def score_all(df: DataFrame, fitted: Iterable[Head], keep: list[str]) -> DataFra
 
 def select_by_folds(train: DataFrame, candidates: dict[str, list[str]], group: str, y: str = "y", folds: int = 5, seed: int = SEED, trees: int = 600) -> tuple[str, DataFrame]:
     """The candidate with the lowest error area over folds of groups of the training split; earlier names win ties (MDL10)."""
-    from .splits import fold_of_group
+    from .splits import folds_by_size
 
     known = train.where(F.col(y).isNotNull())
-    dealt = checkpointed(known.join(F.broadcast(fold_of_group(known, group, folds)), group), "folds")
+    dealt = checkpointed(known.join(folds_by_size(known, group, folds), group), "folds")
     scored = None
     for name, features in candidates.items():
         for k in range(folds):

@@ -378,7 +378,7 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with recursive g as (select source, count(*) as n, row_number() over (order by count(*) desc, source) as i from documents group by source), r(i, sums, source, fold) as (select 0::bigint, [0, 0, 0, 0, 0]::bigint[], null::varchar, -1 union all select g.i, list_transform(sums, lambda v, j: case when j = list_position(sums, list_min(sums)) then v + g.n else v end), g.source, (list_position(sums, list_min(sums)) - 1)::int from r join g on g.i = r.i + 1) select source, fold from r where i > 0")
 def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.fold_of_group(B.read(spark, sf_dir, "documents"), "source", 5)
+    return splits.folds_by_size(B.read(spark, sf_dir, "documents"), "source", 5)
 
 
 @query("with b as (select doc_id, text, case when quality is null then 'unlabelled' when lang <> 'en' then 'not_english' when regexp_matches(text, '[0-9][-/:][0-9]') then 'range' end as reason from documents left join labels using (doc_id)), k as (select *, row_number() over (partition by text order by doc_id) as i from b where reason is null), f as (select reason from b where reason is not null union all select case when i > 1 then 'duplicate' end from k) select coalesce(reason, 'kept') as reason, count(*) as n from f group by 1")

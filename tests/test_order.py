@@ -81,6 +81,17 @@ def test_groups_for_the_driver_are_bounded(spark, monkeypatch):
         splits.fold_of_group(df, "g", 2)
 
 
+def test_folds_of_any_number_of_groups(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    for case in range(4):
+        sizes = rng.integers(1, [2, 4, 12, 40][case], 60).tolist() + [90, 17, 17][: case]
+        df = spark.createDataFrame([(f"g{i:03d}",) for i, n in enumerate(sizes) for _ in range(n)], "g string")
+        plain = sorted(map(tuple, splits.fold_of_group(df, "g", 5).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(splits, "MAX_GROUPS", 3)
+            assert sorted(map(tuple, splits.folds_by_size(df, "g", 5).collect())) == plain
+
+
 def test_a_cluster_needs_the_shared_folder():
     class Session:
         class conf:
