@@ -5,27 +5,33 @@ counts of rows by class, so a tree doesn't depend on how it was grown. A trainin
 bounded size is sent to the executors and each grows whole trees; a larger table stays
 where it lies and all trees grow level by level: one pass finds each open node's ranges of
 the features, the next counts the classes left of its cuts; either sends one row for each
-partition, tree and node. Both ways give the same trees.
+partition, tree and node. Once a node has no more rows than that bound, they are dealt by
+tree and node and one task grows what is below it. All ways give the same trees.
 
-What comes to the driver is the forest, of at most ``MAX_NODES`` nodes.
+What comes to the driver is the forest, of at most ``MAX_NODES`` nodes. A tree is an array
+of ``NODE`` (14 bytes a node) in the order root, left, right; as such it is sent, saved and
+walked through, never as Python objects.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import checkpointed
 
 #: Trees that grow together over a large table.
-TREES_AT_A_TIME = 16
-MAX_NODES = 20_000_000
+TREES_AT_A_TIME = 64
+MAX_NODES = 40_000_000
+#: A node: feature (-1: leaf), how far on its right child is (the left one is next), cut or a leaf's value.
+NODE = np.dtype([("feature", "<i2"), ("right", "<i4"), ("number", "<f8")])
 #: Rows that are worked on at a time in a pass.
 ROWS = 8192
 
@@ -66,22 +72,42 @@ class Tree:
     cuts: dict[int, tuple[int, float]] = field(default_factory=dict)
     rows: dict[int, np.ndarray] = field(default_factory=dict)
 
-    def nodes(self, weight: np.ndarray) -> list[tuple]:
-        """(feature, threshold, left, right, value), the root first and left before right; a leaf has feature -1."""
-        order, todo = [], [1]
+    def order(self, root: int = 1) -> list[int]:
+        """Paths from a node on, the node first and left before right."""
+        out, todo = [], [root]
         while todo:
             path = todo.pop()
-            order.append(path)
+            out.append(path)
             if path in self.cuts:
                 todo += [2 * path + 1, 2 * path]
+        return out
+
+    def nodes(self, weight: np.ndarray) -> list[tuple]:
+        """(feature, threshold, left, right, value), the root first and left before right; a leaf has feature -1."""
+        order = self.order()
         at = {path: i for i, path in enumerate(order)}
         return [(*self.cuts[p], at[2 * p], at[2 * p + 1], value(self.rows[p], weight)) if p in self.cuts else (-1, 0.0, -1, -1, value(self.rows[p], weight)) for p in order]
 
-
-def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int, tree: int, leaf: int, share: float) -> list[tuple]:
-    """One tree of a matrix that is at hand; ``y`` holds 0 and 1, ``weight`` one number for each."""
+    def packed(self, weight: np.ndarray, root: int = 1, below: dict[int, np.ndarray] | None = None) -> np.ndarray:
+        """The nodes as an array; ``below`` holds what was grown elsewhere, by the path it stands at."""
+        below, parts, size = below or {}, [], {}
+        for path in reversed(self.order(root)):  # children before their parents
+            if path in below:
+                part = below[path]
+                size[path] = len(part)
+            elif path in self.cuts:
+                part = np.array([(self.cuts[path][0], 1 + size[2 * path], self.cuts[path][1])], NODE)
+                size[path] = 1 + size.pop(2 * path) + size.pop(2 * path + 1)
+            else:
+                part, size[path] = np.array([(-1, 0, value(self.rows[path], weight))], NODE), 1
+            parts.append(part)
+        return np.concatenate(parts[::-1])
+
+
+def grown(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int, tree: int, leaf: int, share: float, root: int = 1) -> Tree:
+    """A tree, or what is below one of its nodes, of a matrix that is at hand; ``y`` holds 0 and 1, ``weight`` one number for each."""
     out, count = Tree(), max(1, int(share * x.shape[1]))
-    todo = [(1, np.arange(len(x)))]
+    todo = [(root, np.arange(len(x)))]
     while todo:
         path, rows = todo.pop()
         out.rows[path] = np.bincount(y[rows], minlength=2)
@@ -95,7 +121,18 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int, tree: int,
         if best is not None:
             out.cuts[path] = int(features[best]), float(cuts[best])
             todo += [(2 * path + 1, rows[~below[:, best]]), (2 * path, rows[below[:, best]])]
-    return out.nodes(weight)
+    return out
+
+
+def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int, tree: int, leaf: int, share: float) -> list[tuple]:
+    """The nodes of one whole tree."""
+    return grown(x, y, weight, seed, tree, leaf, share).nodes(weight)
+
+
+def unpacked(nodes: np.ndarray) -> list[tuple]:
+    """(feature, threshold, left, right, value) of a packed tree; only leaves have a value."""
+    rows = enumerate(nodes.tolist())
+    return [(-1, 0.0, -1, -1, number) if f < 0 else (f, number, i + 1, i + right, None) for i, (f, right, number) in rows]
 
 
 def _places(x: np.ndarray, cuts: dict[int, tuple[int, float]], open_: list[int]) -> list[tuple[int, np.ndarray]]:
@@ -169,12 +206,39 @@ def _left(rows: DataFrame, trees: dict[int, Tree], tries: dict[int, dict[int, tu
     return {(int(t), p): part[["n0", "n1"]].to_numpy() for (t, p), part in got.groupby(["tree", "path"])}
 
 
-def grow_by_levels(rows: DataFrame, weight: np.ndarray, width: int, ids: list[int], seed: int, leaf: int, share: float) -> list[list[tuple]]:
-    """The trees of a table (x array, y 0 or 1), all open nodes of a level in two passes."""
+def _below(rows: DataFrame, weight: np.ndarray, trees: dict[int, Tree], small: dict[int, list[int]], seed: int, leaf: int, share: float) -> dict[int, dict[int, np.ndarray]]:
+    """What grows below some nodes, each in one task that gets the node's rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(({t: trees[t].cuts for t in small}, small))
+    kinds = rows.schema["y"].dataType.simpleString()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, wanted = shared.value
+        for x, y in _blocks(batches):
+            for t, paths in wanted.items():
+                for path, at in _places(x, cuts[t], paths):
+                    x_ = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * x.shape[1], pa.int32()), pa.array(x[at].ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array([str(path)] * len(at)), x_, pa.array(y[at])], ["tree", "path", "x", "y"])
+
+    def run(table: pa.Table) -> pa.Table:
+        t, path = table.column("tree")[0].as_py(), table.column("path")[0].as_py()
+        x = table.column("x").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        tree = grown(x, table.column("y").to_numpy().astype(np.int64), weight, seed, t, leaf, share, int(path))
+        return pa.table({"tree": pa.array([t], pa.int32()), "path": [path], "nodes": pa.array([tree.packed(weight, int(path)).tobytes()], pa.binary())})
+
+    found = rows.mapInArrow(deal, f"tree int, path string, x array<double>, y {kinds}").groupBy("tree", "path").applyInArrow(run, "tree int, path string, nodes binary")
+    out: dict[int, dict[int, np.ndarray]] = {}
+    for r in checkpointed(found, "below").collect():  # a row for each node, a part of the forest
+        out.setdefault(r["tree"], {})[int(r["path"])] = np.frombuffer(r["nodes"], NODE)
+    return out
+
+
+def grow_by_levels(rows: DataFrame, weight: np.ndarray, width: int, ids: list[int], seed: int, leaf: int, share: float, most_rows: int = 0) -> list[np.ndarray]:
+    """The trees of a table (x array, y 0 or 1), all open nodes of a level in two passes; nodes of ``most_rows`` rows at most are one task's each."""
     all_rows = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     root = np.array([all_rows.get(0, 0), all_rows.get(1, 0)])
     trees, count = {t: Tree(rows={1: root}) for t in ids}, max(1, int(share * width))
     open_ = {t: [1] for t in ids} if open_node(root, leaf) else {}
+    small: dict[int, list[int]] = {}
     while open_:
         ranges = _ranges(rows, trees, open_, width)
         tries = {t: {p: draws(seed, t, p, *ranges[t, str(p)], count) for p in paths} for t, paths in open_.items()}
@@ -188,48 +252,85 @@ def grow_by_levels(rows: DataFrame, weight: np.ndarray, width: int, ids: list[in
                 trees[t].cuts[p] = int(features[best]), float(cuts[best])
                 trees[t].rows[2 * p] = left[t, str(p)][best]
                 trees[t].rows[2 * p + 1] = trees[t].rows[p] - left[t, str(p)][best]
-                new.setdefault(t, []).extend(q for q in (2 * p, 2 * p + 1) if open_node(trees[t].rows[q], leaf))
+                for q in (2 * p, 2 * p + 1):
+                    if open_node(trees[t].rows[q], leaf):
+                        (new if trees[t].rows[q].sum() > most_rows else small).setdefault(t, []).append(q)
         open_ = {t: paths for t, paths in new.items() if paths}
-        if sum(len(t.rows) for t in trees.values()) > MAX_NODES:
-            raise ValueError(f"more than {MAX_NODES} nodes; ask for larger leaves")
-    return [trees[t].nodes(weight) for t in ids]
+        _few(sum(len(t.rows) for t in trees.values()))
+    below = _below(rows, weight, trees, small, seed, leaf, share) if small else {}
+    return [trees[t].packed(weight, 1, below.get(t)) for t in ids]
+
+
+def _few(nodes: int) -> None:
+    if nodes > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} nodes; ask for larger leaves")
 
 
-def tree_values(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
-    f, t, left, right, v = (np.array(c) for c in zip(*nodes, strict=True))
-    at = np.zeros(len(x), np.int64)
-    while (inner := f[at] >= 0).any():
-        i = np.flatnonzero(inner)
+def tree_values(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    f, right, v = nodes["feature"], nodes["right"], nodes["number"]
+    at, i = np.zeros(len(x), np.int64), np.arange(len(x))
+    while len(i := i[f[at[i]] >= 0]):
         n = at[i]
-        at[i] = np.where(x[i, f[n]] <= t[n], left[n], right[n])
+        at[i] = n + np.where(x[i, f[n]] <= v[n], 1, right[n])
     return v[at]
 
 
 @dataclass
 class Forest:
-    trees: list[list[tuple]]
+    packed: list[np.ndarray]
+
+    @property
+    def trees(self) -> list[list[tuple]]:
+        return [unpacked(t) for t in self.packed]
+
+    def digest(self) -> str:
+        whole = hashlib.sha256()
+        for t in self.packed:
+            whole.update(len(t).to_bytes(8, "little") + t.tobytes())
+        return whole.hexdigest()
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """Write the trees as a table of (tree, nodes)."""
+        for at in range(0, len(self.packed), TREES_AT_A_TIME):
+            some = [(at + i, bytearray(t.tobytes())) for i, t in enumerate(self.packed[at : at + TREES_AT_A_TIME])]
+            spark.createDataFrame(some, "tree int, nodes binary").write.mode("append" if at else "overwrite").parquet(folder)
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> Forest:
+        return Forest(_collected(spark.read.schema("tree int, nodes binary").parquet(folder)))
 
     def score(self, df: DataFrame, array: str = "features_array") -> Column:
-        shared = df.sparkSession.sparkContext.broadcast(self.trees)  # bounded by MAX_NODES
+        shared = df.sparkSession.sparkContext.broadcast(self.packed)  # bounded by MAX_NODES
 
         @F.pandas_udf("double")
         def mean(rows: pd.Series) -> pd.Series:
             if not len(rows):
                 return pd.Series([], dtype=float)
-            x = np.stack(rows.to_list())
-            return pd.Series(np.mean([tree_values(t, x) for t in shared.value], axis=0))
+            x, total = np.stack(rows.to_list()), np.zeros(len(rows))
+            for t in shared.value:
+                total += tree_values(t, x)
+            return pd.Series(total / len(shared.value))
 
         return mean(F.col(array))
 
 
+def _collected(table: DataFrame) -> list[np.ndarray]:
+    """The trees of a written table, some at a time."""
+    out, nodes, n = [], 0, table.count()
+    for at in range(0, n, TREES_AT_A_TIME):
+        for r in table.where(F.col("tree").between(at, at + TREES_AT_A_TIME - 1)).orderBy("tree").collect():
+            out.append(np.frombuffer(r["nodes"], NODE))
+            nodes += len(out[-1])
+            _few(nodes)
+    return out
+
+
 def fit_forest(train: DataFrame, y: str = "y", trees: int = 600, leaf: int = 20, share: float = 0.7, seed: int = 1, most_rows: int = 200_000) -> Forest:
     """Extremely randomised trees with balanced classes.
 
     Up to ``most_rows`` training rows are sent to executors that grow whole trees; more of
     them are never collected. Rows without a label are left out.
     """
-    import ast
-
     spark = train.sparkSession
     rows = checkpointed(train.where(F.col(y).isNotNull()).select(F.col("features_array").cast("array<double>").alias("x"), F.col(y).cast("int").alias("y")), "forest-rows")
     per = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -239,17 +340,19 @@ def fit_forest(train: DataFrame, y: str = "y", trees: int = 600, leaf: int = 20,
     weight = np.array([n / (len(per) * per[k]) if k in per else 1.0 for k in (0, 1)])
     width = rows.agg(F.max(F.size("x"))).first()[0]
     if n > most_rows:
-        grown = []
+        made: list[np.ndarray] = []
         for at in range(0, trees, TREES_AT_A_TIME):
-            grown += grow_by_levels(rows, weight, width, list(range(at, min(at + TREES_AT_A_TIME, trees))), seed, leaf, share)
-        return Forest(grown)
+            made += grow_by_levels(rows, weight, width, list(range(at, min(at + TREES_AT_A_TIME, trees))), seed, leaf, share, most_rows)
+            _few(sum(map(len, made)))
+        return Forest(made)
     held = rows.toPandas()
     shared = spark.sparkContext.broadcast((np.stack(held["x"].to_list()), held["y"].to_numpy(np.int64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, labels = shared.value
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "tree": [repr(grow(x, labels, weight, seed, int(i), leaf, share)) for i in batch["id"]]})
+            for i in batch["id"]:
+                yield pd.DataFrame({"id": [i], "nodes": [grown(x, labels, weight, seed, int(i), leaf, share).packed(weight).tobytes()]})
 
-    found = spark.range(trees).repartition(min(trees, 64)).mapInPandas(run, "id long, tree string").orderBy("id").collect()
-    return Forest([ast.literal_eval(r["tree"]) for r in found])
+    found = spark.range(trees).repartition(min(trees, 64)).mapInPandas(run, "id long, nodes binary")
+    return Forest(_collected(checkpointed(found.select(F.col("id").cast("int").alias("tree"), "nodes"), "trees")))

@@ -207,12 +207,17 @@ def head_digest(head: Head) -> str:
 
 
 def _document(head: Head) -> dict:
-    model = {"forest": head.model.trees} if isinstance(head.model, heads.Forest) else {"coefficients": head.model.coefficients, "intercept": head.model.intercept} if isinstance(head.model, heads.Logistic) else {"class": type(head.model.model).__name__, "text": getattr(head.model.model, "toDebugString", "")}
+    model = {"forest": head.model.digest()} if isinstance(head.model, heads.Forest) else {"coefficients": head.model.coefficients, "intercept": head.model.intercept} if isinstance(head.model, heads.Logistic) else {"class": type(head.model.model).__name__, "text": getattr(head.model.model, "toDebugString", "")}
     return {"name": head.name, "features": head.features, "preparation": dataclasses.asdict(head.preparation), "model": model, "a": head.a, "b": head.b, "threshold": head.threshold, "seed": head.seed, "protocol": head.protocol, "more": head.more}
 
 
 def save_head(spark: SparkSession, head: Head, folder: str) -> str:
-    """Write a head below a folder of any Hadoop file system; its digest (SNK8). The document is last, so a half-written head has none."""
+    """Write a head below a folder of any Hadoop file system; its digest (SNK8). The document is last, so a half-written head has none.
+
+    A forest is a table of its trees, of which the document holds the digest.
+    """
+    if isinstance(head.model, heads.Forest):
+        head.model.save(spark, f"{folder}/{head.name}/model")
     if isinstance(head.model, heads.Fitted):
         head.model.model.write().overwrite().save(f"{folder}/{head.name}/model")
     spark.createDataFrame([(head_digest(head), json.dumps(_document(head), sort_keys=True))], "digest string, document string").coalesce(1).write.mode("overwrite").json(f"{folder}/{head.name}/head")
@@ -227,7 +232,9 @@ def load_head(spark: SparkSession, folder: str, name: str, digest: str | None =
     d = json.loads(row["document"])
     m = d["model"]
     if "forest" in m:
-        model: object = heads.Forest([[tuple(node) for node in tree] for tree in m["forest"]])
+        model: object = heads.Forest.load(spark, f"{folder}/{name}/model")
+        if model.digest() != m["forest"]:
+            raise contracts.ContractError(f"the trees of {name} differ from its document")
     elif "coefficients" in m:
         model = heads.Logistic(m["coefficients"], m["intercept"])
     else:

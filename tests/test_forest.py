@@ -1,5 +1,7 @@
 """Trees grown level by level over a table equal those grown from a matrix, and a plain recursive version."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +71,35 @@ def test_both_ways_give_the_same_trees(spark, monkeypatch, at_a_time):
     assert got[got.y == 1].s.mean() > got[got.y == 0].s.mean() + 0.25
 
 
+def test_nodes_of_few_rows_are_grown_by_one_task_each(spark):
+    x, y = data(400)
+    df = spark.createDataFrame([(row.tolist(), int(label)) for row, label in zip(x, y, strict=True)], "features_array array<double>, y int").repartition(5)
+    near = forest.fit_forest(df, trees=5, leaf=10, seed=4)
+    for most in (399, 150, 40):
+        assert forest.fit_forest(df, trees=5, leaf=10, seed=4, most_rows=most).trees == near.trees
+
+
+def test_a_forest_is_sent_and_saved_packed(spark, tmp_path):
+    x, y = data(3000)
+    df = spark.createDataFrame([(row.tolist(), int(label)) for row, label in zip(x, y, strict=True)], "features_array array<double>, y int")
+    made = forest.fit_forest(df, trees=3, leaf=2, seed=4)
+    nodes = sum(map(len, made.packed))
+    assert nodes > 500 and len(pickle.dumps(made.packed)) < 16 * nodes + 2000
+    made.save(spark, f"file://{tmp_path}/trees")
+    again = forest.Forest.load(spark, f"file://{tmp_path}/trees")
+    assert again.trees == made.trees and again.digest() == made.digest()
+
+    def plain(nodes, row):
+        at = 0
+        while nodes[at][0] >= 0:
+            at = nodes[at][2] if row[nodes[at][0]] <= nodes[at][1] else nodes[at][3]
+        return nodes[at][4]
+
+    got = [r.s for r in df.select(again.score(df).alias("s")).collect()]
+    trees = again.trees
+    assert got == [float(np.mean([plain(t, row) for t in trees])) for row in x]
+
+
 def test_one_class_and_few_rows(spark):
     one = spark.createDataFrame([([float(i)], 1) for i in range(50)], "features_array array<double>, y int")
     for most in (0, 1000):
