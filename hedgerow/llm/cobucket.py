@@ -388,9 +388,9 @@ def co_bucket(left: DataFrame, right: DataFrame, key: str, bucket: Callable[[Col
     return spark.createDataFrame(rows, "table_name string, path string, columns string, ids_sha256 string, lineage_sha256 string, bucket int, n_rows long, n_joined long, rewritten boolean").withColumn("bucket", F.col("bucket").cast("long"))
 
 
-def new_folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession, name: str = "co-bucketed") -> str:
     """A new folder of the shared one, as a URI; a path without a scheme is one of the default file system."""
-    folder = shared_path(spark, "co-bucketed")
+    folder = shared_path(spark, name)
     if "://" not in folder:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         folder = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()

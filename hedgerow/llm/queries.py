@@ -58,11 +58,9 @@ def op6_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sequences in training order; each record is given by its place and checksum."""
-    tokens = train_order.token_table(table(spark, sf_dir, "documents"), vocabulary(BYTE_RANKS))
-    rows = train_order.ordered_sequences(tokens, key=20240229, pad=50256)
-    offset = (F.col("slot") % train_order.PER_SHARD) * (2 * train_order.STRIDE)
-    return rows.select("slot", "shard", offset.alias("byte_offset"), "doc_id", "seq", "n_tokens", F.crc32("record").alias("record_crc32"))
+    """The shards of the training order, written to a new shared folder; each record is given by its place and checksum there."""
+    folder = cobucket.new_folder(spark, "training-order")
+    return train_order.write_training_order(table(spark, sf_dir, "documents"), vocabulary(BYTE_RANKS), folder, key=20240229, pad=50256, listed=True)
 
 
 def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,11 +193,12 @@ def fingerprint(tokens: DataFrame) -> str:
     return f"{row['n']}:{row['h']}"
 
 
-def write_training_order(docs: DataFrame, ranks_path: str, folder: str, key: int, id_col: str = "doc_id", text_col: str = "text", stride: int = STRIDE, per_shard: int = PER_SHARD, pad: int = 0, pattern: str = PATTERN) -> DataFrame:
+def write_training_order(docs: DataFrame, ranks_path: str, folder: str, key: int, id_col: str = "doc_id", text_col: str = "text", stride: int = STRIDE, per_shard: int = PER_SHARD, pad: int = 0, pattern: str = PATTERN, listed: bool = False) -> DataFrame:
     """Write all shards of a table into a folder that all executors reach, or go on where a broken run stopped.
 
     Returns shard, first_slot, n_sequences, crc, written (False for a shard that was
-    there already, whole and the same).
+    there already, whole and the same); with ``listed`` the records of the shards as they
+    stand in the files: slot, shard, byte_offset, doc_id, seq, n_tokens, record_crc32.
     """
     from pyarrow import fs
 
@@ -226,15 +227,32 @@ def write_training_order(docs: DataFrame, ranks_path: str, folder: str, key: int
         if x.base_name.startswith(".shard-"):  # of a run that broke
             files.delete_file(x.path)
     rows = ordered_sequences(tokens, key, stride, per_shard, pad, (index, n))
-    return keep(write_shards(rows, folder), "shards")
+    return keep(write_shards(rows, folder, listed), "shards")
 
 
-def write_shards(sequences: DataFrame, folder: str) -> DataFrame:
-    """Write the shards as the returned rows are read: shard, first_slot, n_sequences, crc, written."""
+def write_shards(sequences: DataFrame, folder: str, listed: bool = False) -> DataFrame:
+    """Write the shards as the returned rows are read: shard, first_slot, n_sequences, crc, written, or with ``listed`` their records.
+
+    A record's place and checksum are those of the bytes that are read back from its shard.
+    """
+    kind = sequences.schema["doc_id"].dataType
+    longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    records_of = T.StructType([*longs("slot", "shard", "byte_offset"), T.StructField("doc_id", kind), *longs("seq", "n_tokens", "record_crc32")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _files(folder)
-        shard, first, records = None, 0, []
+        shard, first, records, thin = None, 0, [], []
+
+        def listing() -> pa.RecordBatch:
+            at, offsets, crcs = 0, [], []
+            with files.open_input_stream(_name(path, shard)) as f:
+                for record in records:
+                    offsets.append(at)
+                    crcs.append(zlib.crc32(f.read(len(record))))
+                    at += len(record)
+            table = pa.Table.from_batches(thin)
+            columns = [*table.select(["slot", "shard"]).columns, pa.array(offsets), *table.select(["doc_id", "seq", "n_tokens"]).columns, pa.array(crcs)]
+            return pa.table(columns, names=records_of.names).combine_chunks().to_batches()[0]
 
         def close() -> pa.RecordBatch:
             # a shard is per_shard records of fixed length
@@ -245,18 +263,29 @@ def write_shards(sequences: DataFrame, folder: str) -> DataFrame:
                 with files.open_output_stream(name) as f:
                     f.write(whole)
                 files.move(name, _name(path, shard))
+            if listed:
+                return listing()
             return pa.RecordBatch.from_pylist([{"shard": shard, "first_slot": first, "n_sequences": len(records), "crc": crc, "written": new}])
 
         for batch in batches:
-            for k, slot, record in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "record")), strict=True):
-                if k != shard:
+            of = batch.column("shard").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if hi == lo:
+                    continue
+                if of[lo] != shard:
                     if shard is not None:
                         yield close()
-                    shard, first, records = k, slot, []
-                records.append(record)
+                    shard, first, records, thin = int(of[lo]), batch.column("slot")[lo].as_py(), [], []
+                part = batch.slice(lo, hi - lo)
+                records += part.column("record").to_pylist()
+                if listed:
+                    thin.append(part.select(["slot", "shard", "doc_id", "seq", "n_tokens"]))
         if shard is not None:
             yield close()
 
+    if listed:
+        return sequences.select("shard", "slot", "record", "doc_id", "seq", "n_tokens").mapInArrow(run, records_of)
     return sequences.select("shard", "slot", "record").mapInArrow(run, "shard long, first_slot long, n_sequences long, crc long, written boolean")
 
 

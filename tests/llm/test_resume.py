@@ -1,6 +1,7 @@
 """Training order: the same slots from any split, refusals, and runs that broke."""
 
 import random
+import zlib
 
 import pytest
 
@@ -101,3 +102,21 @@ def test_a_local_path_is_refused_on_a_cluster(spark, folder_of_parts, monkeypatc
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(ValueError, match="each executor's own"):
         write(spark.read.parquet(folder_of_parts), "/tmp/nowhere")
+
+
+def test_the_query_writes_its_shards(spark, monkeypatch):
+    made = []
+
+    def folder(*args):
+        made.append(new_folder(*args))
+        return made[-1]
+
+    new_folder = queries.cobucket.new_folder
+    monkeypatch.setattr(queries.cobucket, "new_folder", folder)
+    rows = sorted(queries.op7_training_order(spark, "/root/testdata/sf0.001").collect(), key=lambda r: r.slot)
+    records = list(train_order.read_slots(made[0], 0, len(rows) + 1))
+    assert [r.slot for r in rows] == list(range(len(records))) and len(rows) > 200
+    for r, record in zip(rows, records, strict=True):
+        assert r.record_crc32 == zlib.crc32(record.tobytes()) and (r.shard, r.byte_offset) == (r.slot // train_order.PER_SHARD, r.slot % train_order.PER_SHARD * 1024)
+    plain = train_order.ordered_sequences(train_order.token_table(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), queries.vocabulary(queries.BYTE_RANKS)), key=20240229, pad=50256)
+    assert sorted((r.slot, r.doc_id, r.seq, r.n_tokens) for r in plain.collect()) == [(r.slot, r.doc_id, r.seq, r.n_tokens) for r in rows]
