@@ -1,6 +1,6 @@
 """Incremental runs with keyed state (STR1-STR4, INF5): what was done is in a state store, not in the sink.
 
-``follow`` keeps the fingerprint of every id in a map state, dealt by a hash of the id.
+``follow`` keeps the fingerprint of every id, and its row, in the state of a streaming aggregate.
 A micro-batch looks up its own ids and nothing else, however much was done before: an
 id seen for the first time is passed on, the same id with the same fingerprint is dropped,
 with another fingerprint the query fails before anything of the batch is written. Results
@@ -29,42 +29,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from hedgerow.operators.contracts import ContractError
 
-#: Keys of the state: each holds the ids of one hash bucket.
-BUCKETS = 1024
 #: transformWithState needs a store of this kind.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-class Seen(StatefulProcessor):
-    """Rows (bucket, id, fingerprint, payload) that are new or stale, with which of them they are."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.prints = handle.getMapState("fingerprints", "id string", "fingerprint string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for pdf in rows:
-            pdf = pdf.sort_values("fingerprint", kind="stable", na_position="first")
-            state = []
-            for id_, print_ in zip(pdf["key_id"], pdf["fingerprint"], strict=True):
-                if id_ is None:
-                    state.append("stale")
-                    continue
-                print_ = "null" if print_ is None else "=" + print_  # a value of its own
-                if not self.prints.containsKey((id_,)):
-                    self.prints.updateValue((id_,), (print_,))
-                    state.append("new")
-                else:
-                    state.append("repeated" if self.prints.getValue((id_,))[0] == print_ else "stale")
-            pdf["state"] = state
-            out = pdf[pdf["state"] != "repeated"]
-            if len(out):
-                yield out[["state", "key_id", "payload"]]
-
-    def close(self) -> None:
-        pass
-
-
 class Shards(StatefulProcessor):
     """Whether the shards of a job were all reported within a time of its first report."""
 
@@ -73,31 +42,30 @@ class Shards(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.done = handle.getMapState("done", "shard int", "at long")
-        self.job = handle.getValueState("job", "shards int, closed boolean")
+        self.job = handle.getValueState("job", "shards int, closed boolean, done string")
 
     def _row(self, key, status: str, found: int, shards: int) -> pd.DataFrame:
         return pd.DataFrame({"job": [key[0]], "status": [status], "reported": [found], "shards": [shards]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for pdf in rows:
-            if not self.job.exists():
-                first = int(pd.to_datetime(pdf["at"]).min().value // 1_000_000)
-                self.job.update((int(pdf["shards"].max()), False))
-                self.handle.registerTimer(first + self.limit_ms)
-            for shard in pdf["shard"]:
-                self.done.updateValue((int(shard),), (0,))
-        shards, closed = self.job.get()
-        found = sum(1 for _ in self.done.keys())
-        if not closed and found >= shards:
-            self.job.update((shards, True))
-            yield self._row(key, "complete", found, shards)
+        # a state is one call away: it is asked once and written once, whatever the number of reports
+        reports = pd.concat(list(rows))
+        state = self.job.get()
+        if state is None:
+            state = (int(reports["shards"].max()), False, "")
+            self.handle.registerTimer(int(pd.to_datetime(reports["at"]).min().value // 1_000_000) + self.limit_ms)
+        shards, closed, done = state
+        done = {*done.split(",")} - {""} | {str(int(s)) for s in reports["shard"]}
+        complete = not closed and len(done) >= shards
+        self.job.update((shards, closed or complete, ",".join(sorted(done))))
+        if complete:
+            yield self._row(key, "complete", len(done), shards)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        shards, closed = self.job.get()
+        shards, closed, done = self.job.get()
         if not closed:
-            self.job.update((shards, True))
-            yield self._row(key, "timed_out", sum(1 for _ in self.done.keys()), shards)
+            self.job.update((shards, True, done))
+            yield self._row(key, "timed_out", len({*done.split(",")} - {""}), shards)
 
     def close(self) -> None:
         pass
@@ -114,14 +82,16 @@ def _started(spark: SparkSession, start: Callable[[], StreamingQuery]) -> Stream
 
 
 def new_rows(source: DataFrame, id_: str = "id", fingerprint: str = "fingerprint") -> DataFrame:
-    """A stream of (state, key_id, payload): the rows of new and of stale ids; the payload is the row as JSON."""
-    packed = source.select(
-        F.pmod(F.xxhash64(id_), F.lit(BUCKETS)).cast("int").alias("bucket"),
-        F.col(id_).cast("string").alias("key_id"),
-        F.col(fingerprint).cast("string").alias("fingerprint"),
-        F.to_json(F.struct("*")).alias("payload"),
-    )
-    return packed.groupBy("bucket").transformWithStateInPandas(Seen(), "state string, key_id string, payload string", "Append", "None")
+    """A stream, in update mode, of (state, key_id, payload) of the ids of a batch: new, stale or repeated; the payload is the row as JSON.
+
+    All rows of a batch have the batch's time, which its log keeps for a run that is done
+    again; an id is new if the first and the last time it was seen are the same.
+    """
+    print_ = F.coalesce(F.concat(F.lit("="), F.col(fingerprint).cast("string")), F.lit("null"))  # a null is a value of its own
+    packed = source.select(F.col(id_).cast("string").alias("key_id"), print_.alias("print"), F.to_json(F.struct("*")).alias("payload"), F.current_timestamp().alias("at"))
+    seen = packed.groupBy("key_id").agg(F.min("print").alias("lo"), F.max("print").alias("hi"), F.min("payload").alias("payload"), F.min("at").alias("first"), F.max("at").alias("last"))
+    state = F.when(F.col("key_id").isNull() | (F.col("lo") != F.col("hi")), "stale").when(F.col("first") == F.col("last"), "new").otherwise("repeated")
+    return seen.select(state.alias("state"), "key_id", "payload")
 
 
 def follow(source: DataFrame, scorer: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, id_: str = "id", fingerprint: str = "fingerprint", once: bool = True) -> StreamingQuery:
@@ -144,7 +114,7 @@ def follow(source: DataFrame, scorer: Callable[[DataFrame], DataFrame], sink: st
             rows.unpersist()
 
     def start() -> StreamingQuery:
-        writer = new_rows(source, id_, fingerprint).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        writer = new_rows(source, id_, fingerprint).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer).start()
 
     return _started(source.sparkSession, start)

@@ -3,6 +3,7 @@
 import datetime as dt
 import shutil
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,38 @@ def test_timer_of_jobs(spark, tmp_path):
     assert run(first) == [("whole", "complete", 2)]
     run(later)
     assert run([("end", 0, 9, at(900))]) == [("half", "timed_out", 1), ("late", "complete", 2), ("other", "timed_out", 1), ("whole", "complete", 2)]
+
+
+def test_a_job_asks_its_state_once_for_a_batch(monkeypatch):
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, x):
+            calls.append("update")
+            self.held = x
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    p = stateful.Shards(1000)
+    p.init(Handle())
+    pdf = pd.DataFrame({"shard": list(range(50)), "shards": [50] * 50, "at": [dt.datetime(2024, 1, 1)] * 50})
+    (row,) = p.handleInputRows(("j",), iter([pdf[:20], pdf[20:]]), None)
+    assert row.values.tolist() == [["j", "complete", 50, 50]] and sorted(calls) == ["get", "timer", "update"]
+    assert not list(p.handleInputRows(("j",), iter([pdf]), None)) and not list(p.handleExpiredTimer(("j",), None, None))
+
+
+def test_ids_are_kept_without_a_python_worker(spark, tmp_path):
+    put(spark, tmp_path / "in", [(1, "a", 1.0)])
+    source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    assert "Python" not in stateful.new_rows(source)._jdf.queryExecution().analyzed().toString()
