@@ -6,6 +6,7 @@ import json
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,26 +160,24 @@ def word_total(text: str | Column) -> Column:
     return F.size(F.filter(F.split(_col(text), r"(?U)\s+"), lambda w: w != ""))
 
 
-def _ngrams(characters: Column, n: int) -> Column:
-    size = F.size(characters) - n + 1
-    return F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.array_join(F.slice(characters, i, n), ""))).otherwise(F.array().cast("array<string>"))
+def gram_counts(reference: str, hypothesis: str, orders: int) -> list[int]:
+    """For each order the numbers of n-grams of the hypothesis, of the reference, and of their multiset intersection.
 
-
-def _overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays: equal grams side by side in a sorted union."""
-    x = F.aggregate(
-        F.array_sort(F.concat(F.transform(a, lambda g: F.struct(g.alias("g"), F.lit(0).alias("s"))), F.transform(b, lambda g: F.struct(g.alias("g"), F.lit(1).alias("s"))))),
-        F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("left"), F.lit(0).alias("hits")),
-        lambda t, e: F.when(
-            F.coalesce(t["g"] == e["g"], F.lit(False)),
-            F.struct(
-                e["g"].alias("g"),
-                F.when(e["s"] == 0, t["left"] + 1).otherwise(F.greatest(t["left"] - 1, F.lit(0))).alias("left"),
-                (t["hits"] + F.when((e["s"] == 1) & (t["left"] > 0), 1).otherwise(0)).alias("hits"),
-            ),
-        ).otherwise(F.struct(e["g"].alias("g"), F.when(e["s"] == 0, 1).otherwise(0).alias("left"), t["hits"].alias("hits"))),
-    )
-    return x["hits"]
+    A gram is numbered by the pair of its first n - 1 characters' number and its last character.
+    """
+    r, h = (np.frombuffer(t.encode("utf-32-le"), "<u4") for t in (reference, hypothesis))
+    known, characters = np.unique(np.concatenate([r, h]), return_inverse=True)
+    grams, out = (characters[: len(r)], characters[len(r) :]), []
+    last = grams
+    for n in range(1, orders + 1):
+        if n > 1:
+            keys = [g[:-1] * len(known) + c[n - 1 :] if len(c) >= n else g[:0] for g, c in zip(grams, last, strict=True)]
+            _, number = np.unique(np.concatenate(keys), return_inverse=True)
+            grams = (number[: len(keys[0])], number[len(keys[0]) :])
+        size = max((int(g.max()) + 1 for g in grams if len(g)), default=0)
+        both = [np.bincount(g, minlength=size) for g in grams]
+        out += [len(grams[1]), len(grams[0]), int(np.minimum(*both).sum())]
+    return out
 
 
 def chrf_counts(df: DataFrame, reference: str, hypothesis: str, orders: int = 6, spaces: bool = True, lower: bool = True) -> DataFrame:
@@ -188,13 +187,13 @@ def chrf_counts(df: DataFrame, reference: str, hypothesis: str, orders: int = 6,
         t = F.regexp_replace(t, r"(?U)\s+", " " if spaces else "")
         return F.regexp_replace(t, r"^ | $", "")
 
-    characters = lambda c: F.regexp_extract_all(plain(c), F.lit("(?s)."), F.lit(0))
-
-    def part(s: Column, n: int) -> Column:
-        return let(F.struct(_ngrams(s["r"], n).alias("r"), _ngrams(s["h"], n).alias("h")), lambda g: F.struct(F.lit(n).alias("order"), F.size(g["h"]).alias("hyp"), F.size(g["r"]).alias("ref"), _overlap(g["h"], g["r"]).alias("match")))
+    @F.pandas_udf("array<int>")
+    def counted(r: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([gram_counts(a or "", b or "", orders) for a, b in zip(r, h, strict=True)], dtype=object)
 
-    both = F.struct(characters(reference).alias("r"), characters(hypothesis).alias("h"))
-    return df.select("*", let(both, lambda s: F.array(*[part(s, n) for n in range(1, orders + 1)])).alias("chrf"))
+    rows = df.select("*", counted(plain(reference), plain(hypothesis)).alias("_grams"))
+    part = lambda n: F.struct(F.lit(n).alias("order"), *[F.get("_grams", F.lit(3 * n - 3 + i)).alias(c) for i, c in enumerate(("hyp", "ref", "match"))])
+    return rows.select(*df.columns, F.array(*[part(n) for n in range(1, orders + 1)]).alias("chrf"))
 
 
 def chrf_f(counts: Column, beta: float = 2.0) -> Column:

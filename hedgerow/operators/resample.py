@@ -9,11 +9,16 @@ the sums instead. All methods share the draws.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hedgerow.functions.hashing import SEED, stable_u64
+from hedgerow.functions.hashing import SEED
 
 from . import replicates as R
 from .metrics import _harmonic
@@ -54,9 +59,31 @@ def hash_draws(clusters: DataFrame, replicates: int, seed: int = SEED, within: l
     else:
         numbered_ = numbered(rows, ["cluster"], "place")
         placed = numbered_.crossJoin(F.broadcast(numbered_.agg(F.count(F.lit(1)).alias("n"))))
-    slots = placed.select(*within, F.col("place").alias("draw"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    picked = slots.select(*within, "replicate", (stable_u64(F.concat_ws(":", "replicate", "draw"), seed) % F.col("n").cast("decimal(20,0)")).cast("long").alias("place"))
-    return picked.groupBy(*within, "replicate", "place").agg(F.count(F.lit(1)).cast("int").alias("weight")).join(placed.drop("n"), [*within, "place"]).select(*within, "replicate", "cluster", "weight")
+    sizes = placed.groupBy(*within).agg(F.count(F.lit(1)).alias("n"))
+    spark = clusters.sparkSession
+    # a row for each slice and replicate, over as many tasks as shuffle partitions
+    asked = spark.range(0, replicates, 1, max(1, min(replicates, int(spark.conf.get("spark.sql.shuffle.partitions"))))).select(F.col("id").cast("int").alias("replicate")).crossJoin(F.broadcast(sizes))
+    kinds = T.StructType([*[rows.schema[c] for c in within], T.StructField("replicate", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("weight", T.IntegerType())])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (b, n) in enumerate(zip(batch.column("replicate").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                times = drawn(b, n, seed)
+                some = np.flatnonzero(times)
+                own = [pa.repeat(batch.column(c)[i], len(some)) for c in within]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(some), b, np.int32)), pa.array(some), pa.array(times[some].astype(np.int32))], kinds.names)
+
+    picked = asked.select(*within, "replicate", "n").mapInArrow(draw, kinds)
+    return picked.join(placed.drop("n"), [*within, "place"]).select(*within, "replicate", "cluster", "weight")
+
+
+def drawn(replicate: int, n: int, seed: int) -> np.ndarray:
+    """How often each of n places is drawn in a replicate: the hashes of ``stable_u64``, modulo n."""
+    out = np.zeros(n, np.int64)
+    for at in range(0, n, 1 << 16):
+        hashes = b"".join(hashlib.sha256(b"%d:%d:%d" % (seed, replicate, d)).digest()[:8] for d in range(at, min(at + (1 << 16), n)))
+        np.add.at(out, (np.frombuffer(hashes, ">u8") % np.uint64(n)).astype(np.int64), 1)
+    return out
 
 
 def _weights(draws: DataFrame, clusters: list[str]) -> tuple[DataFrame, list, R.Weights] | None:

@@ -117,3 +117,28 @@ def test_rows_are_not_multiplied_by_replicates(spark):
     assert "Generate" not in plan and "explode" not in plan
     got = out.groupBy("method").agg(F.count_distinct(F.round("aurc", 12)).alias("n"), F.count(F.lit(1)).alias("all")).collect()
     assert all((r.n, r["all"]) == (1, 500) for r in got)
+
+
+def test_draws_are_the_hashes(spark):
+    from hedgerow.functions.hashing import stable_u64
+
+    clusters = spark.createDataFrame([(f"c{i:02d}",) for i in range(37)], "cluster string")
+    draws = resample.hash_draws(clusters, 20)
+    slots = spark.range(37).withColumnRenamed("id", "draw").crossJoin(spark.range(20).withColumnRenamed("id", "b"))
+    place = (stable_u64(F.concat_ws(":", "b", "draw"), resample.SEED) % F.lit(37).cast("decimal(20,0)")).cast("int")
+    plain = slots.groupBy("b", place.alias("place")).count()
+    assert sorted((r.b, f"c{r.place:02d}", r["count"]) for r in plain.collect()) == sorted((r.replicate, r.cluster, r.weight) for r in draws.collect())
+    assert resample.hash_draws(clusters.limit(0), 3).count() == 0
+
+
+def test_gram_counts(spark):
+    from collections import Counter
+
+    from hedgerow.functions.text import gram_counts
+
+    for r, h in [("abcabca", "bcabx"), ("", "ab"), ("", ""), ("a\U0001F600b", "\U0001F600b"), ("aaaa", "aa"), ("x", "x")]:
+        want = []
+        for n in range(1, 7):
+            a, b = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (r, h))
+            want += [sum(b.values()), sum(a.values()), sum((a & b).values())]
+        assert gram_counts(r, h, 6) == want
