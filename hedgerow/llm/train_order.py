@@ -2,10 +2,14 @@
 
 Documents are encoded once and cut into sequences of at most ``stride`` tokens. A
 sequence's index is its place in the order of document id, text hash and position:
-ids and counts alone are range-partitioned and summed up, so the index follows from
-the rows, whatever files, splits or cores there are. A keyed Feistel permutation
+texts are range-partitioned in that order before they are encoded and each range counts
+its sequences, so the index follows from the rows, whatever files, splits or cores there
+are. A keyed Feistel permutation
 with cycle-walking maps the indexes 0..n-1 one to one onto slots 0..n-1, without any
-sort or table of n entries. Consecutive shards are dealt to range partitions, at least
+sort or table of n entries. Shards are written in ``PASSES`` passes over the encoded texts, each
+of which moves the sequences of its own shards alone; what it shuffled is given back when it
+ends, so that disks never hold the whole of it beside the shards. In a pass consecutive
+shards are dealt to range partitions, at least
 ``SHARDS_A_TASK`` to each where there are more shards than shuffle partitions, and
 sorted there: shard k holds the slots from k * per_shard on, and slot s lies at byte
 (s - k * per_shard) * stride * 2, so a reader can stop at any slot and go on from it. A
@@ -36,6 +40,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +48,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, keep, mix, small_batches, utf8
+from .common import chunks, freed_shuffles, keep, mix, small_batches, utf8
 from .token_count import PATTERN
 
 STRIDE = 512
 PER_SHARD = 8192
 #: Shards that a task writes one after another, if there are many.
 SHARDS_A_TASK = 64
+#: Passes that shards are written in.
+PASSES = 4
 ROUNDS = 6
 
 
@@ -84,8 +91,10 @@ def encoding(ranks: bytes, pattern: str):
 
 
 def token_table(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", stride: int = STRIDE, pattern: str = PATTERN) -> DataFrame:
-    """Written rows (row, doc_id, text_hash, n_seq, ids): ids as 16-bit binary; texts without tokens have no row.
+    """Written rows (doc_id, text_hash, n_seq, ids, part, first): ids as 16-bit binary; texts without tokens have no row.
 
+    The rows of all parts, one after another, are in the order of id and text hash;
+    ``first`` is the number of sequences that lie before a row in its part.
     ``ranks_path`` names a vocabulary of tokens and their ranks; strings of special
     tokens in a text are ordinary text.
     """
@@ -96,6 +105,7 @@ def token_table(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_c
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
         for batch in batches:
             _, off = utf8(batch.column(2))
             for at, to in chunks(off):
@@ -104,35 +114,29 @@ def token_table(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_c
                 if any(len(x) and x.max() > 65535 for x in ids):
                     raise ValueError("records hold 16-bit ids")
                 n = np.array([-(-len(x) // stride) for x in ids], np.int64)
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(n), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], ["doc_id", "text_hash", "n_seq", "ids"])
+                first = before + np.cumsum(n) - n
+                before += int(n.sum())
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(n), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()), pa.array(first)], ["doc_id", "text_hash", "n_seq", "ids", "first"])
                 yield out.filter(pa.array(n > 0))
 
-    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n_seq", T.LongType()), T.StructField("ids", T.BinaryType())])
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return keep(rows.mapInArrow(run, out).select(F.monotonically_increasing_id().alias("row"), "*"), "tokens", "zstd")
-
-
-def sequence_index(tokens: DataFrame) -> tuple[DataFrame, int]:
-    """(row, first) of each document, where first is the index of its first sequence, and the number of sequences."""
+    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n_seq", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("first", T.LongType())])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     order = ["doc_id", "text_hash", "row"]  # rows that agree but for ``row`` are copies, whose records are the same
-    thin = tokens.select(*order, "n_seq").repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text_hash", "text")
+    with freed_shuffles(docs.sparkSession):
+        return keep(ranged.mapInArrow(run, out).select("doc_id", "text_hash", "n_seq", "ids", F.spark_partition_id().alias("part"), "first"), "tokens", "zstd")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = 0
-        for batch in batches:
-            n = batch.column("n_seq").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(first + np.cumsum(n) - n), batch.column("n_seq")], ["row", "first", "n_seq"])
-            first += int(n.sum())
 
-    summed = keep(thin.mapInArrow(run, "row long, first long, n_seq long").select("*", F.spark_partition_id().alias("part")), "sequence-order")
-    # one row for each range
-    sizes = {r["part"]: r["n"] for r in summed.groupBy("part").agg(F.sum("n_seq").alias("n")).collect()}
+def sequence_index(tokens: DataFrame) -> tuple[DataFrame, int]:
+    """(part, base), where base is the index of a part's first sequence, and the number of sequences."""
+    # one row for each part
+    sizes = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n_seq").alias("n")).collect()}
     base, n = [], 0
     for part in sorted(sizes):
         base.append((part, n))
         n += sizes[part]
-    table = tokens.sparkSession.createDataFrame(base, "part int, base long")
-    return summed.join(F.broadcast(table), "part").select("row", (F.col("base") + F.col("first")).alias("first")), n
+    return tokens.sparkSession.createDataFrame(base, "part int, base long"), n
 
 
 def range_partitions(shards: int, shuffle_partitions: int) -> int:
@@ -140,10 +144,14 @@ def range_partitions(shards: int, shuffle_partitions: int) -> int:
     return min(shards, max(shuffle_partitions, -(-shards // SHARDS_A_TASK)))
 
 
-def ordered_sequences(tokens: DataFrame, key: int, stride: int = STRIDE, per_shard: int = PER_SHARD, pad: int = 0, placed: tuple[DataFrame, int] | None = None) -> DataFrame:
-    """One row per sequence, range-partitioned by shard and sorted by slot: slot, shard, doc_id, seq, n_tokens, record."""
+def ordered_sequences(tokens: DataFrame, key: int, stride: int = STRIDE, per_shard: int = PER_SHARD, pad: int = 0, placed: tuple[DataFrame, int] | None = None, only: tuple[int, int] | None = None) -> DataFrame:
+    """One row per sequence, range-partitioned by shard and sorted by slot: slot, shard, doc_id, seq, n_tokens, record.
+
+    ``only`` names the first shard and the end of those that are asked for.
+    """
     index, n = placed or sequence_index(tokens)
     kind = tokens.schema["doc_id"].dataType
+    low, high = only or (0, max(1, -(-n // per_shard)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,14 +160,17 @@ def ordered_sequences(tokens: DataFrame, key: int, stride: int = STRIDE, per_sha
             row = np.repeat(np.arange(len(counts)), counts)
             seq = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
             slot = permute(np.repeat(batch.column("first").to_numpy(), counts) + seq, n, key)
-            payload = [x[i * 2 * stride : (i + 1) * 2 * stride] for x, c in zip(ids.to_pylist(), counts.tolist(), strict=True) for i in range(c)]
+            own = np.flatnonzero((slot >= low * per_shard) & (slot < high * per_shard))
+            slot, row, seq = slot[own], row[own], seq[own]
+            payload = [ids[r].as_buffer()[i * 2 * stride : (i + 1) * 2 * stride].to_pybytes() for r, i in zip(row.tolist(), seq.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), batch.column("doc_id").take(pa.array(row)), pa.array(seq), pa.array(np.array([len(x) // 2 for x in payload], np.int64)), pa.array(payload, pa.binary())], ["slot", "shard", "doc_id", "seq", "n_tokens", "ids"])
 
     out = T.StructType([T.StructField("slot", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("doc_id", kind), T.StructField("seq", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    shards = max(1, -(-n // per_shard))
+    shards = high - low
     tasks = range_partitions(shards, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     padding = int(pad).to_bytes(2, "little") * stride
-    dealt = tokens.select("row", "doc_id", "n_seq", "ids").join(index, "row").mapInArrow(run, out).repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("slot")
+    indexed = tokens.join(F.broadcast(index), "part").select("doc_id", "n_seq", "ids", (F.col("base") + F.col("first")).alias("first"))
+    dealt = indexed.mapInArrow(run, out).repartitionById(tasks, F.floor((F.col("shard") - low) * tasks / shards).cast("int")).sortWithinPartitions("slot")
     record = F.substring(F.concat(F.col("ids"), F.lit(bytearray(padding))), 1, 2 * stride)
     return dealt.select("slot", "shard", "doc_id", "seq", "n_tokens", record.alias("record"))
 
@@ -226,8 +237,11 @@ def write_training_order(docs: DataFrame, ranks_path: str, folder: str, key: int
     for x in files.get_file_info(fs.FileSelector(path)):
         if x.base_name.startswith(".shard-"):  # of a run that broke
             files.delete_file(x.path)
-    rows = ordered_sequences(tokens, key, stride, per_shard, pad, (index, n))
-    return keep(write_shards(rows, folder, listed), "shards")
+    shards = max(1, -(-n // per_shard))
+    edges = [shards * i // min(PASSES, shards) for i in range(min(PASSES, shards) + 1)]
+    with freed_shuffles(docs.sparkSession):
+        done = [keep(write_shards(ordered_sequences(tokens, key, stride, per_shard, pad, (index, n), only), folder, listed), "shards") for only in zip(edges, edges[1:], strict=False)]
+    return reduce(DataFrame.unionAll, done)
 
 
 def write_shards(sequences: DataFrame, folder: str, listed: bool = False) -> DataFrame:

@@ -120,3 +120,23 @@ def test_the_query_writes_its_shards(spark, monkeypatch):
         assert r.record_crc32 == zlib.crc32(record.tobytes()) and (r.shard, r.byte_offset) == (r.slot // train_order.PER_SHARD, r.slot % train_order.PER_SHARD * 1024)
     plain = train_order.ordered_sequences(train_order.token_table(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), queries.vocabulary(queries.BYTE_RANKS)), key=20240229, pad=50256)
     assert sorted((r.slot, r.doc_id, r.seq, r.n_tokens) for r in plain.collect()) == [(r.slot, r.doc_id, r.seq, r.n_tokens) for r in rows]
+
+
+def test_passes_shuffle_only_their_own_shards(spark, folder_of_parts, tmp_path, monkeypatch):
+    """The disk holds the shuffle of a pass, not of the table: each pass asks for its own shards, and gives its shuffle back."""
+    asked, on = [], []
+    plain, name = train_order.ordered_sequences, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def noted(tokens, key, stride, per_shard, pad, placed, only):
+        asked.append(only)
+        on.append(spark.conf.get(name))
+        rows = plain(tokens, key, stride, per_shard, pad, placed, only)
+        assert {r.shard for r in rows.select("shard").distinct().collect()} == set(range(*only))
+        return rows
+
+    monkeypatch.setattr(train_order, "ordered_sequences", noted)
+    before = spark.conf.get(name)
+    found = write(spark.read.parquet(folder_of_parts), tmp_path / "out")
+    assert len(asked) == train_order.PASSES and [a for a, _ in asked] == [0, *[b for _, b in asked[:-1]]] and asked[-1][1] == len(found)
+    assert set(on) == {"true"} and spark.conf.get(name) == before
+    assert sorted(r.shard for r in found) == list(range(len(found)))
