@@ -49,9 +49,8 @@ def normalize(text: str | Column, punctuation: bool = False, form: bool = True)
 
 def units(normalized: str | Column) -> Column:
     """Words of a normalised text; the characters of a single word; nothing of an empty one (TXT2)."""
-    t = _col(normalized)
-    w = F.split(t, " ")
-    return F.when(t == "", F.array().cast("array<string>")).when(F.size(w) > 1, w).otherwise(F.split(t, ""))
+    words = lambda t: let(F.split(t, " "), lambda w: F.when(F.size(w) > 1, w).otherwise(F.split(t, "")))
+    return let(_col(normalized), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(words(t)))
 
 
 def token_distance(a: str | Column, b: str | Column) -> Column:
@@ -64,8 +63,8 @@ def token_distance(a: str | Column, b: str | Column) -> Column:
     both = F.struct(_col(a).alias("a"), _col(b).alias("b"))
     # code points from 0x3400 on, without the surrogates from 0xD800 to 0xDFFF
     point = lambda n: F.when(n > 0x10FFFF - 0x3400 - 0x800, F.raise_error(F.lit("more than a million different tokens"))).otherwise(F.when(n + 0x3400 < 0xD800, n + 0x3400).otherwise(n + 0x3C00))
-    code = lambda known, t: F.decode(F.unhex(F.lpad(F.hex(let(F.array_position(known, t), point)), 8, "0")), "UTF-32")
-    coded = lambda known, x: F.array_join(F.transform(x, lambda t: code(known, t)), "")
+    code = lambda known, t: F.lpad(F.hex(let(F.array_position(known, t), point)), 8, "0")
+    coded = lambda known, x: F.decode(F.unhex(F.array_join(F.transform(x, lambda t: code(known, t)), "")), "UTF-32")
     return let(both, lambda p: let(F.array_distinct(F.concat(p["a"], p["b"])), lambda known: F.levenshtein(coded(known, p["a"]), coded(known, p["b"]))))
 
 

@@ -27,16 +27,18 @@ def perturbation(base: str, probes: str, keep_blank: bool = False) -> Column:
     """(mean, max) normalised distance of the base text to its probes (FEA3); blank probes count only if asked (FEA8)."""
     kept = F.col(probes) if keep_blank else F.filter(probes, lambda p: F.trim(p) != "")
     u = lambda c: X.units(X.normalize(c, form=False))
-    d = F.transform(kept, lambda p: X.normalized_distance(u(F.col(base)), u(p)))
-    mean = F.aggregate(d, F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size(d), F.lit(0))
-    return F.struct(mean.alias("mean"), F.array_max(d).alias("max"))
+    d = X.let(u(F.col(base)), lambda b: F.transform(kept, lambda p: X.normalized_distance(b, u(p))))
+    mean = lambda d: F.aggregate(d, F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size(d), F.lit(0))
+    return X.let(d, lambda d: F.struct(mean(d).alias("mean"), F.array_max(d).alias("max")))
 
 
 def evidence(translation: str, cascade: str) -> Column:
     """(distance, coverage gap) to the evidence text; NULL without one."""
     u = lambda c: X.units(X.normalize(F.col(c), form=False))
     there = F.trim(F.coalesce(F.col(cascade), F.lit(""))) != ""
-    return F.struct(F.when(there, X.normalized_distance(u(cascade), u(translation))).alias("distance"), F.when(there, X.coverage_gap(u(cascade), u(translation))).alias("gap"))
+    both = F.when(there, F.struct(u(cascade).alias("c"), u(translation).alias("t")))
+    of = lambda p, made: F.when(p.isNotNull(), made(p["c"], p["t"]))
+    return X.let(both, lambda p: F.struct(of(p, X.normalized_distance).alias("distance"), of(p, X.coverage_gap).alias("gap")))
 
 
 def feature_rows(df: DataFrame, translation: str = "translation", probes: str = "probes", cascade: str = "cascade") -> DataFrame:

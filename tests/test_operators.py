@@ -251,3 +251,11 @@ def test_seal():
     assert decide.seal({"a": 1}, first, "t2") == first
     with pytest.raises(ValueError):
         decide.seal({"a": 2}, first, "t2")
+
+
+def test_distances_are_made_once_a_row(spark):
+    df = spark.createDataFrame([("a b c", ["a b d", "x"], "a b d"), ("", [], None), (None, ["", "y"], " ")], "t string, probes array<string>, c string")
+    for made in (features.perturbation("t", "probes"), features.evidence("t", "c")):
+        assert df.select(made.alias("x"))._jdf.queryExecution().analyzed().toString().count("levenshtein(") == 1
+    got = [(r.p.mean, r.p.max, r.e.distance, r.e.gap) for r in df.select(features.perturbation("t", "probes").alias("p"), features.evidence("t", "c").alias("e")).collect()]
+    assert got == [((1 / 3 + 1) / 2, 1.0, 1 / 3, 1 - 2 / 3), (None, None, None, None), (1.0, 1.0, None, None)]
