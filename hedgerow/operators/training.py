@@ -331,12 +331,14 @@ def seed_grid(cohorts: dict[str, DataFrame], training: dict[str, DataFrame], reg
     """Records of every cohort, method and seed (MDL16).
 
     A head that the folder holds is used again if its protocol is the same, and
-    refused otherwise; there is no choice of a best seed.
+    refused otherwise; there is no choice of a best seed. A logistic head draws nothing, so it is
+    fitted once for all seeds. The scores of all heads are one table, described in one grouped pass.
     """
     spark = next(iter(training.values())).sparkSession
-    wanted, records = digest_of(protocol), None
+    wanted, scored = digest_of(protocol), []
     for backend, df in training.items():
         parts = {s: df.where(F.col("split") == s) for s in ("train", "calibration")}
+        seedless: dict[str, Head] = {}
         for seed in seeds:
             for name, features in registry.items():
                 place = f"{folder}/{backend}/{seed}"
@@ -345,13 +347,15 @@ def seed_grid(cohorts: dict[str, DataFrame], training: dict[str, DataFrame], reg
                     if head.protocol != wanted:
                         raise contracts.ContractError(f"{place}/{name} is of another protocol")
                 else:
-                    head = fit_head(parts["train"], parts["calibration"], name, features, seed=seed, trees=trees, protocol=wanted)
+                    head = seedless.get(name) or fit_head(parts["train"], parts["calibration"], name, features, seed=seed, trees=trees, protocol=wanted)
+                    head = dataclasses.replace(head, seed=seed)
                     save_head(spark, head, place)
+                if kind_of(name) == "lr":
+                    seedless[name] = head
                 for cohort in (c for c, b in backend_of.items() if b == backend):
-                    scores = checkpointed(head.score(cohorts[cohort], keep), "seed-scores")
-                    one = flattened(describe(scores, ["method"]), F.lit(cohort), F.lit(seed))
-                    records = one if records is None else records.union(one)
-    return records
+                    scored.append(head.score(cohorts[cohort], keep).select(F.lit(cohort).alias("cohort"), F.lit(seed).alias("seed"), "*"))
+    scores = checkpointed(reduce(DataFrame.union, scored), "seed-scores")
+    return flattened(describe(scores, ["cohort", "seed", "method"]), F.col("cohort"), F.col("seed")).orderBy("cohort", "seed", "method")  # few rows
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -249,3 +249,15 @@ def test_macros_are_bounded(spark):
     assert writers.macros(df, "n", "v").count("newcommand") == 5
     with pytest.raises(ValueError):
         writers.macros(df, "n", "v", limit=4)
+
+
+def test_seed_grid_fits_a_logistic_head_once_and_describes_once(items, tmp_path, monkeypatch):
+    fits, passes = [], []
+    fit_head, describe = training.fit_head, training.describe
+    monkeypatch.setattr(training, "fit_head", lambda *a, **k: fits.append(a[2]) or fit_head(*a, **k))
+    monkeypatch.setattr(training, "describe", lambda s, by, *a, **k: passes.append(by) or describe(s, by, *a, **k))
+    args = ({"c": items.where("split = 'test'")}, {"b": items}, {"lr_a": ["a"]}, f"file://{tmp_path}", {"p": 1}, {"c": "b"}, ["id", "y"])
+    rows = training.seed_grid(*args, seeds=(1, 2)).collect()
+    assert fits == ["lr_a"] and len(passes) == 1
+    assert sorted((r.cohort, r.seed) for r in rows) == [("c", 1), ("c", 2)]
+    assert [training.load_head(items.sparkSession, f"file://{tmp_path}/b/{s}", "lr_a").seed for s in (1, 2)] == [1, 2]
