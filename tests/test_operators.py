@@ -194,6 +194,22 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long"), graph.checkpointed).count() == 0
 
 
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_components_never_plan_a_whole_round(spark, monkeypatch, hot):
+    monkeypatch.setattr(graph, "HOT_ROWS", hot)
+    star = [(1000, i) for i in range(1001, 1030)]
+    pairs = [*star, *((i, i + 1) for i in range(20)), (5, 1007), (2000, 2001)]
+    exchanges = []
+
+    def keep(df, name):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return graph.checkpointed(df, name)
+
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a long, b long"), keep).collect()}
+    assert got == {**{i: 0 for i in [*range(21), *range(1000, 1030)]}, 2000: 2000, 2001: 2000}
+    assert max(exchanges) <= 8
+
+
 def test_heads_and_platt(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 2))
