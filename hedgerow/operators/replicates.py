@@ -26,8 +26,10 @@ from .graph import checkpointed
 
 #: Entries of the weight matrix that are broadcast at most, two bytes each.
 MAX_WEIGHTS = 1 << 27
-#: Weighted rows (rows times replicates) that are worked on at a time.
-CELLS = 1 << 20
+#: Rows, and weighted rows (rows times replicates), that are worked on at a time. A block has some dozen arrays of
+#: so many doubles, half a MB each, so that a worker's memory doesn't grow with the rows of its range.
+ROWS = 1024
+CELLS = 1 << 16
 _TABLE = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, 1024))])
 
 
@@ -63,8 +65,8 @@ def _blocks(rows: int, width: int) -> Iterator[tuple[int, int]]:
 def add_up(m: np.ndarray, e: np.ndarray, cluster: np.ndarray, w: Weights) -> tuple[np.ndarray, np.ndarray]:
     """Weighted sums of rows and errors in each replicate."""
     out = np.zeros((2, w.size))
-    for at in range(0, len(m), 1024):
-        part = slice(at, at + 1024)
+    for at in range(0, len(m), ROWS):
+        part = slice(at, at + ROWS)
         for lo, hi in _blocks(len(m[part]), w.size):
             weight = w.of(cluster[part], lo, hi)
             out[0, lo:hi] += m[part] @ weight
@@ -182,9 +184,10 @@ def replicate_areas(rows: DataFrame, by: list[str], order: list[str], w: Weights
             if k[-1] == 0:
                 now = np.stack([np.frombuffer(batch.column(c)[0].as_py(), np.float64) for c in ("rows", "errors")]).copy()
             else:
-                held.append(batch)
-                if sum(b.num_rows for b in held) >= 1024:
-                    use(False)
+                for at in range(0, batch.num_rows, ROWS):
+                    held.append(batch.slice(at, ROWS))
+                    if sum(b.num_rows for b in held) >= ROWS:
+                        use(False)
         if state:
             if held:
                 use(True)

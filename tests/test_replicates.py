@@ -1,6 +1,7 @@
 """Areas of all replicates at once against repeated rows, and against the path for draws that are too many to broadcast."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -36,6 +37,22 @@ def test_harmonic():
     assert np.allclose(replicates.harmonic(n), [sum(1 / i for i in range(1, k + 1)) for k in n], atol=1e-12)
 
 
+def test_many_rows_take_a_few_megabytes():
+    rng = np.random.default_rng(3)
+    n, w = 10_000, replicates.Weights(2000, rng.poisson(1, (80, 2000)).astype(np.uint16))
+    m, e, cluster = np.ones(n), rng.integers(0, 2, n).astype(float), rng.integers(0, 80, n)
+    tracemalloc.start()
+    try:
+        total = replicates.areas(np.arange(n), m, e, cluster, np.zeros((2, 2000)), w)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16e6
+    weight = w.matrix[cluster, 7].astype(int)
+    p = np.repeat(e, weight)
+    assert total[7] == pytest.approx((np.cumsum(p) / np.arange(1, len(p) + 1)).sum())
+
+
 @pytest.mark.parametrize("cells", [replicates.CELLS, 5])
 def test_areas_in_blocks(monkeypatch, cells):
     """Groups of tied rows, in two steps and in blocks of few replicates."""
