@@ -25,18 +25,46 @@ CHUNK_BYTES = 1 << 20
 BATCH_ROWS = 500
 
 
-def released(run):
-    """A function of batches that gives its freed memory back to the machine when it ends: workers live on beside the next stage's."""
+def give_back() -> None:
+    """Freed memory goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it keeps
+        pass
+
+
+#: What operators remember in a Python worker from task to task, by operator.
+_REMEMBERED: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    """A table that lives as long as the worker's tasks are this operator's."""
+    return _REMEMBERED.setdefault(operator, {})
+
+
+def forget(but: str = "") -> None:
+    """Empties the tables of all other operators, and the tables of powers."""
+    for operator, held in _REMEMBERED.items():
+        if operator != but:
+            held.clear()
+    _POWERS[:] = _NO_POWERS
+
+
+def released(run, operator: str = ""):
+    """A function of batches that gives its freed memory back to the machine when it ends: workers live on beside the next stage's.
+
+    What other operators remember in the worker goes before it begins.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(operator)
+        give_back()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            import ctypes
-
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library keeps what it keeps
-            pass
+        forget(operator)
+        give_back()
 
     return whole
 
@@ -152,7 +180,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_NO_POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_POWERS: list[np.ndarray] = list(_NO_POWERS)
 
 
 def _powers(n: int) -> list[np.ndarray]:

@@ -24,7 +24,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, keep
@@ -112,9 +113,8 @@ def _plan(rows: DataFrame, n_levels: int, weights: Weights, budget: int | None,
     supply = {tuple(r[c] for c in names): r["tokens"] for r in leaves}
     total = sum(supply.values())
     given = budgets(supply, weights, int(total * share) if budget is None else budget, epochs)
-    schema = ", ".join(f"{c} string" for c in names)
     table = [(*leaf, *divmod(given[leaf], n), i) if n else (*leaf, 0, 0, i) for i, (leaf, n) in enumerate(supply.items())]
-    plan = spark.createDataFrame(table, f"{schema}, whole long, rest long, leaf int")
+    plan = _leaves(spark, table, names, {"whole": pa.int64(), "rest": pa.int64(), "leaf": pa.int32()})
     bits = max(1, min(20, (max((r["docs"] for r in leaves), default=1) // BUCKET_DOCS).bit_length()))
     h = _order(F.col("whole"), seed, F.col("id"), F.col("text_hash"))
     hashed = _with_plan(rows, plan, names).where("rest > 0").select("leaf", "rest", "n_tokens", h.alias("h")).select("*", F.shiftright("h", 64 - bits).alias("bucket"))
@@ -129,7 +129,13 @@ def _plan(rows: DataFrame, n_levels: int, weights: Weights, budget: int | None,
     cuts = {r["leaf"]: r["h"] if r["h"] is not None else r["low"] - 1 if r["low"] > -(1 << 63) else None for r in cut.collect()}
     top = (1 << 63) - 1
     # a leaf whose budget ends in no bucket takes its next epoch as a whole, one without a rest nothing of it
-    return spark.createDataFrame([(*r[:n_levels], r[n_levels], cuts.get(r[-1], top) if r[n_levels + 1] else None) for r in table], f"{schema}, whole long, cut long")
+    return _leaves(spark, [(*r[:n_levels], r[n_levels], cuts.get(r[-1], top) if r[n_levels + 1] else None) for r in table], names, {"whole": pa.int64(), "cut": pa.int64()})
+
+
+def _leaves(spark: SparkSession, rows: list[tuple], names: list[str], numbers: dict[str, pa.DataType]) -> DataFrame:
+    """The driver's rows as a table; as Arrow, since a list of tuples starts Python workers of its own on each executor."""
+    kinds = dict.fromkeys(names, pa.string()) | numbers
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds)))
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame, names: list[str]) -> DataFrame:

@@ -5,8 +5,8 @@ normaliser, the white-space marker, the model (unigram scores, or merges in the
 order of scores for BPE models) and the byte fallback are rebuilt. Where no piece
 has a marker after another character - proven at load - a text is encoded by its
 marked words, each distinct word once per worker, which gives the same ids as the
-text as a whole. New words are encoded in batches by the library's threads, and
-each is checked against the sentencepiece library; a difference is an error.
+text as a whole. New words are encoded in batches of some thousand, and each is
+checked against the sentencepiece library; a difference is an error.
 
 Defined cases: a null text is an empty one without ids; a text of any length is
 encoded whole; an empty table gives an empty one; ids may be null or repeat, each row
@@ -16,6 +16,7 @@ gives a row; columns other than id and text are not read, whatever their names.
 from __future__ import annotations
 
 import itertools
+import os
 import re
 from collections.abc import Iterator
 
@@ -24,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, released, small_batches, utf8
+from .common import chunks, give_back, released, remembered, small_batches, utf8
 
 MARK = "▁"
 #: Words that a worker remembers before it starts anew, and the longest of them: both bound its memory.
 CACHE = 250_000
 CACHED_CHARS = 64
+#: New words that both libraries encode at a time, and bytes of text that are cut into words at a time.
+LEARN_WORDS = 2_000
+SPLIT_BYTES = 1 << 18
 
 #: Fixed values of the model format: kinds of pieces and of models.
 _UNKNOWN, _CONTROL, _BYTE = 2, 3, 6
@@ -106,7 +110,13 @@ class Codec:
         self.bytes_of = [bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else b"" if p.type == _CONTROL else m.trainer_spec.unk_surface.encode() if p.type == _UNKNOWN else p.piece.replace(MARK, " ").encode() for p in m.pieces]
 
     def _learn(self, texts: list[str]) -> dict[str, bytes]:
-        """Encode texts that are new; each is compared with the other library."""
+        """Encode texts that are new, some at a time; each is compared with the other library."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(texts), LEARN_WORDS):
+            out |= self._checked(texts[at : at + LEARN_WORDS])
+        return out
+
+    def _checked(self, texts: list[str]) -> dict[str, bytes]:
         encoded, other = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], self.other.encode(texts, num_threads=1)
         if encoded != other:
             text, ours, theirs = next(x for x in zip(texts, encoded, other, strict=True) if x[1] != x[2])
@@ -143,7 +153,7 @@ class Codec:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode(errors="replace")
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[int, Codec] = remembered("sentencepiece")
 
 
 def codec(model: bytes) -> Codec:
@@ -151,7 +161,9 @@ def codec(model: bytes) -> Codec:
 
     key = zlib.crc32(model)
     if key not in _CODECS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would hold memory of its own
         _CODECS[key] = Codec(model)
+        give_back()  # what the model file was parsed into
     return _CODECS[key]
 
 
@@ -169,7 +181,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, off = utf8(batch.column(1))
-            for at, to in chunks(off):
+            for at, to in chunks(off, SPLIT_BYTES):
                 c = codec(shared.value)
                 texts = [t or "" for t in batch.column(1).slice(at, to - at).to_pylist()]
                 ids = c.encode(texts)
@@ -178,7 +190,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists, pa.array(n), pa.array([c.decode(x) == t for x, t in zip(ids, texts, strict=True)])], ["doc_id", "ids", "n_tokens", "restored"])
 
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("restored", T.BooleanType())])
-    return docs.select(id_col, text_col).mapInArrow(released(run), out)
+    return docs.select(id_col, text_col).mapInArrow(released(run, "sentencepiece"), out)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -192,4 +204,4 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
             texts = [None if x is None else c.decode(np.array(x, np.int32).tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(id_col, ids_col).mapInArrow(run, T.StructType([T.StructField("doc_id", encoded.schema[id_col].dataType), T.StructField("text", T.StringType())]))
+    return encoded.select(id_col, ids_col).mapInArrow(released(run, "sentencepiece"), T.StructType([T.StructField("doc_id", encoded.schema[id_col].dataType), T.StructField("text", T.StringType())]))
