@@ -4,7 +4,8 @@ Draws are a small table (replicate, cluster, weight): a cluster drawn twice coun
 twice, so replicates are weights and rows are never copied. Rows are first summed
 to (cluster, method, score); ``replicates`` then weighs those sums for all replicates at
 once. Where the draws are too many to be broadcast as a matrix, weights are joined to
-the sums instead. All methods share the draws.
+the sums instead. Statistics that are only added up need no table of draws: their hash
+draws are weighed in blocks of clusters. All methods share the draws.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from .order import numbered, running
 #: Clusters whose draws are made on the driver.
 MAX_CLUSTERS = 100_000
 
+#: Clusters whose weights are one row of a replicate's hash draws.
+BLOCK = 1024
+
 
 def numpy_draws(spark: SparkSession, clusters: list, replicates: int = 2000, seed: int = SEED) -> DataFrame:
     """Draws of the sorted clusters by numpy's generator, in its order: replicate, cluster, weight.
@@ -59,10 +63,7 @@ def hash_draws(clusters: DataFrame, replicates: int, seed: int = SEED, within: l
     else:
         numbered_ = numbered(rows, ["cluster"], "place")
         placed = numbered_.crossJoin(F.broadcast(numbered_.agg(F.count(F.lit(1)).alias("n"))))
-    sizes = placed.groupBy(*within).agg(F.count(F.lit(1)).alias("n"))
-    spark = clusters.sparkSession
-    # a row for each slice and replicate, over as many tasks as shuffle partitions
-    asked = spark.range(0, replicates, 1, max(1, min(replicates, int(spark.conf.get("spark.sql.shuffle.partitions"))))).select(F.col("id").cast("int").alias("replicate")).crossJoin(F.broadcast(sizes))
+    asked = _asked(placed.groupBy(*within).agg(F.count(F.lit(1)).alias("n")), replicates)
     kinds = T.StructType([*[rows.schema[c] for c in within], T.StructField("replicate", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("weight", T.IntegerType())])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +75,14 @@ def hash_draws(clusters: DataFrame, replicates: int, seed: int = SEED, within: l
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(some), b, np.int32)), pa.array(some), pa.array(times[some].astype(np.int32))], kinds.names)
 
     picked = asked.select(*within, "replicate", "n").mapInArrow(draw, kinds)
-    return picked.join(placed.drop("n"), [*within, "place"]).select(*within, "replicate", "cluster", "weight")
+    # Spark takes the draws for as few rows as the replicates, and would broadcast them
+    return picked.join(placed.drop("n").hint("shuffle_hash"), [*within, "place"]).select(*within, "replicate", "cluster", "weight")
+
+
+def _asked(sizes: DataFrame, replicates: int) -> DataFrame:
+    """A row for each slice and replicate, over as many tasks as shuffle partitions."""
+    spark = sizes.sparkSession
+    return spark.range(0, replicates, 1, max(1, min(replicates, int(spark.conf.get("spark.sql.shuffle.partitions"))))).select(F.col("id").cast("int").alias("replicate")).crossJoin(F.broadcast(sizes))
 
 
 def drawn(replicate: int, n: int, seed: int) -> np.ndarray:
@@ -155,16 +163,50 @@ def bootstrap_operating_point(rows: DataFrame, draws: DataFrame, cluster: str =
     return per.select("replicate", (ratio("a") - ratio("b")).alias("risk_difference"), ((F.col("kept_a") - F.col("kept_b")) / F.col("n")).alias("coverage_difference"))
 
 
-def bootstrap_sums(stats: DataFrame, draws: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
-    """Weighted sums of additive statistics in each replicate, summed by cluster first (BST5)."""
+def _weighed(sums: DataFrame, replicates: int, columns: list[str], cluster: str, seed: int = SEED) -> DataFrame:
+    """Weighted sums of each replicate of ``hash_draws``, without a row for each draw.
+
+    A replicate's weights are cut into blocks of ``BLOCK`` clusters, a row each; a block's weights
+    of all replicates meet the block's sums in one product.
+    """
+    placed = numbered(sums, [cluster], "place")
+    asked = _asked(placed.agg(F.count(F.lit(1)).alias("n")), replicates)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, n in zip(batch.column("replicate").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                times = drawn(b, n, seed).astype("<u4")
+                blocks = [times[at : at + BLOCK].tobytes() for at in range(0, n, BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), b, np.int32)), pa.array(np.arange(len(blocks), dtype=np.int64)), pa.array(blocks, pa.binary())], ["replicate", "block", "weights"])
+
+    def weigh(draws: pa.Table, stats: pa.Table) -> pa.Table:
+        weights = np.frombuffer(b"".join(draws.column("weights").to_pylist()), "<u4").reshape(draws.num_rows, -1)
+        own = weights[:, stats.column("at").to_numpy()].astype(np.int64)
+        return pa.table([draws.column("replicate"), *[pa.array(own @ stats.column(c).to_numpy()) for c in columns]], ["replicate", *columns])
+
+    drawn_ = asked.select("replicate", "n").mapInArrow(draw, "replicate int, block long, weights binary")
+    # as in a join with the draws, a null cluster has a place, but no sums
+    own = placed.where(F.col(cluster).isNotNull()).select(F.floor(F.col("place") / BLOCK).alias("block"), (F.col("place") % BLOCK).alias("at"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in columns])
+    kinds = T.StructType([T.StructField("replicate", T.IntegerType()), *[sums.schema[c] for c in columns]])
+    parts = drawn_.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(weigh, kinds)
+    return parts.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def bootstrap_sums(stats: DataFrame, draws: DataFrame | int, columns: list[str], cluster: str = "cluster") -> DataFrame:
+    """Weighted sums of additive statistics in each replicate, summed by cluster first (BST5).
+
+    ``draws`` may be the number of replicates: hash draws of all clusters of ``stats``, of which no table is made.
+    """
     sums = stats.groupBy(cluster).agg(*[F.sum(c).alias(c) for c in columns])
+    if isinstance(draws, int):
+        return _weighed(sums, draws, columns, cluster)
     return sums.join(draws.withColumnRenamed("cluster", cluster), cluster).groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in columns])
 
 
-def bootstrap_chrf(counts: DataFrame, draws: DataFrame, cluster: str = "cluster", orders: int = 6, beta: float = 2.0) -> DataFrame:
+def bootstrap_chrf(counts: DataFrame, draws: DataFrame | int, cluster: str = "cluster", orders: int = 6, beta: float = 2.0) -> DataFrame:
     """Corpus chrF of each replicate (MET21, BST5): n-gram counts are summed by cluster once, and the sums weighed.
 
-    ``counts`` has the cluster and ``chrf``, the counts of ``functions.text.chrf_counts``.
+    ``counts`` has the cluster and ``chrf``, the counts of ``functions.text.chrf_counts``; ``draws`` as in ``bootstrap_sums``.
     Orders that don't occur on both sides are left out; 0 where none does.
     """
     names = [f"{c}_{n}" for n in range(orders) for c in ("hyp", "ref", "match")]

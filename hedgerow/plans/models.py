@@ -80,6 +80,6 @@ def retained_chrf_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = c.join(n, ["conv_id", "turn"]).select(F.lit(1).alias("all"), F.col("conv_id").alias("cluster"), F.concat_ws(":", "conv_id", "turn").alias("id"), F.length("text").alias("score"), F.col("text").alias("hypothesis"), "reference")
     kept = selection.keep_top(pairs, ["all"], "score", "id", 0.9).where("keep")
     counts = X.chrf_counts(kept, "reference", "hypothesis", spaces=False, lower=False).select("cluster", "chrf")
-    per = resample.bootstrap_chrf(graph.checkpointed(counts, "chrf-counts"), resample.hash_draws(kept.select("cluster").distinct(), REPLICATES))
+    per = resample.bootstrap_chrf(graph.checkpointed(counts, "chrf-counts"), REPLICATES)
     at = lambda q, name: F.round(F.percentile("chrf", F.lit(q)), 6).alias(name)
     return per.agg(F.count(F.lit(1)).alias("replicates"), at(0.025, "low"), at(0.5, "middle"), at(0.975, "high"))

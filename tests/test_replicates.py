@@ -148,6 +148,25 @@ def test_draws_are_the_hashes(spark):
     assert resample.hash_draws(clusters.limit(0), 3).count() == 0
 
 
+def test_draws_are_not_broadcast(spark):
+    plan = resample.hash_draws(spark.range(37).withColumnRenamed("id", "cluster"), 20)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [place" in plan and "BroadcastHashJoin [place" not in plan
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_sums_weighed_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(resample, "BLOCK", block)
+    names = [None, *[f"c{i:02d}" for i in range(12)]]
+    rows = [(names[i % 13], i * i - 50, i / 8, None if i % 3 else i) for i in range(60)]
+    stats = spark.createDataFrame(rows, "cluster string, k int, x double, some long")
+    columns = ["k", "x", "some"]
+    got = resample.bootstrap_sums(stats, 25, columns)
+    want = resample.bootstrap_sums(stats, resample.hash_draws(stats.select("cluster").distinct(), 25), columns)
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.fillna(0).collect()) and got.count() == 25
+    assert "Join [place" not in got._jdf.queryExecution().executedPlan().toString()
+    assert resample.bootstrap_sums(stats.limit(0), 25, columns).count() == 0
+
+
 def test_gram_counts(spark):
     from collections import Counter
 
