@@ -74,18 +74,21 @@ def in_chunks(rows: DataFrame, order: str, size: int) -> DataFrame:
     return numbered(rows, [order], "_at").withColumn("chunk", F.floor(F.col("_at") / size)).drop("_at")
 
 
-def paired_timings(timings: DataFrame, warm_up: int = 2) -> DataFrame:
+def paired_timings(timings: DataFrame, warm_up: int = 2, run: str | None = None) -> DataFrame:
     """(item, first, second, ratio): two ways timed on the same items in alternating order, without the warm-up (INF11).
 
-    ``timings`` has item (from 0), way ('a' or 'b'), place (0 or 1) and seconds; an item
-    whose two ways did not alternate is an error. A first way of no time at all gives an
-    infinite ratio, or none (NaN) if the second took none either.
+    ``timings`` has item (from 0), way ('a' or 'b'), place (0 or 1) and seconds. An item that is
+    timed several times has a row for each ``run``, a column that tells them apart. An item whose
+    two ways did not alternate, or that has a way twice in a run, is an error. A first way of no
+    time at all gives an infinite ratio, or none (NaN) if the second took none either.
     """
     kept = timings.where(F.col("item") >= warm_up)
-    wide = kept.groupBy("item").agg(*[F.max(F.when(F.col("way") == w, F.col("seconds"))).alias(n) for w, n in (("a", "first"), ("b", "second"))], F.max(F.when(F.col("way") == "a", F.col("place"))).alias("_place"))
-    require(wide.agg(F.count_if(F.col("_place") != F.col("item") % 2).alias("not_alternating"), F.count_if(F.col("first").isNull() | F.col("second").isNull()).alias("not_paired")), "timings")
+    way = {w: F.col("way") == w for w in ("a", "b")}
+    wide = kept.groupBy("item", *([run] if run else [])).agg(*[F.max(F.when(way[w], F.col("seconds"))).alias(n) for w, n in (("a", "first"), ("b", "second"))], F.max(F.when(way["a"], F.col("place"))).alias("_place"), F.greatest(*map(F.count_if, way.values())).alias("_times"))
+    require(wide.agg(F.count_if(F.col("_place") != F.col("item") % 2).alias("not_alternating"), F.count_if(F.col("first").isNull() | F.col("second").isNull()).alias("not_paired"), F.count_if(F.col("_times") > 1).alias("repeated")), "timings")
     first, second = F.col("first"), F.col("second")
-    unmeasured = F.when(F.isnan(second) | (second == 0), float("nan")).when(second > 0, float("inf")).otherwise(float("-inf"))
+    below = first.cast("string") == "-0.0"
+    unmeasured = F.when(F.isnan(second) | (second == 0), float("nan")).when((second > 0) != below, float("inf")).otherwise(float("-inf"))
     return wide.select("item", "first", "second", F.when(first == 0, unmeasured).otherwise(second / first).alias("ratio"))
 
 

@@ -33,7 +33,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r9(c: str | Column) -> Column:
-    return F.round(F.col(c).cast("double") if isinstance(c, str) else c.cast("double"), 9)
+    """Nine digits as the SQL engine rounds, in doubles; Spark's own round goes by the shortest decimal, which differs next to half a unit."""
+    x = F.col(c).cast("double") if isinstance(c, str) else c.cast("double")
+    return F.when(F.abs(x) < 1e299, F.round(x * 1e9) / 1e9).otherwise(x)
 
 
 def rounded(df: DataFrame) -> DataFrame:

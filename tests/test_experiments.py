@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hedgerow.functions import signal
 from hedgerow.operators import cohorts, contracts, features, gates, heads, inference, reporting, training
-from hedgerow.plans import chains
+from hedgerow.plans import catalogue, chains, experiments  # noqa: F401  (the last adds its queries to the catalogue)
 from hedgerow.sources import readers, writers
 
 
@@ -193,6 +193,28 @@ def test_timings_of_no_time(spark):
     assert got[2] == float("inf") and got[3] != got[3] and got[4] == 0.5
 
 
+def test_repeated_timings(spark):
+    rows = [(2, "a", 0, 2.0, 1), (2, "b", 1, 1.0, 1), (2, "a", 0, 4.0, 2), (2, "b", 1, 8.0, 2)]
+    timings = spark.createDataFrame(rows, "item int, way string, place int, seconds double, run int")
+    assert sorted(r.ratio for r in inference.paired_timings(timings, run="run").collect()) == [0.5, 2.0]
+    with pytest.raises(contracts.ContractError, match="repeated"):
+        inference.paired_timings(timings)
+
+
+def test_paired_timings_equal_sql_on_odd_values(spark, tmp_path):
+    import duckdb
+
+    # an id twice, decimals at and next to half a unit of the ninth digit, no time with either sign, values out of range
+    values = [0.0, 0.0, 1.0, 3.0, 3.0, 5120.0, -5120.0, 16956.9370982495, 1843.1628034354999, 0.0, -0.0, 1e308, 5e-324, float("nan"), float("inf")]
+    ids = [0, 1, 2, 3, 3, *range(4, 14)]
+    con = duckdb.connect()
+    con.execute("create table events as select unnest($1::bigint[]) as event_id, unnest($2::double[]) as value", [ids, values])
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    want = con.execute(catalogue.ORACLES["paired_timings"]).fetchall()
+    got = [tuple(r) for r in catalogue.QUERIES["paired_timings"](spark, str(tmp_path)).select("item", "first", "second", "ratio").collect()]
+    assert sorted(map(repr, ((i, *(x + 0.0 for x in r)) for i, *r in got))) == sorted(map(repr, ((i, *(x + 0.0 for x in r)) for i, *r in want)))
+
+
 def test_feature_variants(spark):
     df = spark.createDataFrame([(1, "twelve cats", ["12 cats", "no cats", ""], "12 cats"), (2, "", None, "")], "id long, translation string, sample_translations array<string>, cascade_translation string")
     got = {r.id: r for r in features.deployment_features(df, "id").collect()}
